@@ -9,7 +9,7 @@ P4 = """
 WITH latest AS (
   SELECT id, arg_max(coalesce(CAST(vector AS DOUBLE[]), TRY_CAST(embedding AS DOUBLE[])), created_at) AS v FROM vectors GROUP BY id),
 fine AS (
-  SELECT id, v FROM latest WHERE len(v) = 64 AND len(list_filter(v, x -> x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(v, x -> x <> 0)) > 0),
+  SELECT id, v FROM latest WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(v, lambda x: x <> 0)) > 0),
 near AS (
   SELECT a.id AS id, b.id AS neighbour, list_cosine_similarity(a.v, b.v) AS s,
          row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) AS n
