@@ -7,13 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbra.llm import copies, distinctive, fused, knn, near
+from lumbra.llm import copies, distinctive, fused, garbled, knn, markup, names, near
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.pairs(_table(spark, sf, "entities"))
+
+
+def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return names.linked(_table(spark, sf, "entities"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.cleaned(_table(spark, sf, "documents"), want_text=False).filter("kinds <> ''").select("doc_id")
+
+
+def p2_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.cleaned(_table(spark, sf, "documents"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return copies.copies(_table(spark, sf, "documents"))
 
@@ -61,6 +77,14 @@ def p7_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return fused.ranking(_table(spark, sf, "retrieval_results"), _table(spark, sf, "hybrid_options"))
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return garbled.repaired(_table(spark, sf, "documents")).filter("places > 0").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return garbled.repaired(_table(spark, sf, "documents")).filter("places > 0")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: (int(x[0][1:].split("_")[0]), x[0])))
