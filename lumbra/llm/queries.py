@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbra.llm import copies, distinctive, fused, garbled, knn, markup, names, near
+from lumbra.llm import copies, distinctive, fused, garbled, knn, markup, mixing, names, near, packing
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -77,6 +77,24 @@ def p7_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return fused.ranking(_table(spark, sf, "retrieval_results"), _table(spark, sf, "hybrid_options"))
 
 
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(_table(spark, sf, "documents"), _table(spark, sf, "context_budgets"))
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    budgets = _table(spark, sf, "context_budgets")
+    return packing.report(packing.packed(_table(spark, sf, "documents"), budgets), budgets)
+
+
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf, "documents"), _table(spark, sf, "source_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    targets = _table(spark, sf, "source_targets")
+    return mixing.shares(mixing.mixture(_table(spark, sf, "documents"), targets), targets)
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return garbled.repaired(_table(spark, sf, "documents")).filter("places > 0").select("doc_id")
 
