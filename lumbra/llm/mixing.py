@@ -56,10 +56,17 @@ class Flow:
             total += push
 
 
-def route(patterns: dict[tuple[str, ...], int], share: dict[str, Fraction], repeats: dict[str, int], size: int) -> dict[tuple[tuple[str, ...], str], int] | None:
-    """Tokens that each pattern gives each source so that the sources get their shares of size; None if they can't.
+#: What a token that a source lacks costs the flow: more than any repetition.
+LACK = 10_000
+#: How much of all quotas the mixture fills at least. At 1 every present source holds its share exactly, and one with a single short text keeps
+#: the whole mixture to a few thousand tokens; below 1 such a source gives all it may, as often as it may, and the report shows what it lacks.
+COVERAGE = 0.8
 
-    The k-th use of a pattern's texts costs k - 1; a source uses a text at most its cap of times.
+
+def route(patterns: dict[tuple[str, ...], int], share: dict[str, Fraction], repeats: dict[str, int], size: int) -> tuple[int, int, dict[tuple[tuple[str, ...], str], int]]:
+    """(tokens wanted, tokens found, tokens that each pattern gives each source) for quotas of the sources' shares of size.
+
+    The k-th use of a pattern's texts costs k - 1; a source uses a text at most its cap of times; what can't be found costs most.
     """
     quota = {s: int(share[s] * size) for s in share}
     names, keys = sorted(share), sorted(patterns)
@@ -71,27 +78,23 @@ def route(patterns: dict[tuple[str, ...], int], share: dict[str, Fraction], repe
         for s in p:
             edges[p, s] = flow.edge(i, at[s], patterns[p] * repeats[s])
     for s in names:
+        flow.edge(0, at[s], quota[s], LACK)
         flow.edge(at[s], 1, quota[s])
-    if flow.run(0, 1) < sum(quota.values()):
-        return None
-    used = {}
-    for (p, s), (a, i) in edges.items():
-        left = flow.adj[a][i][1]
-        used[p, s] = patterns[p] * repeats[s] - left
-    return used
-
-
-def largest(patterns: dict, share: dict, repeats: dict) -> tuple[int, dict]:
-    """The largest size at which all shares can be held exactly, and the routes for it."""
-    low, high = 0, int(sum(n * max(repeats[s] for s in p) for p, n in patterns.items()) + 1)
-    best = route(patterns, share, repeats, 0) or {}
+    flow.run(0, 1)
+    used = {(p, s): patterns[p] * repeats[s] - flow.adj[a][i][1] for (p, s), (a, i) in edges.items()}
+    return sum(quota.values()), sum(used.values()), used
+
+
+def largest(patterns: dict, share: dict, repeats: dict, coverage: float = COVERAGE) -> tuple[int, dict]:
+    """The largest size at which that part of all quotas can be filled, and the routes for it. What can be filled never grows faster than the size."""
+    low, high, best = 0, int(sum(n * max(repeats[s] for s in p) for p, n in patterns.items()) / max(coverage, 0.01)) + 2, {}
     while high - low > 1:
         mid = (low + high) // 2
-        r = route(patterns, share, repeats, mid)
-        if r is None:
-            high = mid
+        want, have, used = route(patterns, share, repeats, mid)
+        if have >= coverage * want:
+            low, best = mid, used
         else:
-            low, best = mid, r
+            high = mid
     return low, best
 
 
@@ -106,10 +109,11 @@ def _texts(docs: DataFrame, targets: DataFrame, path: str) -> DataFrame:
     return once.groupBy("k1", "k2").agg(F.max("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("source", "doc_id"))).alias("members"))
 
 
-def mixture(docs: DataFrame, source_targets: DataFrame, seed: int = 0, path: str = sizes.RANKS) -> DataFrame:
+def mixture(docs: DataFrame, source_targets: DataFrame, seed: int = 0, coverage: float = COVERAGE, path: str = sizes.RANKS) -> DataFrame:
     """(source, doc_id, uses, tokens): how often the mixture has each document's text, and the tokens of one use.
 
-    The mixture is the largest in which every source that has texts holds its share; shares of absent sources go to the others in proportion.
+    The mixture is the largest in which that part of the quotas can be filled, so with coverage = 1 the largest in which every source that has
+    texts holds its share. Shares of absent sources go to the others in proportion.
     Equal texts are one, whatever documents and sources hold them: tokens are summed by the set of sources that have them (at most
     2^sources - 1 sums of a small fixed table's sources), a min-cost flow over these sums fixes what each gives to which source, and the texts
     of a pattern, in seeded random order on a line, are taken from the source's stretch of it. A text belongs to where its middle lies, so shares are off by at most half a text a stretch.
@@ -123,7 +127,7 @@ def mixture(docs: DataFrame, source_targets: DataFrame, seed: int = 0, path: str
     present = {s for p in patterns for s in p}
     whole = sum((wanted[s][0] for s in present), Fraction(0))
     share = {s: wanted[s][0] / whole for s in present}
-    _, routes = largest(patterns, share, {s: wanted[s][1] for s in present}) if present else (0, {})
+    _, routes = largest(patterns, share, {s: wanted[s][1] for s in present}, coverage) if present else (0, {})
     stretches, at = [], dict.fromkeys(patterns, 0)
     for (p, s), n in sorted(routes.items()):
         if n:

@@ -95,6 +95,11 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(mixing.mixture(_table(spark, sf, "documents"), targets), targets)
 
 
+def p9_shares_exact(spark: SparkSession, sf: str) -> DataFrame:
+    targets = _table(spark, sf, "source_targets")
+    return mixing.shares(mixing.mixture(_table(spark, sf, "documents"), targets, coverage=1.0), targets)
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return garbled.repaired(_table(spark, sf, "documents")).filter("places > 0").select("doc_id")
 
