@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KS = (1, 5, 10, 20)
@@ -34,9 +34,14 @@ def per_query(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS, failed
     m = queries.join(got, "query_id", "left").join(ideal, "query_id", "left").fillna(0, ["retrieved", "relevant"])
     cols = ["query_id", F.col("retrieved").cast("long"), F.col("relevant").cast("long")]
     zero = F.lit(0.0)
+    gains = F.coalesce("gains", F.array().cast("array<struct<n:int,rel:double>>"))
+
+    def ideal_gain(used: Column) -> Column:
+        return F.aggregate(F.filter(gains, lambda g: g["n"] <= used), zero, lambda s, g: s + g["rel"] / F.log2(g["n"] + 1))
+
     for k in ks:
         used = F.least(F.lit(k), "retrieved")
-        idcg = F.aggregate(F.filter(F.coalesce("gains", F.array().cast("array<struct<n:int,rel:double>>")), lambda g, used=used: g["n"] <= used), zero, lambda s, g: s + g["rel"] / F.log2(g["n"] + 1))
+        idcg = ideal_gain(used)
         cols += [
             F.when(F.col("relevant") > 0, F.coalesce(f"h{k}", F.lit(0)) / F.col("relevant")).otherwise(zero).alias(f"recall_{k}"),
             F.when((F.col("retrieved") > 0) & (F.lit(k) > 0), F.coalesce(f"h{k}", F.lit(0)) / used).otherwise(zero).alias(f"precision_{k}"),

@@ -98,10 +98,16 @@ def extract_entities(docs: DataFrame, id_col: str = "id", content: str = "conten
 def extract_relations(docs: DataFrame, entities: DataFrame, id_col: str = "id", content: str = "content") -> DataFrame:
     """(doc_id, source, target, type, confidence 0.5): patterns whose two parts are contained in names of different entities of the document, of each the first one."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(content), F.lit("")).alias("text"))
-    hits = []
-    for pattern, kind in RELATIONS:
-        pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), 1).alias("s"), F.regexp_extract_all("text", F.lit(pattern), 2).alias("t"))
-        hits.append(F.transform(pairs, lambda p, kind=kind: F.struct(p["s"].alias("s"), p["t"].alias("t"), F.lit(kind).alias("type"))))
+
+    # within a run without white space every match begins where the one before ended, so one scan finds them all
+    runs = F.split("text", r"\s+")
+
+    def matches(pattern: str, kind: str) -> Column:
+        part = lambda r, i: F.regexp_extract_all(r, F.lit(r"\G" + pattern), i)
+        in_run = lambda r: F.zip_with(part(r, 1), part(r, 2), lambda s, t: F.struct(s.alias("s"), t.alias("t"), F.lit(kind).alias("type")))
+        return F.flatten(F.transform(runs, in_run))
+
+    hits = [matches(pattern, kind) for pattern, kind in RELATIONS]
     names = entities.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rule", "at", "name"))), lambda x: x["name"]).alias("names"))
     found = rows.select("doc_id", F.explode(F.concat(*hits)).alias("p")).join(names, "doc_id")
     pick = lambda c: F.try_element_at(F.filter("names", lambda n: F.contains(n, F.col(c))), F.lit(1))

@@ -32,7 +32,7 @@ def hyde(queries: DataFrame, generate: Generate) -> DataFrame:
 def multi_query(queries: DataFrame, generate: Generate, n: int = 3) -> DataFrame:
     """(query_id, ord, query): the query and up to n others from the lines of an answer; blank lines and echoes are dropped."""
     make = F.udf(lambda q: generate(q), "string")
-    lines = F.filter(F.transform(F.split(make("query"), "\n"), X.trim), lambda x: (x != "") & (x != F.col("query")))
+    lines = F.filter(F.transform(F.split(make("query"), "\n"), X.trim), lambda x: (x != "") & (x != X.trim(F.col("query"))))
     return queries.select("query_id", F.posexplode(F.concat(F.array("query"), F.slice(lines, 1, n))).alias("ord", "query"))
 
 

@@ -1 +1,312 @@
+"""SQL for DuckDB of the catalogue's queries, stated independently of their Spark code. A query without an entry runs a state machine, a model, or a search with a measured recall."""
+
+from __future__ import annotations
+
+from lumbra.functions.text import ENTITIES
+from lumbra.operators.fusion import FACTUAL, SEMANTIC
+from lumbra.plans import catalogue as C
+
 SQL: dict[str, str] = {}
+#: White space of all scripts, for an engine whose \s is that of ASCII.
+WS = r"[\s\x0b\x{85}\p{Z}]"
+
+
+def _rows(rows: list, names: str) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows) + f") AS _v({names}))"
+
+
+def _q(rows: list) -> str:
+    return _rows(rows, "query_id, query")
+
+
+def simple(x: str) -> str:
+    return rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+')"
+
+
+def han(x: str) -> str:
+    """Spaces around each Han character make it a run by itself."""
+    return rf"regexp_extract_all(regexp_replace(lower({x}), '(\p{{Han}})', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
+
+
+def trim(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({x}, '^{WS}+', ''), '{WS}+$', '')"
+
+
+def words(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '{WS}+'), lambda w: w <> '')"
+
+
+def space_tokens(x: str) -> str:
+    edge = r"[.,!?;:\"''()\[\]{}<>]+"
+    return f"list_filter(list_transform(regexp_split_to_array(lower({x}), '{WS}+'), lambda w: regexp_replace(regexp_replace(w, '^{edge}', ''), '{edge}$', '')), lambda w: w <> '')"
+
+
+def _docs(text: str = "coalesce(text, '')", tok=han) -> str:
+    return f"d AS (SELECT doc_id AS id, {text} AS content, {tok(text)} AS tokens, len({tok(text)}) AS dl FROM documents)"
+
+
+def _top(k: int | None, by: str = "score") -> str:
+    keep = f" WHERE rank <= {k}" if k else ""
+    return f"r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round({by}, 9) DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 5) AS score, rank FROM r{keep}"
+
+
+POSTINGS = "p AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, dl, unnest(tokens) AS term FROM d) GROUP BY ALL)"
+QT = f"q AS {_q(C.QUERIES)}, qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({han('query')}) AS term FROM q) GROUP BY ALL)"
+BM25 = (
+    "c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d), df AS (SELECT term, count(*) AS df FROM p GROUP BY term), "
+    "s AS (SELECT query_id, id, sum(times * ln((n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN p USING (term) JOIN df USING (term), c GROUP BY ALL)"
+)
+SCORED = f"WITH {_docs()}, {POSTINGS}, {QT}, {BM25}"
+
+SQL["token_stats"] = f"WITH {_docs()} SELECT count(*) AS documents, (SELECT count(DISTINCT t) FROM (SELECT unnest(tokens) AS t FROM d)) AS terms, CAST(sum(dl) AS BIGINT) AS tokens, round(sum(dl) / count(*), 6) AS avgdl FROM d"
+SQL["vocabulary_df"] = f"WITH {_docs(tok=simple)}, {POSTINGS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term"
+SQL["bm25_topk"] = f"{SCORED}, {_top(10)}"
+WHOLE = "CASE WHEN title IS NULL AND content IS NULL THEN '' ELSE concat_ws(' ', title, content) END"
+SQL["bm25_title_content"] = (
+    f"WITH {_docs(WHOLE)}, {POSTINGS}, {QT}, {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) "
+    "SELECT query_id, r.id, round(score, 5) AS score, rank, CASE WHEN length(content) > 500 THEN substr(content, 1, 500) || '...' ELSE content END AS content FROM r JOIN d ON r.id = d.id WHERE rank <= 5"
+)
+SQL["bm25_chunks"] = (
+    f"WITH k AS (SELECT id, max(content) AS content, max(document_id) AS document_id FROM chunks GROUP BY id), d AS (SELECT id, {han('content')} AS tokens, len({han('content')}) AS dl, document_id FROM k), {POSTINGS}, {QT}, {BM25}, "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) SELECT query_id, r.id AS chunk_id, document_id, round(score, 5) AS score, rank FROM r JOIN k ON r.id = k.id WHERE rank <= 10"
+)
+SQL["fts_conjunctive"] = (
+    SCORED.replace(", s AS", ", s0 AS") + ", need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY ALL), have AS (SELECT query_id, id, count(*) AS have FROM qt JOIN p USING (term) GROUP BY ALL), "
+    f"s AS (SELECT s0.* FROM s0 JOIN have USING (query_id, id) JOIN need USING (query_id) WHERE have = need), {_top(10)}"
+)
+_has = lambda *ts: "(" + " OR ".join(f"list_contains(tokens, '{t}')" for t in ts) + ")"
+SQL["boolean_search"] = (
+    f"WITH {_docs()}, s AS (SELECT '' AS query_id, id, 1.0::DOUBLE + 0.5::DOUBLE * ({' + '.join(f'CAST({_has(t)} AS INT)' for t in ('latency', 'snapshot', 'policy'))}) AS score FROM d WHERE {_has('vector', 'index')} AND {_has('the')} AND NOT {_has('ledger')}), "
+    + _top(50).replace("SELECT query_id, id,", "SELECT id,")
+)
+SQL["boolean_should_only"] = (
+    f"WITH {_docs()}, s0 AS (SELECT '' AS query_id, id, 0.5::DOUBLE * ({' + '.join(f'CAST({_has(t)} AS INT)' for t in ('latency', 'snapshot', 'policy'))}) AS score FROM d WHERE NOT {_has('vector')}), s AS (SELECT * FROM s0 WHERE score > 0), "
+    + _top(50).replace("SELECT query_id, id,", "SELECT id,")
+)
+SQL["boolean_strict"] = f"WITH {_docs()} SELECT id FROM d WHERE {_has('the')} AND {_has('ledger', 'archive')} AND NOT {_has('vector')}"
+SQL["boolean_negation"] = f"WITH {_docs()} SELECT id FROM d WHERE NOT {_has('the', 'der')}"
+SQL["phrase_search"] = f"WITH {_docs()}, q AS {_q(C.PHRASES)}, s AS (SELECT query_id, id, CAST(len({han('query')}) AS DOUBLE) AS score FROM d JOIN q ON contains(lower(content), lower(query))), {_top(None)}"
+SQL["phrase_adjacent"] = (
+    f"WITH {_docs()}, q AS (SELECT query_id, {han('query')} AS w FROM {_q(C.PHRASES)}), "
+    "h AS (SELECT query_id, id, tokens, w, unnest(range(1, len(tokens) - len(w) + 2)) AS i FROM d JOIN q ON list_has_all(tokens, w)), "
+    f"s AS (SELECT query_id, id, CAST(count(*) AS DOUBLE) AS score FROM h WHERE tokens[i:i + len(w) - 1] = w GROUP BY ALL), {_top(None)}"
+)
+SQL["prefix_search"] = f"WITH {_docs()}, q AS {_q(C.PREFIXES)}, s AS (SELECT query_id, id, 1.0::DOUBLE AS score FROM d JOIN q ON len(list_filter(tokens, lambda t: starts_with(t, lower(query)))) > 0), {_top(None)}"
+SQL["content_prefix"] = f"SELECT query_id, doc_id AS id, 1.0::DOUBLE AS score FROM documents JOIN {_q([('c1', 'the '), ('c2', '# '), ('c3', '若')])} ON starts_with(lower(coalesce(content, '')), lower(query))"
+SQL["fuzzy_search"] = (
+    f"WITH {_docs()}, q AS (SELECT query_id, unnest({han('query')}) AS word FROM {_q(C.FUZZY)}), v AS (SELECT DISTINCT id, unnest(tokens) AS term FROM d), t AS (SELECT DISTINCT term FROM v), "
+    "n AS (SELECT query_id, term, 1 - levenshtein(word, term) / greatest(octet_length(encode(word)), octet_length(encode(term))) AS w FROM q, t WHERE levenshtein(word, term) <= 2), "
+    f"s AS (SELECT query_id, id, sum(w) AS score FROM v JOIN n USING (term) GROUP BY ALL), {_top(20)}"
+)
+_grams = lambda x: f"list_distinct(flatten(list_transform({simple(x)}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+SQL["trigram_similarity"] = (
+    f"WITH e AS (SELECT id, max(name) AS name FROM entities GROUP BY id), x AS (SELECT query_id, id, {_grams('name')} AS g, {_grams('query')} AS h FROM e, {_q(C.NAMES)}), "
+    f"s AS (SELECT query_id, id, len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) AS score FROM x WHERE len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) >= 0.3), {_top(None)}"
+)
+SQL["ilike_search"] = f"SELECT query_id, doc_id AS id, 1.0::DOUBLE AS score FROM documents JOIN {_q(C.NEEDLES)} ON contains(lower(coalesce(title, '')), lower(query)) OR contains(lower(coalesce(content, '')), lower(query))"
+SQL["contains_search"] = "SELECT doc_id FROM documents WHERE lower(coalesce(title, '')) LIKE '%ledger%' OR lower(coalesce(content, '')) LIKE '%ledger%'"
+SQL["first_chunk_search"] = (
+    "WITH c AS (SELECT DISTINCT * FROM chunks), m AS (SELECT doc_id AS id, c.id AS chunk_id, chunk_index FROM documents d LEFT JOIN c ON d.doc_id = c.document_id "
+    "WHERE lower(coalesce(d.content, '')) LIKE '%ledger%' OR lower(coalesce(c.content, '')) LIKE '%ledger%' ORDER BY doc_id, chunk_index NULLS FIRST, chunk_id NULLS FIRST LIMIT 200) "
+    "SELECT id, chunk_id, chunk_index FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY chunk_index NULLS FIRST, chunk_id) = 1"
+)
+SQL["web_search"] = f"WITH {_docs()} SELECT id FROM d WHERE contains(lower(content), 'the vector') AND {_has('archive', 'ledger')} AND NOT {_has('budget')}"
+_hl = "title"
+for _w in ("report", "plan", "é", "notes"):
+    _hl = f"replace({_hl}, '{_w}', '**{_w}**')"
+SQL["highlight"] = f"SELECT doc_id, {_hl} AS marked FROM documents"
+SQL["clean_query"] = "SELECT doc_id, " + trim(r"regexp_replace(translate(title, '*^(){}[]:;~\"', '            '), '\s+', ' ', 'g')").replace('\\"', '"') + " AS cleaned FROM documents"
+SQL["index_upsert"] = (
+    f"WITH u AS (SELECT doc_id, CASE WHEN lang = 'de' THEN coalesce(title, '') ELSE coalesce(text, '') END AS content FROM documents WHERE lang IS DISTINCT FROM 'fr'), d AS (SELECT {han('content')} AS tokens FROM u) "
+    "SELECT count(*) AS documents, (SELECT count(DISTINCT t) FROM (SELECT unnest(tokens) AS t FROM d)) AS terms, CAST(sum(len(tokens)) AS BIGINT) AS tokens FROM d"
+)
+
+# Chunkers in closed form.
+_window = lambda starts, size, extra="": (
+    f"WITH n AS (SELECT doc_id, content, length(content) AS l FROM documents WHERE length(content) > 0), w AS (SELECT doc_id, content, l, unnest({starts}) AS i FROM n), "
+    f"x AS (SELECT doc_id, content, i AS chunk_index, {extra or f'i * {size[1]}'} AS start_pos, l, {size[0]} AS size FROM w), y AS (SELECT doc_id, chunk_index, start_pos, least(start_pos + size, l) AS end_pos, content FROM x) "
+    "SELECT doc_id, chunk_index, start_pos, end_pos, substr(content, CAST(start_pos + 1 AS BIGINT), CAST(end_pos - start_pos AS BIGINT)) AS chunk, CAST(floor((end_pos - start_pos) / 4) AS BIGINT) AS token_count FROM y"
+)
+SQL["chunk_fixed"] = _window("range(0, CASE WHEN l <= 512 THEN 1 ELSE CAST(ceil((l - 512) / 462) AS BIGINT) + 1 END)", (512, 462))
+SQL["chunk_stream"] = _window("range(0, CASE WHEN l < 300 THEN 1 ELSE CAST(floor((l - 300) / 240) AS BIGINT) + 2 END)", (300, 240))
+_last = "CASE WHEN l <= 300 THEN 0 ELSE CAST(ceil((l - 300) / 240) AS BIGINT) END"
+SQL["chunk_buffered"] = _window(f"range(0, {_last} + CASE WHEN l > 60 THEN 2 ELSE 1 END)", (300, 240), f"CASE WHEN i > {_last} THEN l - 60 ELSE i * 240 END")
+_sent = r"regexp_extract_all(content, '[^.!?。！？\n]*[.!?。！？\n]|[^.!?。！？\n]+$')"
+_pos = lambda lst, name, key="n": f"SELECT doc_id, i - 1 AS {key}, x[i] AS {name} FROM (SELECT doc_id, {lst} AS x, unnest(range(1, len({lst}) + 1)) AS i FROM documents WHERE content IS NOT NULL)"
+SQL["sentence_split"] = _pos(f"list_filter(list_transform({_sent}, lambda s: {trim('s')}), lambda s: s <> '')", "sentence")
+SQL["token_estimate"] = f"SELECT doc_id, CAST(floor(length(content) / 4) AS BIGINT) AS tokens, len({words('content')}) AS words, octet_length(encode(content)) AS bytes FROM documents"
+SQL["rerank_tokens"] = f"SELECT term, count(*) AS n FROM (SELECT unnest({space_tokens('content')}) AS term FROM documents) GROUP BY term"
+SQL["text_predicates"] = (
+    r"SELECT doc_id, regexp_full_match(title, '\p{Han}+') AS han, regexp_full_match(title, '[\p{P}\s]+') AS punctuation, CASE WHEN length(title) > 12 THEN substr(title, 1, 12) || '...' ELSE title END AS short, "
+    + trim("content") + " AS trimmed FROM documents"
+)
+
+# Sources.
+SQL["detect_types"] = (
+    "WITH p AS (SELECT doc_id, '/data/in.d/' || doc_id || '.' || coalesce(doc_type, 'bin') AS path FROM documents), e AS (SELECT doc_id, lower(regexp_extract(path, '\\.[^./]*$')) AS ext, regexp_extract(path, '[^/]*$') AS base FROM p) "
+    "SELECT doc_id, CASE WHEN ext = '.pdf' THEN 'pdf' WHEN ext IN ('.docx', '.doc') THEN 'docx' WHEN ext IN ('.md', '.markdown') THEN 'md' WHEN ext IN ('.html', '.htm') THEN 'html' WHEN ext = '.csv' THEN 'csv' WHEN ext = '.json' THEN 'json' ELSE 'txt' END AS detected, "
+    "regexp_replace(base, '\\.[^.]*$', '') AS name, ext AS extension FROM e"
+)
+_lines = lambda x: f"array_to_string(list_filter(list_transform(string_split({x}, chr(10)), lambda s: {trim('s')}), lambda s: s <> ''), chr(10))"
+SQL["html_strip"] = f"SELECT doc_id, {_lines(chr(39).join(['regexp_replace(content, ', '<[^>]*>?|>', ', ', '', ', ', 'g', ')']))} AS stripped FROM documents"
+SQL["html_title"] = "SELECT doc_id, " + trim("regexp_extract(content, '(?s)<(?:title|TITLE)>(.*?)</(?:title|TITLE)>', 1)") + " AS html_title FROM documents"
+_no = "content"
+for _tag in ("script", "style", "noscript"):
+    _no = rf"regexp_replace({_no}, '(?is)<{_tag}\b[^>]*>.*?</{_tag}>', '', 'g')"
+SQL["html_without_script"] = f"SELECT doc_id, length({_no}) AS left FROM documents"
+_htext = lambda x: trim(f"regexp_replace(regexp_replace({x}, '<[^>]*>?|>', ' ', 'g'), '[ \\t]+', ' ', 'g')")
+SQL["html_list_items"] = _pos(f"list_filter(list_transform(regexp_extract_all(content, '(?is)<li[^>]*>(.*?)</li>', 1), lambda s: {_htext('s')}), lambda s: s <> '')", "item")
+_dec = "content"
+for _name, _sign in ENTITIES:
+    _dec = f"replace({_dec}, '{_name}', '{_sign.replace(chr(39), chr(39) * 2)}')"
+SQL["html_entities"] = f"SELECT doc_id, {_dec} AS decoded FROM documents"
+SQL["markdown_title"] = "SELECT doc_id, " + trim(r"regexp_extract(content, '(?m)^#[ \t]+([^\n]+)$', 1)") + " AS md_title FROM documents"
+SQL["front_matter"] = (
+    r"WITH b AS (SELECT doc_id, unnest(string_split(regexp_extract(content, '(?s)\A---\s*\n(.*?)\n---\s*(?:\n|\z)', 1), chr(10))) AS line FROM documents) "
+    rf"SELECT doc_id, {trim('split_part(line, chr(58), 1)')} AS key, regexp_replace({trim('substr(line, instr(line, chr(58)) + 1)')}, '^[\"'']|[\"'']$', '', 'g') AS value FROM b WHERE contains(line, ':') AND NOT starts_with(ltrim(line), '#')"
+).replace('\\"', '"')
+SQL["text_paragraphs"] = _pos(rf"list_filter(list_transform(regexp_split_to_array(content, '\n\s*\n'), lambda s: {trim('s')}), lambda s: s <> '')", "paragraph")
+
+# Vectors.
+_V = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vector, CAST(label AS VARCHAR) AS label FROM embeddings), q AS (SELECT id AS query_id, vector AS qv FROM v WHERE id % 20 = 0)"
+SQL["knn_cosine"] = f"WITH {_V}, s AS (SELECT query_id, id, list_cosine_similarity(qv, vector) AS score FROM v, q), {_top(10)}"
+SQL["knn_l2"] = f"WITH {_V}, s AS (SELECT query_id, id, -list_distance(qv, vector) AS score FROM v, q), {_top(10)}"
+SQL["knn_filtered"] = f"WITH {_V}, s AS (SELECT query_id, id, list_cosine_similarity(qv, vector) AS score FROM v, q WHERE label = '3'), {_top(5)}"
+SQL["hnsw_ideal"] = (
+    f"WITH {_V}, a AS (SELECT query_id, id, label, list_distance(qv, vector) AS dist, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(qv, vector), id) AS n FROM v, q), s AS (SELECT query_id, id, 1 / (1 + dist) AS score FROM a WHERE n <= 30 AND label = '3'), {_top(5)}"
+)
+SQL["multi_query_knn"] = (
+    f"WITH {_V}, a AS (SELECT query_id, id, list_cosine_similarity(qv, vector) AS score FROM v, q), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS n FROM a), "
+    "f AS (SELECT query_id // 100 AS g, query_id % 100 AS ord, id, score FROM b WHERE n <= 10), "
+    f"s AS (SELECT g AS query_id, id, score FROM f QUALIFY row_number() OVER (PARTITION BY g, id ORDER BY ord) = 1), {_top(10)}"
+)
+SQL["vector_normalise"] = "SELECT vec_id AS id, 1.0::DOUBLE AS norm, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS along FROM embeddings"
+SQL["vector_text"] = "SELECT vec_id AS id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.6f', CAST(x AS DOUBLE))), ',') || ']' AS text, len(embedding) AS dim FROM embeddings"
+SQL["vector_stats"] = "SELECT count(*) AS vectors, count(DISTINCT vec_id) AS ids, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim FROM embeddings"
+SQL["vector_upsert"] = "SELECT label, count(*) AS n FROM (SELECT CASE WHEN vec_id % 20 = 0 THEN 'new' ELSE CAST(label AS VARCHAR) END AS label FROM embeddings) WHERE label <> '3' GROUP BY label"
+
+# Fusion and reranking.
+_H = "h AS (SELECT query_id, strategy, id, max(score) AS score, max(content) AS content FROM retrieval_results WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL)"
+_RRF = "k AS (SELECT *, row_number() OVER (PARTITION BY query_id, strategy ORDER BY score DESC, id) AS n FROM h), s AS (SELECT query_id, id, sum(1 / (60 + n)) AS score FROM k GROUP BY ALL)"
+SQL["rrf_fusion"] = f"WITH {_H}, {_RRF}, {_top(10)}"
+SQL["weighted_fusion"] = (
+    f"WITH {_H}, l AS (SELECT query_id, count(DISTINCT strategy) AS lists FROM h GROUP BY ALL), w AS (SELECT h.*, CASE strategy WHEN 'vector' THEN 0.6 WHEN 'keyword' THEN 0.3 ELSE 1.0 / lists END AS w FROM h JOIN l USING (query_id)), "
+    "t AS (SELECT query_id, sum(w) AS total FROM (SELECT DISTINCT query_id, strategy, w FROM w) GROUP BY ALL), s AS (SELECT query_id, id, sum(CAST(score AS DOUBLE) * w) / any_value(total) AS score FROM w JOIN t USING (query_id) GROUP BY ALL), "
+    + _top(10).replace("round(score, 5)", "round(score, 4)")
+)
+SQL["route_counts"] = f"WITH {_H} SELECT query_id, strategy, count(*) AS hits FROM h GROUP BY ALL"
+_any = lambda ws: "(" + " OR ".join(f"contains(lower(coalesce(title, '')), '{w}')" for w in ws) + ")"
+SQL["route_queries"] = f"SELECT doc_id, CASE WHEN {_any(FACTUAL)} THEN 'keyword,graph' WHEN {_any(SEMANTIC)} THEN 'vector' ELSE 'vector,keyword' END AS strategies FROM documents"
+SQL["rerank_match"] = (
+    f"{SCORED}, r0 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS n FROM s), m AS (SELECT r0.query_id, r0.id, r0.score, {space_tokens('query')} AS qw, {space_tokens('content')} AS cw FROM r0 JOIN q USING (query_id) JOIN d ON r0.id = d.id WHERE n <= 20), "
+    "x AS (SELECT query_id, id, 0.3 * score + 0.7 * len(list_filter(qw, lambda w: list_contains(cw, w))) / len(qw) AS rr FROM m), y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rr, 9) DESC, id) AS rank FROM x) "
+    "SELECT query_id, id, round(rr, 5) AS rerank_score, rank FROM y WHERE rank <= 10"
+)
+SQL["pseudo_jaccard"] = (
+    f"WITH t AS (SELECT doc_id, list_distinct({space_tokens(chr(99) + 'oalesce(title, ' + chr(39) * 2 + ')')}) AS a, {space_tokens('coalesce(content, ' + chr(39) * 2 + ')')} AS b FROM documents), u AS (SELECT doc_id, len(a) AS na, len(b) AS nb, len(list_filter(b, lambda w: list_contains(a, w))) AS c FROM t) "
+    "SELECT doc_id, CASE WHEN na + nb - c = 0 THEN 0 ELSE round(c / (na + nb - c), 6) END AS score FROM u"
+)
+
+# Deduplication.
+_M = "m AS (SELECT doc_id, sha256(content) AS hash, octet_length(encode(content)) AS size, created_at, source FROM documents), f AS (SELECT *, first_value(doc_id) OVER (PARTITION BY hash ORDER BY created_at NULLS FIRST, doc_id) AS first FROM m)"
+SQL["exact_dedup"] = f"WITH {_M} SELECT doc_id, hash, size AS content_size, coalesce(size > 0 AND first <> doc_id, false) AS is_duplicate, CASE WHEN size > 0 AND first <> doc_id THEN first END AS existing_id FROM f"
+SQL["dedup_stats"] = f"WITH {_M}, g AS (SELECT *, coalesce(size > 0 AND first <> doc_id, false) AS dup FROM f) SELECT count(*) AS documents, count(DISTINCT hash) AS hashes, CAST(count(*) FILTER (dup) AS BIGINT) AS duplicates, CAST(sum(size) AS BIGINT) AS bytes, CAST(coalesce(sum(size) FILTER (dup), 0) AS BIGINT) AS duplicate_bytes FROM g"
+SQL["hash_index"] = f"WITH {_M} SELECT hash, doc_id AS document_id, size AS content_size, source FROM f WHERE size > 0 AND first = doc_id"
+SQL["verify_hashes"] = "SELECT doc_id, lower(content_hash) = sha256(content) AS fresh FROM documents"
+
+# Graph.
+_G = (
+    "e AS (SELECT id, name, aliases, document_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST, name DESC NULLS LAST, upper(entity_type) DESC NULLS LAST) AS n FROM entities) WHERE n = 1), "
+    "r AS (SELECT id, source_id, target_id, document_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST, source_id DESC NULLS LAST, target_id DESC NULLS LAST) AS n FROM relations) WHERE n = 1), "
+    "b AS (SELECT source_id AS a, target_id AS b, id AS rid FROM r UNION ALL SELECT target_id, source_id, id FROM r WHERE source_id <> target_id), seeds AS (SELECT id FROM e WHERE CAST(substr(id, 5) AS BIGINT) % 20 = 0)"
+)
+SQL["entity_extraction"] = (
+    r"""WITH x AS (SELECT doc_id, 1 AS rule, 'CONCEPT' AS type, 0.7 AS confidence, regexp_extract_all(content, '「(.+?)」', 1) AS names FROM documents
+UNION ALL SELECT doc_id, 2, 'CONCEPT', 0.7, regexp_extract_all(content, '"(.+?)"', 1) FROM documents
+UNION ALL SELECT doc_id, 3, 'PRODUCT', 0.7, regexp_extract_all(content, '《(.+?)》', 1) FROM documents
+UNION ALL SELECT doc_id, 4, 'CONCEPT', 0.7, regexp_extract_all(content, '【(.+?)】', 1) FROM documents
+UNION ALL SELECT doc_id, 9, 'ORGANIZATION', 0.6, regexp_extract_all(content, '([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)', 1) FROM documents),
+y AS (SELECT doc_id, rule, type, confidence, unnest(range(1, len(names) + 1)) AS i, names FROM x),
+"""
+    + f"z AS (SELECT doc_id, rule, type, confidence, i, {trim('names[i]')} AS name FROM y), "
+    "k AS (SELECT * FROM z WHERE CASE WHEN rule < 9 THEN octet_length(encode(name)) BETWEEN 2 AND 50 ELSE octet_length(encode(name)) > 2 END) "
+    "SELECT doc_id, name, type, CAST(confidence AS DOUBLE) AS confidence FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY rule, i) = 1"
+)
+SQL["entity_search"] = (
+    f"WITH {_G}, q AS (SELECT query_id, lower(query) AS q FROM {_q(C.NAMES)}), m AS (SELECT query_id, id, (lower(name) = q OR list_contains(list_transform(coalesce(aliases, []), lambda x: lower(x)), q)) AS exact FROM e, q "
+    "WHERE lower(name) = q OR list_contains(list_transform(coalesce(aliases, []), lambda x: lower(x)), q) OR contains(lower(name), q) OR (name <> '' AND contains(q, lower(name)))), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, id) AS rank FROM m) SELECT * FROM o WHERE rank <= 10"
+)
+SQL["incident_relations"] = f"WITH {_G} SELECT a AS entity_id, rid AS relation_id FROM b JOIN seeds ON b.a = seeds.id"
+SQL["subgraph_nodes"] = (
+    f"WITH {_G}, l0 AS (SELECT id AS seed_id, id FROM seeds), l1 AS (SELECT DISTINCT seed_id, b.b AS id FROM l0 JOIN b ON l0.id = b.a WHERE b.b IN (SELECT id FROM e)), l2 AS (SELECT DISTINCT seed_id, b.b AS id FROM l1 JOIN b ON l1.id = b.a WHERE b.b IN (SELECT id FROM e)) "
+    "SELECT seed_id, id, min(level) AS level FROM (SELECT *, 0 AS level FROM l0 UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2) GROUP BY ALL"
+)
+SQL["subgraph_relations"] = (
+    f"WITH {_G}, l0 AS (SELECT id AS seed_id, id FROM seeds), l1 AS (SELECT DISTINCT seed_id, b.b AS id FROM l0 JOIN b ON l0.id = b.a WHERE b.b IN (SELECT id FROM e)) "
+    "SELECT DISTINCT seed_id, rid AS relation_id FROM (SELECT * FROM l0 UNION SELECT * FROM l1) n JOIN b ON n.id = b.a"
+)
+SQL["simple_paths"] = (
+    f"WITH {_G}, hub AS (SELECT a AS h FROM b GROUP BY a ORDER BY count(*) DESC, a LIMIT 1), x AS (SELECT * FROM b WHERE a <> b), s AS (SELECT id, h FROM seeds, hub WHERE id <> h), "
+    "p1 AS (SELECT id, h, x.b AS n1, rid AS r1 FROM s JOIN x ON x.a = s.id), p2 AS (SELECT p1.*, x.b AS n2, x.rid AS r2 FROM p1 JOIN x ON x.a = p1.n1 WHERE n1 <> h AND x.b <> id), p3 AS (SELECT p2.*, x.b AS n3, x.rid AS r3 FROM p2 JOIN x ON x.a = p2.n2 WHERE n2 <> h AND x.b = h) "
+    "SELECT id AS source, h AS target, id AS nodes, r1 AS edges, 1 AS length FROM p1 WHERE n1 = h UNION ALL SELECT id, h, id || '>' || n1, r1 || '>' || r2, 2 FROM p2 WHERE n2 = h UNION ALL SELECT id, h, id || '>' || n1 || '>' || n2, r1 || '>' || r2 || '>' || r3, 3 FROM p3 WHERE n2 <> n1"
+)
+SQL["graph_delete"] = (
+    f"WITH {_G}, g AS (SELECT id FROM e WHERE document_id = 10) SELECT (SELECT count(*) FROM e WHERE document_id IS DISTINCT FROM 10) AS entities, "
+    "(SELECT count(*) FROM r WHERE document_id IS DISTINCT FROM 10 AND source_id NOT IN (SELECT id FROM g) AND target_id NOT IN (SELECT id FROM g)) AS relations"
+)
+
+# Evaluation.
+_E = (
+    f"WITH {_H}, {_RRF}, run AS (SELECT query_id, id AS doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 20), "
+    "rel AS (SELECT query_id, id AS doc_id, CASE WHEN max(rerank_score) > 0.5 THEN round(max(rerank_score), 3) ELSE 0 END AS rel FROM retrieval_results WHERE rerank_score IS NOT NULL AND NOT isnan(rerank_score) GROUP BY ALL), "
+    "j AS (SELECT run.*, coalesce(rel, 0) AS rel, sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS sofar FROM run LEFT JOIN rel USING (query_id, doc_id)), "
+    "i AS (SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS n FROM rel WHERE rel > 0), nr AS (SELECT query_id, count(*) AS relevant FROM i GROUP BY ALL), u AS (SELECT DISTINCT query_id FROM rel), nt AS (SELECT query_id, count(*) AS retrieved FROM run GROUP BY ALL), "
+    "b AS (SELECT u.query_id, coalesce(retrieved, 0) AS retrieved, coalesce(relevant, 0) AS relevant FROM u LEFT JOIN nt USING (query_id) LEFT JOIN nr USING (query_id)), per AS (SELECT query_id, retrieved, relevant"
+)
+for _k in (1, 5, 10, 20):
+    _used = f"least({_k}, retrieved)"
+    _E += f", CASE WHEN relevant > 0 THEN coalesce((SELECT count(*) FROM j WHERE j.query_id = b.query_id AND rel > 0 AND rank <= {_k}), 0) / relevant ELSE 0 END AS recall_{_k}"
+    _E += f", CASE WHEN retrieved > 0 THEN coalesce((SELECT count(*) FROM j WHERE j.query_id = b.query_id AND rel > 0 AND rank <= {_k}), 0) / {_used} ELSE 0 END AS precision_{_k}"
+    _E += f", coalesce((SELECT sum(rel / log2(rank + 1)) FROM j WHERE j.query_id = b.query_id AND rank <= {_k}) / (SELECT sum(rel / log2(n + 1)) FROM i WHERE i.query_id = b.query_id AND n <= {_used}), 0) AS ndcg_{_k}"
+_E += ", coalesce(1 / (SELECT min(rank) FROM j WHERE j.query_id = b.query_id AND rel > 0), 0) AS mrr, CASE WHEN relevant > 0 THEN coalesce((SELECT sum(sofar / rank) FROM j WHERE j.query_id = b.query_id AND rel > 0), 0) / relevant ELSE 0 END AS map FROM b)"
+_METRICS = [f"{m}_{k}" for k in (1, 5, 10, 20) for m in ("recall", "precision", "ndcg")] + ["mrr", "map"]
+SQL["eval_per_query"] = f"{_E} SELECT query_id, retrieved, relevant, {', '.join(f'round({m}, 5) AS {m}' for m in _METRICS)} FROM per"
+SQL["eval_mean"] = f"{_E} SELECT count(*) AS queries, {', '.join(f'round(avg({m}), 5) AS {m}' for m in _METRICS)} FROM per"
+SQL["quality_gate"] = f"{_E} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, round(avg({m}), 5) AS value, {t}::DOUBLE AS threshold, avg({m}) >= {t} AS passed FROM per" for m, t in {"recall_1": 0.3, "recall_5": 0.5, "recall_10": 0.7, "precision_5": 0.4, "mrr": 0.4, "map": 0.4, "ndcg_10": 0.5}.items())
+
+# Rewriting, access, prompts, store.
+SQL["synonym_rewrite"] = (
+    f"WITH t AS (SELECT doc_id AS query_id, title AS query, {words('title')} AS w FROM documents WHERE title IS NOT NULL), s AS {_rows(C.SYNONYMS, 'word, synonym')}, p AS (SELECT query_id, query, w, unnest(range(1, len(w) + 1)) AS i FROM t), "
+    "v AS (SELECT query_id, -1 AS pos, '' AS synonym, query FROM t UNION ALL SELECT query_id, i - 1, synonym, replace(query, word, synonym) FROM p JOIN s ON w[i] = word) "
+    "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, synonym) - 1 AS ord, query FROM v"
+)
+SQL["multi_query_rewrite"] = "SELECT doc_id AS query_id, unnest([0, 1, 2]) AS ord, unnest([title, " + trim("title || ' guide'") + ", " + trim("'about ' || title") + "]) AS query FROM documents WHERE title IS NOT NULL"
+SQL["acl_rights"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, status = 'pending' OR coalesce(source = 'en', false) OR coalesce(lang = 'en', false) OR coalesce(doc_type = 'en', false) AS reads, coalesce(source = 'txt', false) OR coalesce(doc_type = 'txt', false) AS writes, coalesce(source = 'wiki-mirror', false) AS owns FROM documents"
+SQL["acl_filter"] = "SELECT DISTINCT CAST(document_id AS VARCHAR) AS doc_id, id AS ord FROM chunks WHERE document_id IN (SELECT doc_id FROM documents WHERE status = 'pending' OR source = 'txt' OR lang = 'txt' OR doc_type = 'txt')"
+SQL["acl_list"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents WHERE status = 'pending' OR source = 'wiki-mirror' OR lang = 'wiki-mirror' OR doc_id = 8"
+SQL["paginate_documents"] = "SELECT doc_id, title FROM documents ORDER BY created_at DESC NULLS LAST, doc_id LIMIT 20 OFFSET 40"
+SQL["store_update"] = "SELECT status, count(*) AS n, CAST(sum(v) AS BIGINT) AS versions FROM (SELECT CASE WHEN status = 'pending' THEN 'indexed' ELSE status END AS status, doc_version + CASE WHEN status = 'pending' THEN 1 ELSE 0 END AS v FROM documents WHERE status IS DISTINCT FROM 'deleted') GROUP BY status"
+SQL["store_checked"] = (
+    "SELECT doc_id AS id, concat_ws(',', CASE WHEN coalesce(content, '') = '' THEN 'no content' END, CASE WHEN NOT coalesce(doc_type IN ('pdf', 'docx', 'md', 'html', 'txt', 'csv', 'json'), false) THEN 'unknown type' END, "
+    "CASE WHEN NOT coalesce(status IN ('pending', 'processing', 'indexed', 'failed', 'deleted'), false) THEN 'unknown status' END) AS problems FROM documents"
+)
+SQL["document_chunks"] = "WITH c AS (SELECT DISTINCT * FROM chunks) SELECT doc_id AS id, count(c.id) AS chunks FROM documents d LEFT JOIN c ON c.document_id = d.doc_id AND d.lang IS DISTINCT FROM 'zh' GROUP BY doc_id"
+SQL["metadata_filter"] = "SELECT id FROM (SELECT DISTINCT * FROM chunks) WHERE page_number = 1 AND chunk_index = 0"
+_A = f"{SCORED}, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 3), g AS (SELECT query_id, a.id, score, rank, d.content, source FROM a JOIN d ON a.id = d.id JOIN documents ON doc_id = a.id)"
+SQL["context_assembly"] = f"{_A} SELECT query_id, string_agg('[' || rank || '] ' || content || chr(10) || CASE WHEN coalesce(source, '') <> '' THEN 'source: ' || source || chr(10) ELSE '' END || chr(10), '' ORDER BY rank) AS context FROM g GROUP BY query_id"
+SQL["prompt_assembly"] = (
+    f"{_A}, l AS (SELECT query_id, string_agg('Reference ' || rank || ':' || chr(10) || content || chr(10) || 'Source: ' || coalesce(source, ''), chr(10) || chr(10) ORDER BY rank) AS refs FROM g GROUP BY query_id) "
+    "SELECT q.query_id, 'Answer the question from the references below. If they don''t hold the answer, say so.' || chr(10) || chr(10) || CASE WHEN refs IS NULL THEN '' ELSE '=== References ===' || chr(10) || refs || chr(10) || chr(10) END || '=== Question ===' || chr(10) || 'Question: ' || query || chr(10) || chr(10) || '=== Answer ===' || chr(10) AS prompt FROM q LEFT JOIN l USING (query_id)"
+)
+_answer = (
+    "l AS (SELECT query_id, count(*) || ' results:' || chr(10) || chr(10) || string_agg(rank || '. ' || CASE WHEN coalesce(source, '') = '' THEN 'source ' || rank ELSE source END || CASE WHEN score > 0 THEN printf(' (score %.2f)', score) ELSE '' END || chr(10) || '   ' || CASE WHEN length(content) > 300 THEN substr(content, 1, 300) || '...' ELSE content END, chr(10) || chr(10) ORDER BY rank) AS answer FROM g GROUP BY query_id) "
+    "SELECT q.query_id, coalesce(answer, 'Nothing in the knowledge base answers this question.') AS answer FROM q LEFT JOIN l USING (query_id)"
+)
+SQL["fallback_answers"] = f"{_A}, {_answer}"
+SQL["stream_ingest"] = "SELECT lang, count(*) AS n FROM documents GROUP BY lang"
+SQL["snapshot_changes"] = (
+    "WITH a AS (SELECT doc_id, created_at AS m FROM documents WHERE lang IS DISTINCT FROM 'fr'), b AS (SELECT doc_id, updated_at AS m FROM documents WHERE lang IS DISTINCT FROM 'de') "
+    "SELECT CASE WHEN a.doc_id IS NULL THEN 'create' WHEN b.doc_id IS NULL THEN 'delete' ELSE 'modify' END AS event, count(*) AS n FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.m <> b.m GROUP BY ALL"
+)

@@ -28,9 +28,8 @@ def changes(before: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def latest(versions: DataFrame, key: str = "source", order: str = "batch") -> DataFrame:
-    """The current rows of a table that only grows: of each key the row of the last batch, unless it says deleted."""
-    row = F.max(F.struct(order, F.struct(*versions.columns).alias("row"))).alias("x")
-    return versions.groupBy(key).agg(row).select("x.row.*")
+    """The current rows of a table that only grows: of each key the row of the last batch."""
+    return versions.groupBy(key).agg(F.max_by(F.struct(*versions.columns), order).alias("row")).select("row.*")
 
 
 def start(stream: DataFrame, folder: str, prepare: Callable[[DataFrame], DataFrame] = files.documents, checkpoint: str | None = None, once: bool = True) -> StreamingQuery:
