@@ -33,9 +33,9 @@ def canonical(content: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", content: str = "content") -> DataFrame:
     """(doc_id, h1, h2, check): 128 bits of the canonical content in two halves, and another hash with the length to tell collisions apart.
 
-    All three are null for a content without any letter or digit, which has no copies by definition.
+    Rows without an id are left out. All three are null for a content without any letter or digit, which has no copies by definition.
     """
-    c = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(content)).alias("c"))
+    c = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), canonical(F.col(content)).alias("c"))
     c = c.select("doc_id", F.when(F.col("c").rlike(r"[\p{L}\p{N}]"), F.col("c")).alias("c"))
     digest = F.unhex(F.md5("c"))
     half = [F.conv(F.hex(F.substring(digest, i, 8)), 16, -10).cast("long") for i in (1, 9)]

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -230,14 +230,14 @@ def _single(text: str) -> tuple[str, int]:
 
     def fix(m: re.Match) -> str:
         word = m.group(0)
-        if not any(c in seen or (c in table and c > "\x7f") for c in word):
+        if not any(c in seen for c in word):
             return word
         t = "".join(table.get(c, c) for c in word)
         # right letters of a mixed text stay: only words whose change gives letters throughout are changed
         return t if all(c.isalpha() or c in "’‘-'–…" for c in t) and not re.search("[a-zà-ÿ][À-Þ]", t) else word
 
     signs = "".join(re.escape(c) for c in table if not c.isalnum())
-    changed = re.sub(rf"(?:[^\W\d_]|[{signs}])*(?:[{''.join(map(re.escape, seen))}])(?:[^\W\d_]|[{signs}])*", fix, text)
+    changed = re.sub(rf"(?:[^\W\d_]|[{signs}])+", fix, text)
     return changed, len(proofs)
 
 
@@ -310,13 +310,14 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
     return text, found + lost, whole and lost == 0 and not _C1.search(text)
 
 
-def _repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [repair(t) for t in b["text"]]
-        yield pd.DataFrame({"doc_id": b["doc_id"], "places": [r[1] for r in rows], "whole": [r[2] for r in rows], "restored": pd.Series([r[0] for r in rows], dtype=object)})
+        rows = [repair(t) for t in b.column("text").to_pylist()]
+        out = [b.column("doc_id"), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[0] for r in rows], pa.string())]
+        yield pa.RecordBatch.from_arrays(out, names=["doc_id", "places", "whole", "restored"])
 
 
 def repaired(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, places, whole, restored): places counts what the first looks found damaged, 0 for sound, empty or null text; whole tells whether nothing is lost."""
+    """(doc_id, places, whole, restored): places counts what was found damaged, 0 for sound, empty or null text; whole tells whether nothing is lost. A null id stays."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(_repaired, f"doc_id {dict(rows.dtypes)['doc_id']}, places long, whole boolean, restored string")
+    return rows.mapInArrow(_repaired, f"doc_id {dict(rows.dtypes)['doc_id']}, places long, whole boolean, restored string")

@@ -95,7 +95,7 @@ def _signer(run: int):
 
 def signatures(docs: DataFrame, run: int = 3, id_col: str = "doc_id", content: str = "content") -> DataFrame:
     """One row for each document with at least one run of tokens: its copy class (h1, h2), token hash (t1, t2), sketch, band keys and shingles."""
-    text = docs.filter(F.col(content).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(content).alias("content"))
+    text = docs.filter(F.col(content).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(content).alias("content"))
     digest = F.unhex(F.md5(canonical(F.col("content"))))
     half = [F.conv(F.hex(F.substring(digest, i, 8)), 16, -10).cast("long") for i in (1, 9)]
     return text.select("doc_id", half[0].alias("h1"), half[1].alias("h2"), "content").mapInArrow(_signer(run), _SIGNED_DDL)
