@@ -18,7 +18,7 @@ def canonical(content: Column) -> Column:
     A record is a JSON value with objects (fields sorted on every level; keys folded first) or a text of two or more
     lines that are all "Key: value". Anything else keeps its order. A broken JSON text counts as prose.
     """
-    folded = F.lower(F.upper(content))
+    folded = F.replace(F.replace(F.lower(F.upper(content)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
     def bare(x: Column) -> Column:
         return F.regexp_replace(x, r"[^\p{L}\p{N}\p{M}]+", "")

@@ -68,12 +68,15 @@ def parsimonious(record: np.ndarray, tf: np.ndarray, p_background: np.ndarray) -
     tf = tf.astype(float)
     p = tf / np.bincount(record, tf, n)[record]
     rest = (1 - OWN) * p_background
+    starts = np.flatnonzero(np.r_[True, record[1:] != record[:-1]]) if n else np.empty(0, int)
+    # a record rests once it has converged by itself, so its scores don't depend on the records beside it
+    moving = np.ones(n, bool)
     for _ in range(STEPS):
         e = tf * (OWN * p) / (rest + OWN * p)
-        q = e / np.bincount(record, e, n)[record]
-        done = np.abs(q - p).max() < EPS
+        q = np.where(moving[record], e / np.bincount(record, e, n)[record], p)
+        moving &= np.maximum.reduceat(np.abs(q - p), starts) >= EPS if n else False
         p = q
-        if done:
+        if not moving.any():
             break
     return p
 

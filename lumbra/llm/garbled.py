@@ -230,14 +230,16 @@ def _single(text: str) -> tuple[str, int]:
 
     def fix(m: re.Match) -> str:
         word = m.group(0)
-        if not any(c in seen for c in word):
+        if not any(c in table for c in word):
             return word
         t = "".join(table.get(c, c) for c in word)
         # right letters of a mixed text stay: only words whose change gives letters throughout are changed
         return t if all(c.isalpha() or c in "’‘-'–…" for c in t) and not re.search("[a-zà-ÿ][À-Þ]", t) else word
 
-    signs = "".join(re.escape(c) for c in table if not c.isalnum())
-    changed = re.sub(rf"(?:[^\W\d_]|[{signs}])+", fix, text)
+    # signs count inside of words only, those that are proofs at their ends as well; apostrophes and hard spaces never
+    inner = "".join(re.escape(c) for c in table if not c.isalnum() and (c in seen or c not in "’‘\xa0\xad"))
+    outer = "".join(map(re.escape, seen))
+    changed = re.sub(rf"[{outer}]*[^\W\d_]+(?:[{inner}]+[^\W\d_]+)*[{outer}¢¤†‡ˆ‰]*", fix, text)
     return changed, len(proofs)
 
 
