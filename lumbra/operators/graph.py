@@ -263,5 +263,18 @@ def retrieve(entities: DataFrame, relations: DataFrame, queries: DataFrame, seed
     return met.filter("source_doc_id is not null").groupBy("query_id", F.col("source_doc_id").alias("document_id")).agg(F.max("confidence").alias("score"))
 
 
+def answer(entities: DataFrame, relations: DataFrame, queries: DataFrame, seeds: int = 5, depth: int = 2) -> DataFrame:
+    """(query_id, entities, relations, answer): how much of the graph lies around the entities that a query names, and their names in a sentence."""
+    hits = cut(search(entities, queries, seeds), "seeds")
+    nodes, near = subgraph(entities, relations, hits.select("id").distinct(), depth)
+    seed = hits.select("query_id", F.col("id").alias("seed_id"))
+    size = seed.join(nodes, "seed_id").groupBy("query_id").agg(F.count_distinct("id").alias("entities"))
+    links = seed.join(near, "seed_id").groupBy("query_id").agg(F.count_distinct("relation_id").alias("relations"))
+    names = hits.join(entities.select("id", "name"), "id").groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), ", ").alias("names"))
+    met = queries.select("query_id").join(size, "query_id", "left").join(links, "query_id", "left").join(names, "query_id", "left").fillna(0, ["entities", "relations"])
+    text = F.when(F.col("names").isNull(), F.lit("No entity found.")).otherwise(F.format_string("%s: %d entities and %d relations around.", "names", "entities", "relations"))
+    return met.select("query_id", "entities", "relations", text.alias("answer"))
+
+
 def counts(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return entities.agg(F.count("*").alias("entities")).join(F.broadcast(relations.agg(F.count("*").alias("relations"))), F.lit(True))

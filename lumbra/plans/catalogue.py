@@ -15,7 +15,7 @@ from lumbra.functions.embed import hashing as hashing_embedder
 from lumbra.functions.generate import mock
 from lumbra.operators import acl, chunking, dedup, evaluate, fusion, graph, keyword, prompt, rerank, rewrite, segment, store, vector
 from lumbra.plans.engine import Engine
-from lumbra.session import scratch_dir
+from lumbra.session import run_dir
 from lumbra.sources import files
 from lumbra.streaming import ingest
 
@@ -587,6 +587,12 @@ def graph_retrieve(spark, sf):
     return graph.retrieve(e, r, _values(spark, NAMES)).select("query_id", "document_id", F.round("score", 6).alias("score"))
 
 
+@query
+def graph_answer(spark, sf):
+    e, r = _graph(spark, sf)
+    return graph.answer(e, r, _values(spark, NAMES))
+
+
 @query
 def graph_delete(spark, sf):
     e, r = _graph(spark, sf)
@@ -735,7 +741,7 @@ def stream_ingest(spark, sf):
     """The documents as a stream: parts are appended batch by batch, and what is current is counted."""
     import uuid
 
-    folder = f"{scratch_dir(spark)}/lumbra-stream-{uuid.uuid4().hex}"
+    folder = f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
     static = _t(spark, sf, "documents")
     rows = spark.readStream.schema(static.schema).parquet(f"{sf}/documents.parquet*")
     ingest.start(rows, folder, lambda b: b.select("doc_id", "lang", "doc_version")).awaitTermination()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumbra.functions import text as X
 from lumbra.functions.embed import Embedder, embed, hashing
-from lumbra.operators import chunking, dedup, fusion, graph, keyword, prompt, rerank, vector
+from lumbra.operators import chunking, dedup, fusion, graph, keyword, prompt, rerank, store, vector
 from lumbra.plans.config import Config
 from lumbra.schema import stable_id
 
@@ -50,6 +50,25 @@ class Engine:
         entities, relations = graph.build(chunks)
         return Corpus(live.withColumn("status", F.lit("indexed")), chunks, keyword.index(whole, tokenizer=self.tokenizer), vectors, entities, relations, marked)
 
+    def remove(self, corpus: Corpus, ids: DataFrame) -> Corpus:
+        """The corpus without the documents of these ids, in all its tables."""
+        gone = ids.select("id").distinct()
+        by_text = gone.select(F.col("id").cast("string").alias("id"))
+        chunks = store.delete_chunks(corpus.chunks, by_text)
+        entities = corpus.entities.join(by_text.withColumnRenamed("id", "source_doc_id"), "source_doc_id", "left_anti")
+        relations = corpus.relations.join(by_text.withColumnRenamed("id", "source_doc_id"), "source_doc_id", "left_anti")
+        return Corpus(store.delete(corpus.documents, gone), chunks, corpus.index.remove(gone), vector.delete(corpus.vectors, gone), entities, relations, store.delete(corpus.duplicates, gone))
+
+    def add(self, corpus: Corpus, docs: DataFrame) -> Corpus:
+        """The corpus with these documents, in place of those with the same ids. Copies of a content that is there already stay out if dedup is on."""
+        left = self.remove(corpus, docs)
+        if self.config.dedup:
+            have = left.documents.filter("content <> ''").select(dedup.fast_hash(F.col("content")).alias("_hash")).distinct()
+            docs = docs.withColumn("_hash", dedup.fast_hash(F.col("content"))).join(have, "_hash", "left_anti").drop("_hash")
+        new = self.index(docs)
+        parts = {n: getattr(left, n).unionByName(getattr(new, n), allowMissingColumns=True) for n in ("documents", "chunks", "vectors", "entities", "relations", "duplicates")}
+        return Corpus(index=keyword.Index(left.index.docs.unionByName(new.index.docs), self.tokenizer), **parts)
+
     def load(self, spark: SparkSession, folder: str) -> Corpus:
         t = {n: spark.read.parquet(f"{folder}/{n}") for n in ("documents", "chunks", "vectors", "entities", "relations", "duplicates")}
         whole = t["documents"].select("id", F.concat_ws(" ", "title", "content").alias("content"))

@@ -252,6 +252,17 @@ SQL["simple_paths"] = (
     "p1 AS (SELECT id, h, x.b AS n1, rid AS r1 FROM s JOIN x ON x.a = s.id), p2 AS (SELECT p1.*, x.b AS n2, x.rid AS r2 FROM p1 JOIN x ON x.a = p1.n1 WHERE n1 <> h AND x.b <> id), p3 AS (SELECT p2.*, x.b AS n3, x.rid AS r3 FROM p2 JOIN x ON x.a = p2.n2 WHERE n2 <> h AND x.b = h) "
     "SELECT id AS source, h AS target, id AS nodes, r1 AS edges, 1 AS length FROM p1 WHERE n1 = h UNION ALL SELECT id, h, id || '>' || n1, r1 || '>' || r2, 2 FROM p2 WHERE n2 = h UNION ALL SELECT id, h, id || '>' || n1 || '>' || n2, r1 || '>' || r2 || '>' || r3, 3 FROM p3 WHERE n2 <> n1"
 )
+_SEARCH = (
+    f"q AS (SELECT query_id, lower(query) AS q FROM {_q(C.NAMES)}), m AS (SELECT query_id, id, name, confidence, document_id, (lower(name) = q OR list_contains(list_transform(coalesce(aliases, []), lambda x: lower(x)), q)) AS exact FROM e, q "
+    "WHERE lower(name) = q OR list_contains(list_transform(coalesce(aliases, []), lambda x: lower(x)), q) OR contains(lower(name), q) OR (name <> '' AND contains(q, lower(name)))), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, id) AS rank FROM m QUALIFY rank <= 5), l0 AS (SELECT DISTINCT query_id, id FROM o), "
+    "l1 AS (SELECT DISTINCT query_id, b.b AS id FROM l0 JOIN b ON l0.id = b.a WHERE b.b IN (SELECT id FROM e)), n AS (SELECT * FROM l0 UNION SELECT * FROM l1)"
+)
+SQL["graph_retrieve"] = f"WITH {_G}, {_SEARCH} SELECT query_id, CAST(document_id AS VARCHAR) AS document_id, round(max(CASE WHEN isnan(confidence) THEN NULL ELSE confidence END), 6) AS score FROM n JOIN e USING (id) WHERE document_id IS NOT NULL GROUP BY ALL"
+SQL["graph_answer"] = (
+    f"WITH {_G}, {_SEARCH}, c AS (SELECT query_id, count(DISTINCT id) AS entities FROM n GROUP BY ALL), x AS (SELECT query_id, count(DISTINCT rid) AS relations FROM n JOIN b ON n.id = b.a GROUP BY ALL), w AS (SELECT query_id, string_agg(name, ', ' ORDER BY rank) AS names FROM o GROUP BY ALL) "
+    "SELECT query_id, coalesce(entities, 0) AS entities, coalesce(relations, 0) AS relations, CASE WHEN names IS NULL THEN 'No entity found.' ELSE names || ': ' || coalesce(entities, 0) || ' entities and ' || coalesce(relations, 0) || ' relations around.' END AS answer FROM q LEFT JOIN c USING (query_id) LEFT JOIN x USING (query_id) LEFT JOIN w USING (query_id)"
+)
 SQL["graph_delete"] = (
     f"WITH {_G}, g AS (SELECT id FROM e WHERE document_id = 10) SELECT (SELECT count(*) FROM e WHERE document_id IS DISTINCT FROM 10) AS entities, "
     "(SELECT count(*) FROM r WHERE document_id IS DISTINCT FROM 10 AND source_id NOT IN (SELECT id FROM g) AND target_id NOT IN (SELECT id FROM g)) AS relations"

@@ -10,12 +10,13 @@ DATA = "/root/testdata"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from lumbra.session import local_session
+    from lumbra.session import clean, local_session
 
     session = local_session(4, 4, "6g", "tests")
     if not session.conf.get("spark.checkpoint.dir", None):
         session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("scratch")))
-    return session
+    yield session
+    clean(session)
 
 
 @pytest.fixture(scope="session")

@@ -201,6 +201,9 @@ def test_engine(spark, tmp_path):
         assert e.search(c, q, mode, 2).orderBy("rank").first()["id"] == "2"
     assert "python is popular" in e.ask(c, q, mode="keyword").first()["answer"]
     assert e.ask(c, q, lambda p: p[:6], mode="keyword").first()["answer"] == "Answer"
+    more = e.add(c, spark.createDataFrame([("2", "Py", "rust instead", "s2", 4), ("4", "x", "golang is great", "s", 5)], docs.schema))
+    assert {r["id"] for r in more.documents.collect()} == {"1", "2"} and e.search(more, q, "keyword").count() == 0
+    assert e.remove(more, more.documents.select("id")).chunks.count() == 0
     c.save(str(tmp_path / "corpus"))
     assert e.search(e.load(spark, str(tmp_path / "corpus")), q, "keyword", 1, rerank_hits=True).first()["id"] == "2"
     with pytest.raises(ValueError):

@@ -80,3 +80,9 @@ def test_build_ids_are_stable(spark):
     chunks = spark.createDataFrame([("c1", "d1", "Apache Spark and Apache Spark")], "id string, document_id string, content string")
     a, b = (sorted(r["id"] for r in graph.build(chunks)[0].collect()) for _ in range(2))
     assert a == b and len(a) == 1
+
+
+def test_answer(spark, g):
+    q = spark.createDataFrame([("q", "alias-a"), ("none", "zzz")], "query_id string, query string")
+    got = {r["query_id"]: r["answer"] for r in graph.answer(*g, q).collect()}
+    assert got == {"q": "Name a: 4 entities and 6 relations around.", "none": "No entity found."}
