@@ -23,9 +23,13 @@ class Index:
     docs: DataFrame
     tokenizer: Tokenizer
 
+    def words(self) -> DataFrame:
+        """(id, dl, term) for each word of each document. An outer explode: for an inner one the planner would filter on the tokens' number and so make them twice."""
+        return self.docs.select("id", "dl", F.explode_outer("tokens").alias("term")).filter("term is not null")
+
     def postings(self) -> DataFrame:
         """(term, id, tf, dl); counts are combined before the shuffle."""
-        return self.docs.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+        return self.words().groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
     def vocabulary(self) -> DataFrame:
         """(term, df, cf)"""
@@ -34,7 +38,7 @@ class Index:
     def stats(self) -> DataFrame:
         """One row: documents, terms, tokens, average length."""
         sums = self.docs.agg(F.count("*").alias("documents"), F.sum("dl").cast("long").alias("tokens"))
-        terms = self.docs.select(F.explode("tokens").alias("term")).agg(F.count_distinct("term").alias("terms"))
+        terms = self.words().agg(F.count_distinct("term").alias("terms"))
         whole = sums.join(one_row(terms), F.lit(True))
         return whole.select("documents", "terms", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("documents"), F.lit(0.0)).alias("avgdl"))
 
@@ -78,7 +82,8 @@ def bm25(ix: Index, queries: DataFrame, k: int | None = 10, k1: float = K1, b: f
     """
     q = query_tokens(queries, ix.tokenizer)
     terms = small(q.select("term").distinct())
-    posts = ix.docs.select("id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    # partitioned by document once, which serves the counts of words and the sums of scores alike
+    posts = ix.words().join(terms, "term", "left_semi").repartition("id").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
     corpus = ix.docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.join(one_row(corpus), F.lit(True)).withColumn("idf", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
