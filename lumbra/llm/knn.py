@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumbra.llm.common import join_hot
 from lumbra.session import cut
 
 #: Rows and columns of one product tile; a tile of similarities takes 16 MB.
@@ -171,7 +172,7 @@ def neighbours(vectors: DataFrame, k: int = 5, floor: float = -1.0, dim: int = 6
     short = near.unionByName(own).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
     # a member of a class takes the k first of the class's k + 1 that aren't itself
     lists = short.groupBy("c").agg(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "neighbour"))).alias("all"))
-    mine = rows.select("c", "id").join(lists, "c").select("id", F.slice(F.filter("all", lambda x: x["neighbour"] != F.col("id")), 1, k).alias("all"))
+    mine = join_hot(rows.select("c", "id"), lists.join(sizes.select("c", "size"), "c"), ["c"], "size", rows.count()).select("id", F.slice(F.filter("all", lambda x: x["neighbour"] != F.col("id")), 1, k).alias("all"))
     return mine.select("id", F.posexplode("all").alias("rank", "x")).select("id", F.col("x.neighbour").alias("neighbour"), (F.col("rank") + 1).alias("rank"), (-F.col("x.s")).alias("similarity"))
 
 
