@@ -15,7 +15,7 @@ def simple_tokens(text: Column) -> Column:
 
 def han_tokens(text: Column) -> Column:
     """Like simple_tokens, but every Han character is a token by itself."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+)"), 1)
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}&&[^\p{IsHan}]]+|\p{IsHan})"), 1)
 
 
 def space_tokens(text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumbra.functions import text as X
 from lumbra.operators.sizes import one_row, small
+from lumbra.session import cut
 
 K1, B = 1.2, 0.75
 Tokenizer = Callable[[Column], Column]
@@ -78,12 +79,12 @@ def top(scored: DataFrame, k: int | None, by: str = "score", order: str = "id")
 def bm25(ix: Index, queries: DataFrame, k: int | None = 10, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score, rank) by BM25 with idf = ln((N - df + 0.5) / (df + 0.5)), which is negative for frequent terms.
 
-    Only postings of the queries' terms leave the scan: the terms are few and are broadcast if they are, so the corpus isn't shuffled.
+    Only postings of the queries' terms leave the scan: the terms are few and are broadcast if they are, so the corpus isn't shuffled. These
+    postings are written once and serve the document frequencies and the scores; one more pass over the corpus gives its size and mean length.
     """
     q = query_tokens(queries, ix.tokenizer)
     terms = small(q.select("term").distinct())
-    # partitioned by document once, which serves the counts of words and the sums of scores alike
-    posts = ix.words().join(terms, "term", "left_semi").repartition("id").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    posts = cut(ix.words().join(terms, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf")), "postings")
     corpus = ix.docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.join(one_row(corpus), F.lit(True)).withColumn("idf", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
