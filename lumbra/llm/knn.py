@@ -82,6 +82,13 @@ class _Side:
         self.best[rows] = both[:, -k:]
         self.kept.append((r, other, lb, ub))
 
+    def raise_to(self, rows: slice, sims: np.ndarray, slack: float) -> None:
+        """Each row has k vectors at or above the tile's k-th best product less its error: no bound of the row need be lower."""
+        k = self.best.shape[1]
+        if sims.shape[1] >= k:
+            kth = np.partition(sims, sims.shape[1] - k, axis=1)[:, -k].astype(np.float64) - slack
+            self.best[rows] = np.maximum(self.best[rows], kth[:, None])
+
     def survivors(self) -> pd.DataFrame:
         if not self.kept:
             return pd.DataFrame({"a": [], "b": [], "lb": [], "ub": []})
@@ -90,6 +97,12 @@ class _Side:
         return pd.DataFrame({"a": self.c[r[keep]], "b": other[keep], "lb": lb[keep], "ub": ub[keep]})
 
 
+def reached(sims: np.ndarray, rows: np.ndarray, columns: np.ndarray, slack: float) -> np.ndarray:
+    hit = sims >= (rows.astype(np.float32) - slack)[:, None]
+    hit |= sims >= (columns.astype(np.float32) - slack)[None, :]
+    return hit
+
+
 def _cell(k: int, floor: float):
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         same = key[0] == key[1]
@@ -104,8 +117,14 @@ def _cell(k: int, floor: float):
                 # products of whole numbers up to 64 * 127 * 127 are exact in single precision
                 sims = (x.hi[p] @ y.hi[q].T) * x.s[p, None] * y.s[None, q]
                 slack = np.float32(x.e1[p].max() * (1 + y.e1[q].max()) + y.e1[q].max() + 1e-5)
-                hit = sims >= (x.best[p, 0].astype(np.float32) - slack)[:, None]
-                hit |= sims >= (y.best[q, 0].astype(np.float32) - slack)[None, :]
+                if same and i == j:
+                    np.fill_diagonal(sims, -9)
+                hit = reached(sims, x.best[p, 0], y.best[q, 0], slack)
+                if np.count_nonzero(hit) > 8 * k * sum(sims.shape):
+                    # rows that know too little yet: the k-th best of this tile is a bound for each of them
+                    x.raise_to(p, sims, slack)
+                    y.raise_to(q, sims.T, slack)
+                    hit = reached(sims, x.best[p, 0], y.best[q, 0], slack)
                 r, c = np.nonzero(hit)
                 r, c = r + i, c + j
                 if same and i == j:
