@@ -58,15 +58,13 @@ class Flow:
 
 #: What a token that a source lacks costs the flow: more than any repetition.
 LACK = 10_000
-#: How much of all quotas the mixture fills at least. At 1 every present source holds its share exactly, and one with a single short text keeps
-#: the whole mixture to a few thousand tokens; below 1 such a source gives all it may, as often as it may, and the report shows what it lacks.
-COVERAGE = 0.8
 
 
-def route(patterns: dict[tuple[str, ...], int], share: dict[str, Fraction], repeats: dict[str, int], size: int) -> tuple[int, int, dict[tuple[tuple[str, ...], str], int]]:
+def route(patterns: dict[tuple[str, ...], int], share: dict[str, Fraction], repeats: dict[str, int], size: int, short: frozenset[str] = frozenset()) -> tuple[int, int, dict[tuple[tuple[str, ...], str], int]]:
     """(tokens wanted, tokens found, tokens that each pattern gives each source) for quotas of the sources' shares of size.
 
     The k-th use of a pattern's texts costs k - 1; a source uses a text at most its cap of times; what can't be found costs most.
+    Sources in short may lack tokens: they come after the others and don't count in what is wanted and found.
     """
     quota = {s: int(share[s] * size) for s in share}
     names, keys = sorted(share), sorted(patterns)
@@ -78,19 +76,20 @@ def route(patterns: dict[tuple[str, ...], int], share: dict[str, Fraction], repe
         for s in p:
             edges[p, s] = flow.edge(i, at[s], patterns[p] * repeats[s])
     for s in names:
-        flow.edge(0, at[s], quota[s], LACK)
+        flow.edge(0, at[s], quota[s], LACK if s in short else 2 * LACK)
         flow.edge(at[s], 1, quota[s])
     flow.run(0, 1)
     used = {(p, s): patterns[p] * repeats[s] - flow.adj[a][i][1] for (p, s), (a, i) in edges.items()}
-    return sum(quota.values()), sum(used.values()), used
+    return sum(quota[s] for s in names if s not in short), sum(n for (_, s), n in used.items() if s not in short), used
 
 
-def largest(patterns: dict, share: dict, repeats: dict, coverage: float = COVERAGE) -> tuple[int, dict]:
-    """The largest size at which that part of all quotas can be filled, and the routes for it. What can be filled never grows faster than the size."""
-    low, high, best = 0, int(sum(n * max(repeats[s] for s in p) for p, n in patterns.items()) / max(coverage, 0.01)) + 2, {}
+def largest(patterns: dict, share: dict, repeats: dict, coverage: float = 1.0, short: frozenset[str] = frozenset()) -> tuple[int, dict]:
+    """The largest size at which that part of the quotas of all sources but the short ones can be filled, and the routes for it. What can be filled never grows faster than the size."""
+    held = float(sum(n for s, n in share.items() if s not in short))
+    low, high, best = 0, int(sum(n * max(repeats[s] for s in p) for p, n in patterns.items()) / max(coverage * held, 0.01)) + 2 + len(share), {}
     while high - low > 1:
         mid = (low + high) // 2
-        want, have, used = route(patterns, share, repeats, mid)
+        want, have, used = route(patterns, share, repeats, mid, short)
         if have >= coverage * want:
             low, best = mid, used
         else:
@@ -109,11 +108,12 @@ def _texts(docs: DataFrame, targets: DataFrame, path: str) -> DataFrame:
     return once.groupBy("k1", "k2").agg(F.max("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("source", "doc_id"))).alias("members"))
 
 
-def mixture(docs: DataFrame, source_targets: DataFrame, seed: int = 0, coverage: float = COVERAGE, path: str = sizes.RANKS) -> DataFrame:
+def mixture(docs: DataFrame, source_targets: DataFrame, seed: int = 0, coverage: float | None = None, path: str = sizes.RANKS) -> DataFrame:
     """(source, doc_id, uses, tokens): how often the mixture has each document's text, and the tokens of one use.
 
-    The mixture is the largest in which that part of the quotas can be filled, so with coverage = 1 the largest in which every source that has
-    texts holds its share. Shares of absent sources go to the others in proportion.
+    With coverage = 1 the mixture is the largest in which every source that has texts holds its share. By default only a source with a single
+    distinct text may fall short: it gives what it may of its quota, and the others hold their shares to each other exactly. With a coverage
+    below 1 that part of all quotas is filled, and any source may fall short. Shares of absent sources go to the others in proportion.
     Equal texts are one, whatever documents and sources hold them: tokens are summed by the set of sources that have them (at most
     2^sources - 1 sums of a small fixed table's sources), a min-cost flow over these sums fixes what each gives to which source, and the texts
     of a pattern, in seeded random order on a line, are taken from the source's stretch of it. A text belongs to where its middle lies, so shares are off by at most half a text a stretch.
@@ -122,12 +122,15 @@ def mixture(docs: DataFrame, source_targets: DataFrame, seed: int = 0, coverage:
     spark: SparkSession = docs.sparkSession
     targets = source_targets.filter("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     texts = cut(_texts(docs.select("doc_id", "source", "text"), targets, path).withColumn("pattern", F.col("members.source")), "texts")
-    patterns = {tuple(r["pattern"]): int(r["n"]) for r in texts.groupBy("pattern").agg(F.sum("tokens").alias("n")).collect()}
+    sums = {tuple(r["pattern"]): (int(r["n"]), r["texts"]) for r in texts.groupBy("pattern").agg(F.sum("tokens").alias("n"), F.count("*").alias("texts")).collect()}
+    patterns = {p: n for p, (n, _) in sums.items()}
     wanted = {r["source"]: (Fraction(str(r["target_share"])), int(r["max_repeats"])) for r in targets.collect()}
     present = {s for p in patterns for s in p}
     whole = sum((wanted[s][0] for s in present), Fraction(0))
     share = {s: wanted[s][0] / whole for s in present}
-    _, routes = largest(patterns, share, {s: wanted[s][1] for s in present}, coverage) if present else (0, {})
+    short = frozenset(s for s in present if sum(k for p, (_, k) in sums.items() if s in p) == 1) if coverage is None else frozenset()
+    short = short if short < present else frozenset()
+    _, routes = largest(patterns, share, {s: wanted[s][1] for s in present}, 1.0 if coverage is None else coverage, short) if present else (0, {})
     stretches, at = [], dict.fromkeys(patterns, 0)
     for (p, s), n in sorted(routes.items()):
         if n:

@@ -87,12 +87,12 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mixture(_table(spark, sf, "documents"), _table(spark, sf, "source_targets"))
+    return mixing.mixture(_table(spark, sf, "documents"), _table(spark, sf, "source_targets"), coverage=1.0)
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     targets = _table(spark, sf, "source_targets")
-    return mixing.shares(mixing.mixture(_table(spark, sf, "documents"), targets), targets)
+    return mixing.shares(mixing.mixture(_table(spark, sf, "documents"), targets, coverage=1.0), targets)
 
 
 def p9_shares_exact(spark: SparkSession, sf: str) -> DataFrame:

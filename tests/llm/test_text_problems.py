@@ -167,3 +167,25 @@ def test_flow_prefers_fewer_repetitions():
 
     want, have, used = mixing.route({("a",): 100, ("a", "b"): 100}, {"a": Fraction(1, 2), "b": Fraction(1, 2)}, {"a": 2, "b": 2}, 200)
     assert want == have == 200 and used[("a",), "a"] == 100 and used[("a", "b"), "b"] == 100
+
+
+def test_ample_sources_hold_their_shares(spark):
+    from fractions import Fraction
+
+    half = {"a": Fraction(1, 2), "b": Fraction(1, 2)}
+    size, used = mixing.largest({("a",): 100, ("b",): 1000}, half, {"a": 1, "b": 1})
+    assert size in (200, 201) and used[("a",), "a"] == used[("b",), "b"] == 100
+    rows = [(i, "big", f"word{i} and some more text here", "x") for i in range(200)] + [(1000 + i, "small", f"small{i} text of the same kind", "x") for i in range(20)] + [(999, "tiny", "one short text", "x")]
+    targets = targets_of(spark, [("big", 0.5, 1), ("small", 0.4, 1), ("tiny", 0.1, 4)])
+    got = {r["source"]: r for r in mixing.shares(mixing.mixture(docs_of(spark, rows), targets), targets).collect()}
+    assert got["big"]["tokens"] / got["small"]["tokens"] == pytest.approx(0.5 / 0.4, abs=0.1) and got["tiny"]["most_uses"] == 4
+
+
+def test_registered_mixture_holds_every_share(spark, tmp_path):
+    from lumbra.llm import queries
+
+    rows = [(i, "big", f"word{i} and some more text here", "x") for i in range(200)] + [(999, "tiny", "one short text", "x")]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    targets_of(spark, [("big", 0.9, 1), ("tiny", 0.1, 4)]).write.parquet(f"{tmp_path}/source_targets.parquet")
+    got = {r["source"]: r["share"] for r in queries.p9_shares(spark, str(tmp_path)).collect()}
+    assert got["tiny"] == pytest.approx(0.1, abs=0.01) and got["big"] == pytest.approx(0.9, abs=0.01)
