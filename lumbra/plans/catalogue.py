@@ -377,7 +377,7 @@ def multi_query_knn(spark, sf):
 
 @query
 def ivf_knn(spark, sf):
-    return _scored(vector.Ivf(_vectors(spark, sf), 50).search(_asked(spark, sf), 10, 15))
+    return _scored(vector.Ivf(_vectors(spark, sf), 50).search(_asked(spark, sf), 10, 30))
 
 
 @query

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -75,6 +77,17 @@ def test_ivf_recall(spark):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+def test_registered_ivf_recall(spark):
+    from lumbra.plans import catalogue
+
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    exact = {(r["query_id"], r["id"]) for r in catalogue.knn_cosine(spark, sf).collect()}
+    found = {(r["query_id"], r["id"]) for r in catalogue.ivf_knn(spark, sf).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
+
+
 def test_embedders(spark):
     df = spark.createDataFrame([("a b",), ("",), (None,), ("a b",)], "t string")
     rows = embed(df, "t", hashing(8)).collect()
