@@ -111,6 +111,10 @@ def inner(a: str, b: str) -> float:
     return 0.0
 
 
+def _telling(w: str) -> bool:
+    return len(w) > 3 and w not in FULL and w not in BUSINESS
+
+
 def monge_elkan(x: list[str], y: list[str]) -> float:
     """Mean over x's words of the best similarity with a word of y."""
     return sum(max(inner(a, b) for b in y) for a in x) / len(x)
@@ -147,7 +151,7 @@ def alike(x: list[str], y: list[str], kind: str) -> float:
     my = y if len(fy) < 2 else fy
     if any(max(inner(a, b) for b in my) == 0 for a in mx) or any(max(inner(a, b) for a in mx) == 0 for b in my):
         return 0.0
-    if not any(len(a) > 3 and a not in FULL and a not in BUSINESS and inner(a, b) > 0.8 for a in mx for b in my):
+    if not any(_telling(a) and inner(a, b) > 0.8 for a in mx for b in my):
         return 0.0
     return min(monge_elkan(mx, my), monge_elkan(my, mx))
 
@@ -187,6 +191,87 @@ def keys(kind: str, words: list[str]) -> list[int]:
     return out
 
 
+def _slips(w: str) -> set[str]:
+    """What is left of a word without up to as many letters as inner() lets it slip; words that near share one of these, as do short forms of one name."""
+    out = {f"={n}" for n in FULL.get(w, ())}
+    if len(w) < 3 or w.isdigit():
+        return out
+    one = {w[:i] + w[i + 1 :] for i in range(len(w))}
+    return out | {w} | one | ({v[:i] + v[i + 1 :] for v in one for i in range(len(v))} if len(w) >= 9 else set())
+
+
+def word_pairs(kind: str, words: list[str]) -> list[tuple[int, str, str]]:
+    """(side, w, t): alike forms meet where a word near w and one near t on side 1 are w and t on side 0.
+
+    Side 0 has each word with each other one, its first letters (^) and the acronym of the firm's words (~); side 1 only words that may be the
+    one to agree, each with what has to have a counterpart. Chinese names meet in equal t: sorted, with one character left open, or as a beginning.
+    """
+    out: set[tuple[int, str, str]] = set()
+    if kind == "han":
+        c = words[0]
+        same = ["s" + "".join(sorted(c))] + [f"{i}?{c[:i]}?{c[i + 1 :]}" for i in range(len(c)) if len(c) >= 6]
+        out |= {(side, "", t) for side in (0, 1) for t in same} | ({(0, "", "b" + c)} if len(c) >= 5 else set()) | {(1, "", "b" + c[:n]) for n in range(5, len(c))}
+    elif kind == "latin" and len(words) > 1:
+        full = [w for w in words if len(w) > 1]
+        words = words if len(full) < 2 else full
+        firm = [w for w in words if w in BUSINESS]
+        for i, w in enumerate(words):
+            for j, c in enumerate(words):
+                if i == j or len(w) == 1:
+                    continue
+                out |= {(0, w, c)} | {(0, w, f"^{n[0]}") for n in (c, *FULL.get(c, ()))}
+                if _telling(w):
+                    out |= {(1, w, c)} | ({(1, w, f"^{c}")} if len(c) == 1 else {(1, w, "~" + "".join(sorted(c)))} if len(c) <= 4 else set())
+            if len(firm) > 1 and len(w) > 1:
+                out.add((0, w, "~" + "".join(sorted(x[0] for x in firm))))
+    return sorted(out)
+
+
+def _worded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(f, *x) for f, kind, w in zip(b["f"], b["kind"], b["words"], strict=True) for x in word_pairs(kind, list(w))]
+        yield pd.DataFrame(rows, columns=["f", "side", "w", "t"])
+
+
+def _slipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame([(w, v) for w in b["w"] for v in _slips(w)], columns=["w", "v"])
+
+
+@F.pandas_udf(T.DoubleType())
+def _inner(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([inner(a, b) for a, b in zip(x, y, strict=True)], dtype=float)
+
+
+def meetings(forms: DataFrame) -> DataFrame:
+    """(a, b): all pairs of forms that can be alike, a < b: they agree in a telling word and in another one, each but for a slip, a short form or an initial.
+
+    Which words are near each other is settled once for each word, so the work follows the number of names that meet, however common one of their words is.
+    """
+    worded = cut(forms.select("f", "kind", "words").mapInPandas(_worded, "f long, side int, w string, t string"), "worded")
+    words = worded.filter("side = 0 and w <> ''").select("w").distinct()
+    slips = cut(words.mapInPandas(_slipped, "w string, v string"), "slips")
+    near = slips.join(slips.select(F.col("w").alias("x"), "v"), "v").filter("w < x").select("w", "x").distinct().withColumn("s", _inner("w", "x")).filter("s > 0")
+    near = cut(near.select("w", "x"), "near")
+    lists = near.unionByName(near.select(F.col("x").alias("w"), F.col("w").alias("x"))).unionByName(words.select("w", F.col("w").alias("x"))).groupBy("w").agg(F.collect_set("x").alias("near"))
+    lists = cut(lists, "lists")
+
+    def spread(rows: DataFrame, c: str, out: str) -> DataFrame:
+        n = lists.withColumnRenamed("w", c).join(rows.groupBy(c).agg(F.count("*").alias("n")), c)
+        return join_hot(rows, n, [c], "n", rows.count()).select(*rows.columns, F.explode("near").alias(out))
+
+    told = worded.filter("side = 1")
+    asked = cut(told.filter("w <> ''").select("w", "t").distinct(), "asked")
+    first = cut(spread(asked, "w", "w2"), "first")
+    fixed = F.col("t").rlike("^[\\^~]") | (F.length("t") == 1)
+    both = spread(first.filter(~fixed), "t", "t2").unionByName(first.filter(fixed).withColumn("t2", F.col("t")))
+    both = both.unionByName(told.filter("w = ''").select("w", "t").distinct().select("w", "t", F.lit("").alias("w2"), F.col("t").alias("t2")))
+    there = cut(worded.filter("side = 0").select(F.col("f").alias("g"), F.xxhash64("w", "t").alias("key")), "there")
+    both = both.select(F.xxhash64("w", "t").alias("from"), F.xxhash64("w2", "t2").alias("key")).join(there.select("key").distinct(), "key", "left_semi")
+    here = told.select("f", F.xxhash64("w", "t").alias("from")).join(both, "from").select("f", "key")
+    return here.join(there, "key").filter("f <> g").select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b")).distinct()
+
+
 _FORM = "id string, is_name boolean, type string, form string, kind string, words array<string>, weak boolean"
 
 
@@ -240,8 +325,8 @@ def stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def linked(entities: DataFrame) -> DataFrame:
     """(id, entity): the smallest id of the entity that each id denotes, for entities with two or more ids that are persons or organisations.
 
-    A form is one way to write a name; equal forms are one node. Forms meet in MinHash buckets by stars (centre: most mentioned, and a random one),
-    are verified by Monge-Elkan similarity and clustered by star clustering, most mentioned forms first. A form of which only initials of the given
+    A form is one way to write a name; equal forms are one node. Forms meet in MinHash buckets by stars (centre: most mentioned, and a random one)
+    and, as stars leave out pairs of large buckets, in two words each of which is equal but for a slip; they are verified by Monge-Elkan similarity and clustered by star clustering, most mentioned forms first. A form of which only initials of the given
     name are known joins the one cluster it fits, or the one entity that lists it as an alias; if several fit it stays alone. Ids whose
     names or aliases are in one cluster are one entity. Entities whose declared types mostly say something else than person or organisation
     are left out. Null names and aliases are skipped; repeated rows count once; ties go to the smaller form.
@@ -259,16 +344,13 @@ def linked(entities: DataFrame) -> DataFrame:
     tops = met.filter("order = top").select("bucket", F.col("f").alias("c"), "size")
     by_top = join_hot(met.select("f", "bucket"), tops, ["bucket"], "size", met.count()).select("f", "c")
     by_any = met.select("f", F.col("any").bitwiseXOR(F.xxhash64("bucket")).alias("c"))
-    pairs = by_top.unionByName(by_any).filter("f <> c").select(F.least("f", "c").alias("a"), F.greatest("f", "c").alias("b")).distinct()
+    pairs = by_top.unionByName(by_any).filter("f <> c").select(F.least("f", "c").alias("a"), F.greatest("f", "c").alias("b"))
+    # two centres don't meet all of a bucket's pairs
+    pairs = pairs.unionByName(meetings(forms)).distinct()
     x = forms.select(F.col("f").alias("a"), F.col("words").alias("wa"), F.col("kind").alias("ka"), F.col("weak").alias("xa"))
     y = forms.select(F.col("f").alias("b"), F.col("words").alias("wb"), F.col("kind").alias("kb"), F.col("weak").alias("xb"))
     good = pairs.join(x, "a").join(y, "b").filter("ka = kb").withColumn("s", _alike("wa", "wb", "ka")).filter("s >= 0.75")
     good = cut(good.select("a", "b", "s", "xa", "xb"), "good")
-    # links through a common neighbour
-    two = good.select("a", "b").unionByName(good.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    through = two.alias("p").join(two.alias("q"), F.col("p.a") == F.col("q.a")).filter("p.b < q.b").select(F.col("p.b").alias("a"), F.col("q.b").alias("b")).distinct().join(good, ["a", "b"], "left_anti")
-    more = through.join(x, "a").join(y, "b").filter("ka = kb").withColumn("s", _alike("wa", "wb", "ka")).filter("s >= 0.75").select("a", "b", "s", "xa", "xb")
-    good = cut(good.unionByName(more), "good")
     both = good.unionByName(good.select(F.col("b").alias("a"), F.col("a").alias("b"), "s", F.col("xb").alias("xa"), F.col("xa").alias("xb")))
     clear = cut(stars(forms.filter("not weak"), both.filter("not xa and not xb").select("a", "b", "s")), "clear")
     weak = both.filter("xa and not xb").join(clear.select(F.col("f").alias("b"), "centre"), "b").groupBy(F.col("a").alias("f")).agg(F.min("centre").alias("lo"), F.max("centre").alias("hi"))

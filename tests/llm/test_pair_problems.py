@@ -238,3 +238,30 @@ def test_buckets_meet_as_the_curve_says():
 def test_every_problem_has_its_query():
     q = queries.queries()
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 7, 10)} <= set(q) and {int(k[1:].split("_")[0]) for k in q} == set(range(1, 11))
+
+
+def test_alike_forms_of_crowded_buckets_meet(spark):
+    r, slip = np.random.default_rng(1), {}
+    while len(slip) < 4000:
+        w = "".join(r.choice(list("bcdfghklmnprstvz")) + r.choice(list("aeiou")) for _ in range(4))
+        slip[w] = w[:3] + "xyjqw"[len(slip) % 5] + w[4:]
+    left = collections.defaultdict(set)
+    for w in [*slip, *slip.values()]:
+        for v in [w, *(w[:i] + w[i + 1 :] for i in range(8))]:
+            left[v].add(w)
+    near = lambda w: set().union(*(left[v] for v in [w, *(w[:i] + w[i + 1 :] for i in range(8))]))
+    alone = [(w, x) for w, x in slip.items() if near(w) == near(x) == {w, x}]
+    rows = [(f"{i}{side}", f"Thomas {w.title()}", None, "PERSON") for i, both in enumerate(alone) for side, w in zip("ab", both, strict=True)]
+    got = {tuple(x) for x in names.pairs(spark.createDataFrame(rows, "id string, name string, aliases array<string>, entity_type string")).collect()}
+    assert len(alone) > 2000 and got == {(f"{i}a", f"{i}b") for i in range(len(alone))}
+
+
+def test_meetings_hold_all_alike_forms(spark, sf):
+    said = {x for r in spark.read.parquet(f"{sf}/entities.parquet").select("name", "aliases").collect() for x in [r[0], *(r[1] or [])] if x}
+    said |= {"Acme Data Services", "DS Acme", "J. Smithson", "John Smithson", "Jack Smithsen", "北京华星数据有限公司", "北京华星数据集团", "北京华兴数据有限公司", "北京华星数据科技"}
+    forms = sorted({(k, tuple(w)) for k, w in filter(None, map(names.parse, said))})
+    df = spark.createDataFrame([(i, k, list(w)) for i, (k, w) in enumerate(forms)], "f long, kind string, words array<string>")
+    met = {tuple(r) for r in names.meetings(df).collect()}
+    same = lambda x, y: x[0] == y[0] and x[1] != y[1] and names.alike(list(x[1]), list(y[1]), x[0]) >= 0.75
+    want = {(i, j) for i, x in enumerate(forms) for j, y in enumerate(forms) if i < j and same(x, y) and sorted(x[1]) != sorted(y[1])}
+    assert want and want <= met
