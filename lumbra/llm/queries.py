@@ -23,7 +23,7 @@ def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return markup.cleaned(_table(spark, sf, "documents"), want_text=False).filter("kinds <> ''").select("doc_id")
+    return markup.cleaned(_table(spark, sf, "documents")).filter("kinds <> ''").select("doc_id")
 
 
 def p2_clean(spark: SparkSession, sf: str) -> DataFrame:

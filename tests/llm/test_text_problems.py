@@ -189,3 +189,13 @@ def test_registered_mixture_holds_every_share(spark, tmp_path):
     targets_of(spark, [("big", 0.9, 1), ("tiny", 0.1, 4)]).write.parquet(f"{tmp_path}/source_targets.parquet")
     got = {r["source"]: r["share"] for r in queries.p9_shares(spark, str(tmp_path)).collect()}
     assert got["tiny"] == pytest.approx(0.1, abs=0.01) and got["big"] == pytest.approx(0.9, abs=0.01)
+
+
+def test_found_markup_is_taken_from_the_cleaning(spark, sf, monkeypatch):
+    from lumbra.llm import queries
+
+    asked, cleaned = [], markup.cleaned
+    monkeypatch.setattr(markup, "cleaned", lambda *a, **k: asked.append(cleaned(*a, **k)) or asked[-1])
+    found = {r["doc_id"] for r in queries.p2_found(spark, sf).collect()}
+    rows = asked[0].collect()
+    assert found == {r["doc_id"] for r in rows if r["kinds"]} and any(r["clean_text"] for r in rows)
