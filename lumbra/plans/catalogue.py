@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -545,8 +546,9 @@ def relation_extraction(spark, sf):
 
 @query
 def llm_extraction(spark, sf):
-    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring("title", 1, 80).alias("content"))
-    answer = lambda p: '{"entities": [{"name": "' + "".join(c for c in p.rsplit("\n", 1)[-1] if c not in '"\\') + '", "type": "tool"}], "relations": []}'
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "content")
+    # a model that names every line of the text it is given
+    answer = lambda p: json.dumps({"entities": [{"name": x.strip(), "type": "tool"} for x in p.split("\n\n", 1)[-1].splitlines() if x.strip()], "relations": []})
     return graph.llm_extract(docs, answer).groupBy("kind", "type").agg(F.count("*").alias("n"))
 
 

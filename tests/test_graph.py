@@ -86,3 +86,10 @@ def test_answer(spark, g):
     q = spark.createDataFrame([("q", "alias-a"), ("none", "zzz")], "query_id string, query string")
     got = {r["query_id"]: r["answer"] for r in graph.answer(*g, q).collect()}
     assert got == {"q": "Name a: 4 entities and 6 relations around.", "none": "No entity found."}
+
+
+def test_registered_extraction_reads_whole_contents(spark, sf):
+    from lumbra.plans import catalogue
+
+    lines = sum(bool(x.strip()) for r in spark.read.parquet(f"{sf}/documents.parquet").select("content").collect() for x in (r[0] or "").splitlines())
+    assert sum(r["n"] for r in catalogue.llm_extraction(spark, sf).collect()) == lines
