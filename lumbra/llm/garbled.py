@@ -70,8 +70,6 @@ def automaton() -> ahocorasick.Automaton:
                 if form and len(form) == 1:
                     table.setdefault(form, (c, "gbk", False))
                 continue
-            if charset in ("cp437", "cp850", "mac_roman", "cp1250") and "一" <= c <= "鿿":
-                continue
             form = _read(data, charset)
             if form and form != c and all(x > "\x7f" for x in form):
                 # two letters that may stand side by side in a word need a neighbour of their kind
@@ -243,11 +241,30 @@ def _single(text: str) -> tuple[str, int]:
     return changed, len(proofs)
 
 
+_FOREIGN = re.compile(r"[\x80-\U0010ffff]{3,}")
+_CHINESE = re.compile(r"[、-】一-鿿！-～‘’“”…—]+")
+
+
+def _han_run(m: re.Match) -> str:
+    """A run that is Chinese as a whole if it was UTF-8 read in a set whose signs look like Greek or marked letters; settled before its parts are taken for others."""
+    for charset in ("cp437", "cp850", "mac_roman", "cp1250"):
+        try:
+            t = _written(m.group(0), charset).decode()
+        except UnicodeError:
+            continue
+        if _HAN.search(t) and _CHINESE.fullmatch(t):
+            return t
+    return m.group(0)
+
+
 def repair(text: str | None) -> tuple[str | None, int, bool]:
     """(restored text, number of damaged places, whether all of them came back). Undamaged text comes out as it is; null too."""
     if not text or text.isascii():
         return text, 0, True
     found, whole = 0, True
+    runs = [x for x in _FOREIGN.finditer(text) if _han_run(x) != x.group(0)]
+    if runs:
+        found, text = len(runs), _FOREIGN.sub(_han_run, text)
     for _ in range(4):
         before, n = text, 0
 

@@ -199,3 +199,10 @@ def test_found_markup_is_taken_from_the_cleaning(spark, sf, monkeypatch):
     found = {r["doc_id"] for r in queries.p2_found(spark, sf).collect()}
     rows = asked[0].collect()
     assert found == {r["doc_id"] for r in rows if r["kinds"]} and any(r["clean_text"] for r in rows)
+
+
+@pytest.mark.parametrize("charset", ["cp437", "cp850", "mac_roman", "cp1250"])
+def test_chinese_read_in_one_byte_sets_is_restored(charset):
+    said = "The note 根据报告数据已归档 was filed."
+    garbled_text = "".join(garbled._read(c.encode(), charset) for c in said)
+    assert garbled.repair(garbled_text)[0] == said and garbled.repair(garbled_text)[1] > 0 and garbled.repair(said)[:2] == (said, 0)
