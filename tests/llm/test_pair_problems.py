@@ -1,6 +1,7 @@
 import collections
 import json
 import math
+import random
 import re
 
 import numpy as np
@@ -175,11 +176,56 @@ def test_model_explains_common_terms_away():
 # Rankings.
 
 
-def test_tail_is_the_beta_distribution(spark):
-    df = spark.createDataFrame([(0.3, 2, 5), (0.5, 5, 5), (1.0, 1, 3)], "r double, k int, n int")
-    got = [x[0] for x in df.select(fused._tail(F.col("r"), F.col("k"), F.col("n"))).collect()]
-    want = [sum(math.comb(n, j) * r**j * (1 - r) ** (n - j) for j in range(k, n + 1)) for r, k, n in ((0.3, 2, 5), (0.5, 5, 5), (1.0, 1, 3))]
-    assert got == pytest.approx(want)
+def _tail(r, a, b):
+    """I_r(a, b) by the midpoint rule; for a < 1 after x = y^(1/a), which takes the pole at zero away."""
+    y = (np.arange(200_000) + 0.5) / 200_000
+    part = ((1 - y ** (1 / a) * r) ** (b - 1)).mean() * r**a / a if a < 1 else ((y * r) ** (a - 1) * (1 - y * r) ** (b - 1)).mean() * r
+    return float(part / math.exp(math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)))
+
+
+def test_tail_is_the_beta_distribution():
+    cases = [(0.3, 2, 5), (0.5, 5, 5), (1.0, 1, 3), (0.999, 1, 40), (1e-9, 3, 3)]
+    want = [sum(math.comb(n, j) * r**j * (1 - r) ** (n - j) for j in range(k, n + 1)) for r, k, n in cases]
+    r, k, n = (np.array(x, float) for x in zip(*cases, strict=True))
+    assert np.exp(fused.log_beta_tail(r, k, n - k + 1)) == pytest.approx(want, rel=1e-9)
+    for r, a, b in [(0.2, 0.35, 2.65), (0.7, 1.5, 1.5), (0.05, 2.2, 1.8), (0.9, 60.5, 40.5)]:
+        assert math.exp(fused.log_beta_tail(*np.array([[r], [a], [b]]))[0]) == pytest.approx(_tail(r, a, b), rel=1e-4)
+    assert fused.log_beta_tail(np.array([1e-6]), np.array([100.0]), np.array([1.0]))[0] == pytest.approx(100 * math.log(1e-6))
+
+
+def _brute(rows, weights):
+    """Items of one query in order, from scores {strategy: {id: score}}."""
+    lists, unit = len(rows), len(rows) / sum(weights.values())
+    out = []
+    for i in {i for s in rows.values() for i in s}:
+        ranks = []
+        for s, scores in rows.items():
+            if i in scores:
+                better, ties = sum(x > scores[i] for x in scores.values()), sum(x == scores[i] for x in scores.values())
+                ranks.append(((better + ties / 2) / len(scores), weights[s] * unit))
+        p = min(_tail(r, a, lists - a + 1) if r < 1 else 1.0 for r, _ in ranks for a in [min(lists, sum(w for x, w in ranks if x <= r))])
+        mean = (sum(r * w for r, w in ranks) + lists - sum(w for _, w in ranks)) / lists
+        out.append((round(math.log(p), 3), round(mean, 9), i, min(1.0, p * lists)))
+    return sorted(out)
+
+
+def test_ranking_is_that_of_brute_force(spark):
+    r = random.Random(4)
+    for n in (2, 3, 5):
+        scores = {f"s{k}": {f"i{j}": float(r.randint(0, 9)) * 10**k for j in range(12) if r.random() < 0.8} for k in range(n)}
+        weights = {f"s{k}": r.choice([0.3, 1.0, 2.5]) for k in range(n)}
+        results = spark.createDataFrame([("q", "p", s, i, x, 1, 0) for s, items in scores.items() for i, x in items.items()], R)
+        got = [(x["id"], x["significance"]) for x in fused.ranking(results, spark.createDataFrame([("p", weights)], O)).orderBy("rank").collect()]
+        want = _brute(scores, weights)
+        assert dict(got) == pytest.approx({i: p for *_, i, p in want}, rel=1e-3)
+        at = {i: k for k, (i, _) in enumerate(got)}
+        assert all(at[x[2]] < at[y[2]] for x, y in zip(want, want[1:], strict=False) if x[0] < y[0] - 0.01)
+
+
+def test_a_hundred_routes(spark):
+    rows = [("q", "p", f"s{k}", f"i{j}", float(j * (k + 1)), 1, 0) for k in range(100) for j in range(5)]
+    got = fused.ranking(spark.createDataFrame(rows, R), spark.createDataFrame([("p", {f"s{k}": 1.0 + k for k in range(100)})], O)).orderBy("rank").collect()
+    assert [x["id"] for x in got] == ["i4", "i3", "i2", "i1", "i0"]
 
 
 R = "query_id string, profile string, strategy string, id string, score double, retrieved_at int, rank int"
