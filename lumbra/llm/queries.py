@@ -87,17 +87,21 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mixture(_table(spark, sf, "documents"), _table(spark, sf, "source_targets"), coverage=1.0)
+    return mixing.mixture(_table(spark, sf, "documents"), _table(spark, sf, "source_targets"))
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     targets = _table(spark, sf, "source_targets")
-    return mixing.shares(mixing.mixture(_table(spark, sf, "documents"), targets, coverage=1.0), targets)
+    return mixing.shares(mixing.mixture(_table(spark, sf, "documents"), targets), targets)
 
 
-def p9_shares_exact(spark: SparkSession, sf: str) -> DataFrame:
-    targets = _table(spark, sf, "source_targets")
-    return mixing.shares(mixing.mixture(_table(spark, sf, "documents"), targets, coverage=1.0), targets)
+def p9_sized(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of what the named sources have; those that can't reach their share of it give all they have at their cap."""
+    return mixing.mixture(_table(spark, sf, "documents"), _table(spark, sf, "source_targets"), part=0.5)
+
+
+def p9_sized_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(p9_sized(spark, sf), _table(spark, sf, "source_targets"))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -146,22 +146,36 @@ def test_mixture_holds_shares_and_caps(spark):
     rows = [(i, "big", f"word{i} and some more text here", "x") for i in range(300)] + [(1000 + i, "small", f"small{i} text of the same kind", "x") for i in range(20)]
     rows += [(2000 + i, "both" if i % 2 else "big", f"shared{i // 2} text in two sources now", "x") for i in range(60)] + [(5000, None, "no source", "x"), (5001, "big", None, "x"), (5002, "big", "", "x")]
     targets = targets_of(spark, [("big", 0.5, 1), ("small", 0.3, 3), ("both", 0.2, 2), ("absent", 0.5, 1), ("null", None, 1)])
-    mixed = mixing.mixture(docs_of(spark, rows), targets, coverage=1.0)
+    mixed = mixing.mixture(docs_of(spark, rows), targets, seed=0)
     got = {r["source"]: r for r in mixing.shares(mixed, targets).collect()}
     assert got["big"]["share"] == pytest.approx(0.5, abs=0.03) and got["small"]["share"] == pytest.approx(0.3, abs=0.03) and got["absent"]["tokens"] == 0
     uses = mixed.groupBy("source").agg(F.max("uses")).collect()
     assert all(r[1] <= {"big": 1, "small": 3, "both": 2}[r[0]] for r in uses)
-    assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, mixing.mixture(docs_of(spark, rows), targets, coverage=1.0).collect()))
+    assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, mixing.mixture(docs_of(spark, rows), targets, seed=0).collect()))
 
 
 def test_starved_source_falls_short(spark):
     rows = [(i, "big", f"word{i} and some more text here", "x") for i in range(200)] + [(999, "tiny", "one short text", "x")]
     targets = targets_of(spark, [("big", 0.9, 1), ("tiny", 0.1, 4)])
-    got = {r["source"]: r for r in mixing.shares(mixing.mixture(docs_of(spark, rows), targets), targets).collect()}
+    got = {r["source"]: r for r in mixing.shares(mixing.mixture(docs_of(spark, rows), targets, size=1500), targets).collect()}
+    assert got["big"]["tokens"] == pytest.approx(1350, abs=10) and got["tiny"]["short"] and not got["big"]["short"]
     assert got["big"]["tokens"] > 1000 and got["tiny"]["most_uses"] == 4
     assert mixing.mixture(docs_of(spark, []), targets).count() == 0
 
 
+def test_shares_are_nearer_than_half_a_text(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, s, " ".join(r.choice(["red", "sea", "sun", "oak"]) + str(i) for _ in range(r.choice([3, 8, 60]))), "x") for i, s in enumerate(r.choices(["a", "b", "c"], [6, 3, 1], k=300))]
+    targets = targets_of(spark, [("a", 0.2, 1), ("b", 0.5, 2), ("c", 0.3, 3)])
+    got = mixing.shares(mixing.mixture(docs_of(spark, rows), targets), targets).collect()
+    whole = sum(x["tokens"] for x in got)
+    assert all(abs(x["tokens"] - x["target_share"] * whole) < 10 and not x["short"] for x in got) and whole > 1000
+    with pytest.raises(ValueError):
+        mixing.mixture(docs_of(spark, rows), targets_of(spark, [(f"s{i}", 0.05, 1) for i in range(17)]))
+
+
 def test_flow_prefers_fewer_repetitions():
     from fractions import Fraction
 
@@ -177,7 +191,7 @@ def test_ample_sources_hold_their_shares(spark):
     assert size in (200, 201) and used[("a",), "a"] == used[("b",), "b"] == 100
     rows = [(i, "big", f"word{i} and some more text here", "x") for i in range(200)] + [(1000 + i, "small", f"small{i} text of the same kind", "x") for i in range(20)] + [(999, "tiny", "one short text", "x")]
     targets = targets_of(spark, [("big", 0.5, 1), ("small", 0.4, 1), ("tiny", 0.1, 4)])
-    got = {r["source"]: r for r in mixing.shares(mixing.mixture(docs_of(spark, rows), targets), targets).collect()}
+    got = {r["source"]: r for r in mixing.shares(mixing.mixture(docs_of(spark, rows), targets, size=200), targets).collect()}
     assert got["big"]["tokens"] / got["small"]["tokens"] == pytest.approx(0.5 / 0.4, abs=0.1) and got["tiny"]["most_uses"] == 4
 
 
