@@ -83,6 +83,41 @@ def test_damage_of_other_scripts():
     assert garbled.repair("锟斤拷时")[1] > 0
 
 
+RUSSIAN = "Быстрый поиск считает новый запрос, а сервер отчётов хранит ответы."
+LAYERS = [
+    (RUSSIAN, ["koi8-r"]), (RUSSIAN, ["cp866"]), (RUSSIAN, ["cp1252"]), (RUSSIAN, ["latin-1", "latin-1", "latin-1"]), ("résumé über naïve Œuvre", ["latin-1"] * 3), ("日本語の文書はひらがなとカタカナで書く。", ["cp1252"]),
+    ("한국어 문서를 색인에 넣는다", ["cp1252"]), ("המסמך נמצא באינדקס של המערכת", ["cp1252"]), ("दस्तावेज़ सूची में है", ["cp1252"]), ("เอกสารอยู่ในดัชนี", ["cp1252"]), ("Το έγγραφο είναι στο ευρετήριο", ["cp1252"]), ("夜间词典与快照由归档网关更新", ["cp1252", "cp1252"]),
+    ("سجل المستند في الفهرس", ["cp1252"]), ("Zażółć gęślą jaźń po południu", ["cp1250"]), ("Příliš žluťoučký kůň", ["cp1252"]), ("a “quoted” – word…", ["cp437"]), ("Größe über Maß", ["cp852"]),
+]
+
+
+@pytest.mark.parametrize("text,layers", LAYERS)
+def test_utf8_read_in_any_set_comes_back(text, layers):
+    bad = text
+    for charset in layers:
+        bad = garbled._read(bad.encode(), charset)
+    assert garbled.repair(bad)[0] == text and garbled.repair(bad)[1] > 0
+
+
+@pytest.mark.parametrize("text,written,read", [
+    (RUSSIAN, "cp866", "cp1251"), (RUSSIAN, "koi8-r", "cp1251"), (RUSSIAN, "cp1251", "koi8-r"), (RUSSIAN, "iso8859-5", "latin-1"), (RUSSIAN, "koi8-r", "latin-1"), ("索引夜间更新词典与快照，手册负责恢复。", "big5", "latin-1"), ("文書はひらがなとカタカナで書かれています。", "shift_jis", "cp1252"),
+    ("文書はひらがなとカタカナで書かれています。", "euc_jp", "latin-1"), ("한국어 문서를 색인에 넣는다", "euc_kr", "latin-1"), ("Το έγγραφο είναι στο ευρετήριο της μηχανής", "cp1253", "latin-1"), ("Zażółcona łąka i żółta jabłoń", "cp1250", "cp1252"),
+])
+def test_other_sets_come_back(text, written, read):
+    try:
+        bad = garbled._read(text.encode(written), read)
+    except UnicodeEncodeError:
+        bad = garbled._read(text.translate(str.maketrans("间词与复册负责", "間詞與復冊負責")).encode(written, "ignore"), read)
+        text = garbled._written(bad, read).decode(written)
+    got = garbled.repair(bad)
+    assert got[1] > 0 and (got[0] == text or sum(a != b for a, b in zip(got[0], text, strict=False)) < 4), got
+
+
+@pytest.mark.parametrize("text", ["see note†ref here", "abc¶def", "the naïve™s case", "señor¿qué?", "версии колізії дії надії", "хлещем щи цена щей", "┌─┐\n│x│\n└─┘ ├─┤", "3 ×\xa05 und Ж\xa0и к\xa0письму", "ДНЕВНОЙ ОТЧЁТ КОПИРУЕТ", "Après l’été, l’élève", "ћирилица у нашем језику", "Ελληνικά ΚΕΦΑΛΑΙΑ κείμενα", "日本語とカタカナ", "한국어 문서", "Ünïcödé ÀÉÈ ŠŽ"])
+def test_right_text_is_left_alone(text):
+    assert garbled.repair(text) == (text, 0, True)
+
+
 @pytest.mark.parametrize("text", ["Søren in Århus; “naïve” – Łódź, Žofín, Kőszeg …", "A INTEGRAÇÃO, MANHÃ e SÃO João", "nÄHE pRÜFT", "5 °C, 3 × 5, ≈ 2 µ, § 4, 40 € ½", "词典与快照", "ОБЩИЙ реестр", "", None, "plain"])
 def test_sound_text_stays(text):
     assert garbled.repair(text) == (text, 0, True)
