@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,14 +24,70 @@ ALONE = "alpha approx bar beta bigskip cdot cdots centering clearpage cos delta
 _names = "|".join(sorted({*BLOCK, *INLINE, *WIKI}, key=len, reverse=True))
 TAG = re.compile(rf"<(/?)({_names})((?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?|\s*/)*)\s*>", re.I)
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>|<\?xml[^>]*\?>", re.S | re.I)
-ESCAPED = re.compile(rf"&lt;/?(?:{_names})\b[^<>]{{0,300}}?&gt;|&lt;!--", re.I)
+#: Tags of any other name, by grammar: end tags, names with a hyphen or prefix, quoted attributes, closed in themselves. array<float> is none.
+OTHER_TAG = re.compile(r"</[A-Za-z][\w.:-]*\s*>|(?<!\w)<[A-Za-z][\w.]*(?:[-:][\w.]+)+(?:\s[^<>]*)?>|(?<!\w)<[A-Za-z][\w.]*(?:\s+[\w:-]+\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'))+\s*/?>|(?<!\w)<[A-Za-z][\w.]*\s*/>")
+ESCAPED = re.compile(rf"&lt;/?(?:{_names})\b(?:[^<>&]|&(?!lt;|gt;))*&gt;|&lt;!--", re.I)
 ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 DROPPED = re.compile(r"<(script|style|noscript|template|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 
-LATEX = re.compile(rf"\\(?:{'|'.join(WITH_ARGUMENT)})\*?\s*[\[{{]|(?<![\w:\\])\\(?:{'|'.join(ALONE)})(?![A-Za-z])|\\[\[\]()](?=[^\n]{{0,200}})|(?<![\w\\])\\[%&#_](?!\w)")
-#: No formula is longer than this; without a bound, every opening sign without its end would be searched for to the end of the text.
-DISPLAY = re.compile(rf"\$\$[^$]{{1,4000}}\$\$|\\\[(?:(?!\\\[).){{1,4000}}?\\\]|\\\((?:(?!\\\().){{1,4000}}?\\\)|\\begin\{{(equation|align|gather|displaymath)\*?\}}(?:(?!\\begin).){{1,4000}}?\\end\{{\1\*?\}}|<math\b[^>]*>(?:(?!<math).){{0,4000}}?</math\s*>", re.S | re.I)
-MATH = re.compile(r"\$(?=[^$\n]*[\\_^{=])(?!\s)[^$\n]{1,200}(?<!\s)\$(?!\d)")
+#: A command of any name with an argument is LaTeX; alone, only the commands listed: other names stand in paths and patterns too.
+LATEX = re.compile(rf"(?<![\w:\\])\\[A-Za-z]{{2,}}\*?\s*(?:\[[^\]\n]*\])?\{{|\\(?:{'|'.join(WITH_ARGUMENT)})\*?\s*[\[{{]|(?<![\w:\\])\\(?:{'|'.join(ALONE)})(?![A-Za-z])|\\[\[\]()]|(?<![\w\\])\\[%&#_](?!\w)")
+#: A formula between dollar signs on one line: a longer one has a command, an exponent or an index in braces.
+MATH = re.compile(r"\$(?=[^$\n]{0,200}[\\_^{=]|[^$\n]*(?:\\[A-Za-z]{2}|\^[{\w]|_\{))(?!\s)[^$\n]+(?<!\s)\$(?!\d)")
+_DISPLAY = {"equation", "align", "gather", "displaymath", "multline", "eqnarray", "math"}
+_FORMULA = re.compile(r"\\(begin|end)\{(" + "|".join(sorted(_DISPLAY)) + r")\*?\}|\$\$|\\[\[\]()]|<(/?)math\b[^>]*>", re.I)
+_CLOSES = {"\\]": "\\[", "\\)": "\\("}
+
+
+def formulas(text: str) -> list[tuple[int, int]]:
+    """Start and end of the displayed and inline formulas between signs that open and close, the outermost of nested ones; one scan, whatever their length."""
+    out: list[tuple[int, int]] = []
+    opened: dict[str, int] = {}
+
+    def close(kind: str, end: int) -> None:
+        start = opened.pop(kind, None)
+        if start is not None:
+            while out and out[-1][0] >= start:
+                out.pop()
+            out.append((start, end))
+
+    for m in _FORMULA.finditer(text):
+        sign = m.group(0)
+        if m.group(2):
+            kind = m.group(2).lower()
+            if m.group(1).lower() == "begin":
+                opened[kind] = m.start()
+            else:
+                close(kind, m.end())
+        elif sign == "$$":
+            if sign in opened:
+                close(sign, m.end())
+            else:
+                opened[sign] = m.start()
+        elif sign in _CLOSES:
+            close(_CLOSES[sign], m.end())
+        elif sign[0] == "\\":
+            opened[sign] = m.start()
+        elif m.group(3):
+            close("<math", m.end())
+        else:
+            opened["<math"] = m.start()
+    return out
+
+
+def _held_formulas(text: str, hold) -> str:
+    parts, last = [], 0
+    for a, b in formulas(text):
+        body = text[a:b]
+        if body[0] == "<":
+            inner = re.sub(r"</?math\b[^>]*>", "", body, flags=re.I).strip()
+            told = re.match(r"<math\b[^>]*?\balttext\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", body, re.I)
+            tex = html.unescape(next(g for g in told.groups() if g is not None)) if told else TAG.sub("", inner)
+            body = f"${tex or inner}$" if tex or inner else ""
+        parts += [text[last:a], hold(body) if body.strip("$") else ""]
+        last = b
+    return "".join([*parts, text[last:]])
+
 
 FENCE = re.compile(r"^[ \t]*(```+|~~~+)[ \t]*([\w+#.-]*)[^\n]*\n(.*?)(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
 CODE_TAG = re.compile(r"<(pre|syntaxhighlight|source)\b([^>]*)>(.*?)(?:</\1\s*>|\Z)", re.S | re.I)
@@ -42,9 +99,9 @@ IMAGE = re.compile(r"!\[([^\]\n]*)\]\(([^()\s]+)(?:\s+\"[^\"\n]*\")?\)")
 LINK = re.compile(r"(?<!!)\[([^\]\[\n]+)\]\(([^()\s]+)(?:\s+\"[^\"\n]*\")?\)")
 STRONG = re.compile(r"(?<![\w*])\*\*(?=\S)([^*\n]+?)(?<=\S)\*\*(?![\w*])|(?<!\w)__(?=[^\W_])([^_\n]+?)(?<=[^\s_])__(?!\w)|~~(?=\S)([^~\n]+?)(?<=\S)~~")
 #: Chinese text has no spaces around words, so there a Han character may touch the marks.
-STRONG_HAN = re.compile(r"(?<!\*)\*\*(?=\S)([^*\n]{1,200}?)(?<=\S)\*\*(?!\*)|(?<!_)__(?=[^\W_])([^_\n]{1,200}?)(?<=[^\s_])__(?!_)")
-EM = re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]{1,120}?)(?<=[^\s*])\*(?![\w*])|(?<![\w_\\])_(?=[^\s_])([^_\n]{1,120}?)(?<=[^\s_])_(?![\w_])")
-CODE = re.compile(r"(?<!`)`([^`\n]{1,200})`(?!`)")
+STRONG_HAN = re.compile(r"(?<!\*)\*\*(?=\S)(?=[^*\n]{1,200}\*|[^*\n]*[㐀-鿿])([^*\n]+?)(?<=\S)\*\*(?!\*)|(?<!_)__(?=[^\W_])(?=[^_\n]{1,200}_|[^_\n]*[㐀-鿿])([^_\n]+?)(?<=[^\s_])__(?!_)")
+EM = re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*(?![\w*])|(?<![\w_\\])_(?=[^\s_])([^_\n]+?)(?<=[^\s_])_(?![\w_])")
+CODE = re.compile(r"(?<!`)`([^`\n]+)`(?!`)")
 MD_TABLE = re.compile(r"^[ \t]*(?:\|[ \t]*)?:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+(?:\|[ \t]*)?$", re.M)
 QUOTE = re.compile(r"^[ ]{0,3}>[ \t]?(?=\S)", re.M)
 RULE = re.compile(r"^[ ]{0,3}(?:-{3,}|\*{3,}|_{3,}|(?:\* ){2,}\*|(?:- ){2,}-)[ \t]*$", re.M)
@@ -69,9 +126,9 @@ def entities(text: str) -> list[str]:
 def kinds(text: str) -> list[str]:
     """The kinds of markup in the text: html, markdown, wiki, latex. Signs that plain prose uses as well are none."""
     found = set()
-    if TAG.search(text) or COMMENT.search(text) or ESCAPED.search(text) or entities(text):
+    if TAG.search(text) or OTHER_TAG.search(text) or COMMENT.search(text) or ESCAPED.search(text) or entities(text):
         found.add("html")
-    if LATEX.search(text) or VERBATIM.search(text) or MATH.search(text):
+    if LATEX.search(text) or VERBATIM.search(text) or MATH.search(text) or formulas(text):
         found.add("latex")
     if WIKI_HEADING.search(text) or WIKI_LINK.search(text) or TEMPLATE.search(text) or APOSTROPHE_PAIR.search(text) or REF.search(text) or WIKI_TABLE.search(text) or REDIRECT.search(text) or EXTERNAL.search(text):
         found.add("wiki")
@@ -86,43 +143,111 @@ def kinds(text: str) -> list[str]:
 
 # Weights of the content region.
 
-
-def pages(n: int = 200) -> Iterator[list[tuple[str, bool]]]:
-    """Labelled pages made by rule: (word or tag, is content). Menus, scripts and footers are not; headings, paragraphs, lists, tables and code are."""
-    for k in range(n):
-        page: list[tuple[str, bool]] = [("<html", False), ("<head", False), ("<title", False), ("w", False), ("<script", False), ("<style", False)][: 2 + k % 5]
-        page += [(t, False) for _ in range(k % 7) for t in ("<nav", "<a", "w", "<option", "<input")]
-        for i in range(3 + k % 11):
-            kind = (k + i) % 5
-            words = [("w", True)] * (6 + (k * 7 + i * 3) % 40)
-            if kind == 0:
-                page += [("<h2", True), ("w", True), ("w", True), ("<p", True), *words]
-            elif kind == 1:
-                page += [(t, True) for _ in range(4) for t in ("<li", "w", "w", "w")]
-            elif kind == 2:
-                page += [(t, True) for _ in range(3) for t in ("<tr", "<td", "w", "<td", "w", "<td", "w")]
-            elif kind == 3:
-                page += [("<pre", True), ("<code", True), *words]
+#: Elements that open a zone of a page; a word's weight depends on the innermost one, on whether it is in a link, and on its block.
+ZONES = {"nav", "header", "footer", "aside", "form", "menu", "main", "article", "head", "script", "style", "noscript"}
+BLOCKS = {"p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "dd", "dt", "figcaption", "div"}
+
+
+def classes(tags: Iterator[tuple[str, bool, int]]) -> Iterator[tuple[str, int]]:
+    """(class, words): the class of each tag and of the run of words after it, from (name, is end tag, words after it).
+
+    Zones nest; a link ends with its end tag or with the next block.
+    """
+    zones: list[str] = []
+    block, link = "-", False
+    for name, end, words in tags:
+        if name in ZONES:
+            if not end:
+                zones.append(name)
+            elif name in zones:
+                while zones.pop() != name:
+                    pass
+        if name in BLOCKS:
+            block, link = ("-" if end else "h" if name[0] == "h" else name), False
+        elif name == "a":
+            link = not end
+        zone = zones[-1] if zones else "-"
+        yield f"<{name} {zone}", 1
+        if words:
+            yield f"w {zone} {'a' if link else '-'} {block}", words
+
+
+def pages(n: int = 400) -> Iterator[list[tuple[str, bool, int, bool]]]:
+    """Labelled pages made by rule: (tag, is end tag, words after it, is content). Menus, banners, sidebars, related links and footers are not content, however
+    many words they have; headings, paragraphs, quotes, lists, tables and code are, with links among their words."""
+    r = random.Random(2)
+    for _ in range(n):
+        page: list[tuple[str, bool, int, bool]] = []
+
+        def put(spec: str, content: bool, page: list = page) -> None:
+            for part in spec.split():
+                name, _, words = part.partition(":")
+                page.append((name.lstrip("/"), name[0] == "/", int(words or 0), content))
+
+        def menu(links: int, page: list = page) -> None:
+            item = r.choice(["li a:{} /a /li", "a:{} /a", "li a:{} /a", "td a:{} /a /td", "div a:{} /a /div", "a:{} /a br"])
+            around = r.choice(["ul {} /ul", "div {} /div", "{}"])
+            put(around.format(" ".join(item.format(r.randint(1, 6)) for _ in range(links))), False)
+
+        put(f"html head title:{r.randint(1, 9)} /title" + r.choice([" script /script", " style /style", ""]) + " /head body", False)
+        for zone in r.sample(["header", "nav", "div", "form"], r.randint(0, 3)):
+            put(f"{zone}:{r.choice([0, 0, 3, 12])}", False)
+            menu(r.randint(2, 40)) if zone != "form" else put("label:2 /label input button:1 /button", False)
+            put(f"/{zone}", False)
+        main = r.choice(["main", "article", "div", ""])
+        put(main, True)
+        for i in range(r.randint(2, 14)):
+            kind = r.random()
+            if kind < 0.1:
+                put(f"div:{r.randint(5, 60)} " + f"br:{r.randint(3, 30)} " * r.randint(0, 3) + "/div", True)
+            elif kind < 0.3:
+                put(f"{r.choice(['h1', 'h2', 'h3'])}:{r.randint(1, 8)} /h2 p:{r.randint(8, 80)} /p", True)
+            elif kind < 0.6:
+                put(f"p:{r.randint(5, 60)} " + " ".join(f"{t}:{r.randint(1, 4)} /{t}:{r.randint(0, 20)}" for t in r.choices(["a", "b", "em", "code", "span"], k=r.randint(0, 4))) + " /p", True)
+            elif kind < 0.75:
+                put(f"{r.choice(['ul', 'ol'])} " + " ".join(f"li:{r.randint(2, 25)} {r.choice(['', '', 'a:3 /a:4', 'b:2 /b:3', 'br:4'])} /li" for _ in range(r.randint(2, 9))) + " /ul", True)
+            elif kind < 0.87:
+                put("table " + " ".join("tr " + " ".join(f"td:{r.randint(1, 4)} /td" for _ in range(4)) + " /tr" for _ in range(r.randint(2, 9))) + " /table", True)
             else:
-                page += [("<p", True), *words, ("<b", True), ("w", True), ("<a", True), ("w", True), ("<br", True), ("<div", True)]
-        page += [(t, False) for _ in range(k % 5) for t in ("<footer", "<a", "w", "<form", "<button", "<iframe")]
+                put(f"{r.choice(['pre', 'blockquote'])}:{r.randint(5, 60)} /pre", True)
+            if r.random() < 0.08 and i:
+                put(f"aside:{r.randint(2, 30)}", False)
+                menu(r.randint(1, 6))
+                put("/aside", False)
+        if main:
+            put(f"/{main}", True)
+        for zone in r.sample(["footer", "nav", "aside", "div"], r.randint(0, 3)):
+            put(f"{zone}:{r.choice([0, 4, 15, 90] if zone != 'div' else [0])}", False)
+            menu(r.randint(0, 30))
+            put(f"/{zone}", False)
+        put("/body /html", False)
         yield page
 
 
-def fit(labelled: Iterator[list[tuple[str, bool]]]) -> dict[str, float]:
-    """Log-odds of each word class and tag to stand in content, smoothed; tags of content weigh a little below zero, others more."""
+#: Weight of a word of a class that no page has, and of such a tag.
+UNKNOWN_WORD, UNKNOWN_TAG = 0.5, -0.3
+
+
+def fit(labelled: Iterator[list[tuple[str, bool, int, bool]]]) -> dict[str, float]:
+    """Log-odds of each class of words and each tag to stand in content, smoothed. Words score above zero, those of menus and footers hardly; tags below."""
     yes: Counter = Counter()
     no: Counter = Counter()
     for page in labelled:
-        for token, content in page:
-            (yes if content else no)[token] += 1
+        labels = [c for _, _, w, c in page for _ in range(2 if w else 1)]
+        for (c, n), content in zip(classes((t, e, w) for t, e, w, _ in page), labels, strict=True):
+            for key in (c, c.rsplit(" ", 2)[0] if c[0] == "w" else c.split()[0]):
+                (yes if content else no)[key] += n
     weights = {t: math.log((yes[t] + 0.5) / (no[t] + 0.5)) for t in {*yes, *no}}
-    word = weights.pop("w")
-    return {"w": max(1.0, word)} | {t: min(-0.05, w if w < 0 else -0.05) for t, w in weights.items()}
+    return {t: max(0.02, min(1.0, w)) if t[0] == "w" else max(-4.0, min(-0.05, w)) for t, w in weights.items()}
 
 
 WEIGHTS = fit(pages())
-UNKNOWN_TAG = -0.3
+
+
+def weight(c: str) -> float:
+    """Of a class, else of its zone's words or its tag anywhere."""
+    short, other = (c.rsplit(" ", 2)[0], UNKNOWN_WORD) if c[0] == "w" else (c.split()[0], UNKNOWN_TAG)
+    return WEIGHTS.get(c, WEIGHTS.get(short, other))
 
 
 def region(scores: list[float]) -> tuple[int, int]:
@@ -137,32 +262,56 @@ def region(scores: list[float]) -> tuple[int, int]:
     return where
 
 
-def content_region(page: str) -> str:
-    """The part of an HTML page that holds its content."""
-    spans, scores, last = [], [], 0
+_WORD = re.compile(r"[㐀-鿿぀-ヿ가-힣]|\ue000\d+\ue001|[^\s㐀-鿿぀-ヿ가-힣\ue000]+")
+
 
-    def words(a: int, b: int) -> None:
-        for m in re.finditer(r"\S+", page[a:b]):
-            spans.append((a + m.start(), a + m.end()))
-            scores.append(WEIGHTS["w"])
+def content_region(page: str, held: list[str] = ()) -> str:
+    """The part of an HTML page that holds its content. Words before the first tag have the weight of a class that isn't known; a part that is held
+    outside of the page, as code and formulas are, counts as all its words, and each character of scripts without blanks as one."""
+    found = list(TAG.finditer(page))
+    spans: list[tuple[int, int]] = []
+    scores: list[float] = []
 
-    for m in TAG.finditer(page):
-        words(last, m.start())
+    def words(a: int, b: int, each: float) -> int:
+        n = len(spans)
+        for m in _WORD.finditer(page, a, b):
+            spans.append(m.span())
+            scores.append(each * len(held[int(m.group(0)[1:-1])].split()) if m.group(0)[0] == "\ue000" else each)
+        return len(spans) - n
+
+    words(0, found[0].start() if found else len(page), UNKNOWN_WORD)
+    ends = [*[m.start() for m in found[1:]], len(page)]
+    kinds_of = classes((m.group(2).lower(), bool(m.group(1)), int(bool(page[m.end() : e].strip()))) for m, e in zip(found, ends, strict=True))
+    for m, e in zip(found, ends, strict=True):
+        c, _ = next(kinds_of)
         spans.append(m.span())
-        scores.append(WEIGHTS.get("<" + m.group(2).lower(), UNKNOWN_TAG) / (2 if m.group(1) else 1))
-        last = m.end()
-    words(last, len(page))
+        scores.append(weight(c) / (2 if m.group(1) else 1))
+        if page[m.end() : e].strip():
+            words(m.end(), e, weight(next(kinds_of)[0]))
     a, b = region(scores)
     if a == b:
         return ""
-    # the tags that open right before the region belong to its first word
-    while a > 0 and scores[a - 1] > -1 and page[spans[a - 1][0]] == "<":
+    # a block whose words are in the region belongs to it with all its words and links, as do the tags that open right before it, unless they open another zone
+    inside = lambda i: (m := TAG.match(page, spans[i][0])) is None or m.group(2).lower() not in BLOCK
+    while a > 0 and inside(a) and inside(a - 1):
         a -= 1
-    while b < len(spans) and scores[b] > -1 and page[spans[b][0]] == "<":
+    while b < len(spans) and inside(b - 1) and inside(b):
+        b += 1
+    tag = lambda i: page[spans[i][0]] == "<" and not re.match(rf"</?(?:{'|'.join(ZONES)}|body|html)\b", page[spans[i][0] : spans[i][1]], re.I)
+    while a > 0 and tag(a - 1) and page[spans[a - 1][0] + 1] != "/":
+        a -= 1
+    while b < len(spans) and tag(b) and page[spans[b][0] + 1] == "/":
         b += 1
     return page[spans[a][0] : spans[b - 1][1]]
 
 
+def _without_others(text: str) -> str:
+    """Without tags of names that HTML doesn't have, and the start tags that their end tags prove."""
+    names = {m.group(1) for m in re.finditer(r"</([A-Za-z][\w.:-]*)\s*>", text) if not TAG.fullmatch(m.group(0))}
+    text = OTHER_TAG.sub(lambda m: m.group(0) if TAG.fullmatch(m.group(0)) else "", text)
+    return re.sub(r"<([A-Za-z][\w.:-]*)(?:\s[^<>]*)?>", lambda m: "" if m.group(1) in names else m.group(0), text) if names else text
+
+
 _HOLD = re.compile("\ue000(\\d+)\ue001")
 
 
@@ -187,15 +336,15 @@ def clean(text: str) -> str:
     lang = re.compile(r"(?:language-|lang=[\"']?)([\w+#-]+)", re.I)
     text = CODE_TAG.sub(lambda m: code((lang.findall(m.group(2) + m.group(3)[:80]) or [""])[0], m.group(3), True), text)
     text = VERBATIM.sub(lambda m: code("", m.group(2)), text)
-    text = DISPLAY.sub(lambda m: hold(re.sub(r"</?math\b[^>]*>", "$", m.group(0), flags=re.I)), text)
+    text = _held_formulas(text, hold)
     text = MATH.sub(lambda m: hold(m.group(0)), text)
     wiki = bool(WIKI_HEADING.search(text) or WIKI_LINK.search(text) or WIKI_TABLE.search(text))
     latex = bool(re.search(r"\\(?:begin|section|documentclass|subsection)\b", text))
-    if TAG.search(text) or COMMENT.search(text):
+    if TAG.search(text) or OTHER_TAG.search(text) or COMMENT.search(text):
         text = REF.sub("", COMMENT.sub("", DROPPED.sub("", text)))
         text = re.sub(r"<nowiki>(.*?)</nowiki>", lambda m: m.group(1), text, flags=re.S)
-        if re.search(r"<(?:html|body|nav|header|footer)\b", text, re.I):
-            text = content_region(text)
+        if re.search(r"<(?:html|body|nav|header|footer|aside)\b", text, re.I):
+            text = content_region(text, held)
         text = re.sub(r"<h([1-6])\b[^>]*>\s*(.*?)\s*</h\1\s*>", lambda m: f"\n\n{'#' * int(m.group(1))} {m.group(2)}\n\n", text, flags=re.S | re.I)
 
         def table(m: re.Match) -> str:
@@ -211,6 +360,7 @@ def clean(text: str) -> str:
 
         text = re.sub(r"<ol\b[^>]*>(.*?)(?:</ol\s*>|\Z)", ordered, text, flags=re.S | re.I)
         text = re.sub(r"<li\b[^>]*>\s*", "\n- ", text, flags=re.I)
+        text = _without_others(text)
         text = TAG.sub(lambda m: "\n" if m.group(2).lower() == "br" else "\n\n" if m.group(2).lower() in BLOCK else "", text)
     text = re.sub(ENTITY, lambda m: html.unescape(m.group(0)), text)
     text = re.sub(ENTITY, lambda m: html.unescape(m.group(0)), text)
@@ -234,6 +384,8 @@ def clean(text: str) -> str:
         text = re.sub(r"\\(?:documentclass|usepackage|label|ref|cite[pt]?|bibliography|begin|end|include|input)\*?\s*(?:\[[^\]]*\])?(?:\{[^{}]*\})?", "", text)
         for _ in range(3):
             text = re.sub(r"\\(?:emph|text(?:bf|it|rm|sc|sf|sl|tt)|underline|footnote|caption|author|date|url)\s*\{([^{}]*)\}", r"\1", text)
+            # of a command that isn't known the last argument is its text
+            text = re.sub(r"(?<![\w:\\])\\[A-Za-z]{2,}\*?\s*(?:\[[^\]\n]*\])?(?:\{[^{}]*\})*\{([^{}]*)\}", r"\1", text)
         text = re.sub(r"(?<![\w:\\])\\(?:maketitle|noindent|newpage|clearpage|centering|par|hfill|bigskip|tableofcontents)(?![A-Za-z])", "", text)
         text = re.sub(r"(?<![\w\\])\\([%&#_])(?!\w)", r"\1", text)
     if wiki or TEMPLATE.search(text) or APOSTROPHE_PAIR.search(text) or EXTERNAL.search(text):

@@ -1,3 +1,4 @@
+import re
 import time
 
 import pytest
@@ -35,6 +36,49 @@ def test_structure_stays():
     assert markup.clean("\\section{S}\n\\begin{itemize}\n \\item a \\emph{b}\n\\end{itemize}\n\\[ \\alpha \\]") == "# S\n\n- a b\n\n\\[ \\alpha \\]"
 
 
+LINKS = ["Home page", "All our products and services", "About us", "Contact the team today", "Terms of use", "News from the field", "Careers and open places", "Sign in"]
+MENUS = {
+    "nav": "<nav><ul>" + "".join(f"<li><a href=x>{t}</a></li>" for t in LINKS) + "</ul></nav>",
+    "bare list": "<ul>" + "".join(f"<li><a href='/{i}'>{t}</a></li>" for i, t in enumerate(LINKS * 4)) + "</ul>",
+    "header": "<header><div>Our great company since 1999</div>" + "".join(f'<a href="x">{t}</a>' for t in LINKS) + "</header>",
+}
+TEXT = "<h1>On indexes</h1><p>An index maps each word to the records that hold it, with <a href=y>their places</a>. It is built once and read often.</p><ul><li>one short point</li><li>another <b>short</b> point</li></ul><p>See also <a href=z>the manual</a></p>"
+FOOTERS = ["<footer>Copyright of this company, all rights are reserved here.</footer>", "<footer><p>" + "Long legal words that nobody reads at all. " * 12 + "</p><a href=x>Imprint</a></footer>", ""]
+
+
+@pytest.mark.parametrize("menu", MENUS.values(), ids=MENUS)
+@pytest.mark.parametrize("footer", FOOTERS, ids=["short", "long", "none"])
+def test_menus_and_footers_go_and_all_content_stays(menu, footer):
+    want = "# On indexes\n\nAn index maps each word to the records that hold it, with their places. It is built once and read often.\n\n- one short point\n\n- another short point\n\nSee also the manual"
+    assert re.sub(r"\n\s*\n", "\n\n", markup.clean(f"<html><head><title>t</title></head><body>{menu}{TEXT}{footer}</body></html>")) == want
+
+
+def test_long_pages_keep_code_and_other_scripts():
+    code = "<pre><code>" + "x = 1\n" * 400 + "</code></pre>"
+    got = markup.clean(f"<body>{MENUS['nav']}<p>索引把每个词映射到记录，并且经常读取，然后更新目录与词典。</p>{code}<p>最后一段文字也在这里，说明如何恢复快照与日志。</p></body>")
+    assert got.startswith("索引") and got.count("x = 1") == 400 and got.endswith("日志。")
+
+
+@pytest.mark.parametrize("text,kind", [
+    ("so $" + "a_{1} + " * 40 + "b$ holds", "latex"), ("`" + "x " * 200 + "`", "markdown"), ("**" + "字" * 300 + "**", "markdown"), ("an *" + "very " * 40 + "long* point", "markdown"), ("$$" + "a + " * 2000 + "b$$", "latex"), ("\\[" + "a + " * 2000 + "b\\]", "latex"),
+    ("see <custom-tag> here", "html"), ("<svg:path> x", "html"), ("<widget size='2'>", "html"), ("a</thing>", "html"), ("a <thing/> b", "html"), ("\\textcolor{red}{x}", "latex"), ("\\mycommand{x}", "latex"), ("&lt;a " + "href " * 100 + "&gt;", "html"),
+])
+def test_markup_of_any_length_and_name(text, kind):
+    assert kind in markup.kinds(text)
+
+
+def test_other_names_are_cleaned():
+    assert markup.clean("a <my-box>b</my-box> <thing>c</thing> <x/>d") == "a b c d"
+    assert markup.clean("a \\textcolor{red}{b} \\mine[o]{c}") == "a b c"
+    assert markup.clean('x <math alttext="a_1 &lt; b"></math> y') == "x $a_1 < b$ y"
+    assert markup.clean("p \\begin{equation}\\begin{aligned}a\\end{aligned}\\end{equation} q \\(b\\)") == "p \\begin{equation}\\begin{aligned}a\\end{aligned}\\end{equation} q \\(b\\)"
+
+
+@pytest.mark.parametrize("text", ["type List<String> or Map<K, V> and array<float>", "if a < b and c > d", "C:\\new\\data and \\d{4} or \\w+", "costs $5 to $7, or 5$ a day", "a<b>c" .replace("<b>", "<7>"), "$HOME and ${PATH}"])
+def test_more_plain_text_stays(text):
+    assert markup.kinds(text) == []
+
+
 def test_best_region_is_the_largest_sum():
     import itertools
     import random
@@ -50,7 +94,7 @@ def test_best_region_is_the_largest_sum():
 def test_long_texts_take_linear_time():
     n = 100_000
     began = time.time()
-    for t in ("*" * n, "<a " * (n // 3), "[a](" * (n // 4), " " * n, "\\[" * (n // 2), "word " * (n // 5), "词" * n):
+    for t in ("*" * n, "<a " * (n // 3), "[a](" * (n // 4), " " * n, "&lt;a " * (n // 6), "$a_" * (n // 3), "`a" * (n // 2), "</x>" * (n // 4), "<x-y " * (n // 5), "\\begin{math}" * (n // 12), "\\ab{" * (n // 5), "\\ab[" * (n // 5), "**字" * (n // 3), "__a" * (n // 3), "\\[" * (n // 2), "word " * (n // 5), "词" * n):
         markup.clean(t)
         garbled.repair(t)
     assert time.time() - began < 20
