@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumbra.llm.common import HAN, py_tokens
+from lumbra.llm.common import HAN, join_hot, py_tokens
 from lumbra.session import cut
 
 #: Share of the record's own model in the mixture, and when the expectation-maximisation ends.
@@ -178,6 +178,8 @@ def scores(recs: DataFrame, keep: Keep | None = None, broadcast_terms: int = BRO
         return recs.mapInPandas(_scored(keep, totals, spark.sparkContext.broadcast(known)), _OUT)
     share = F.create_map(*[x for t, n in totals.items() for x in (F.lit(t), F.lit(float(n)))])
     back = back.withColumn("pc", F.col("cf") / share[F.col("table_name")])
-    posts = recs.mapInPandas(_postings, "table_name string, record_id string, term string, tf long").join(back.drop("cf"), ["table_name", "term"])
+    posts = cut(recs.mapInPandas(_postings, "table_name string, record_id string, term string, tf long"), "postings")
+    # a common word is a key of very many postings: those of the commonest ones stay where they are
+    posts = join_hot(posts, back.drop("cf"), ["table_name", "term"], "df", posts.count())
     lists = posts.groupBy("table_name", "record_id").agg(F.sort_array(F.collect_list(F.struct("term", "tf", "df", "pc"))).alias("ps"))
     return lists.mapInPandas(_scored_lists(keep), _OUT)

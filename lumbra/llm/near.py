@@ -172,14 +172,48 @@ class Near:
         return met.select("a", "b", _jaccard("sa", "sb").alias("similarity")).filter(F.col("similarity") >= self.least - 1e-12)
 
     def pairs(self) -> DataFrame:
-        """(a, b, similarity) of representatives. Stars leave out links between two satellites: those of one centre are checked as well."""
+        """(a, b, similarity) of representatives. Stars leave out links between two satellites: those that are connected are checked as well."""
         star = cut(self.checked(self.candidates()), "star")
-        ends = star.select("a", "b").unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        through = ends.alias("x").join(ends.alias("y"), F.col("x.a") == F.col("y.a")).filter("x.b < y.b").select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
-        rest = through.join(star.select("a", "b"), ["a", "b"], "left_anti")
+        self.roots = cut(components(star), "roots")
+        rest = connected(star, self.roots, self.reps.select("rep", "n"), self.least).join(star.select("a", "b"), ["a", "b"], "left_anti")
         return star.unionByName(self.checked(cut(rest, "through")))
 
 
+#: Members of a block: two blocks meet in at most its square of pairs, so no task has a hub or a family to itself.
+BLOCK = 256
+
+
+def connected(star: DataFrame, roots: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs that have a common neighbour in star, of sizes that allow the similarity.
+
+    Of each component either all pairs are taken, or the pairs around each of its members, whichever are fewer: a family of alike texts has
+    many members that are everyone's neighbour, and would give each pair once for each of them. Groups are cut into blocks, and a pair of blocks
+    is one key of the join, so the pairs of a large group are spread over all tasks.
+    """
+    ends = star.select("a", "b").unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    of = roots.select(F.col("id").alias("a"), "root")
+    degree = ends.groupBy("a").agg(F.count("*").alias("d"))
+    cost = degree.join(of, "a").groupBy("root").agg(F.count("*").alias("members"), F.sum(F.col("d") * F.col("d")).alias("around"))
+    whole = cut(cost.select("root", "members", (F.col("members") * F.col("members") <= F.col("around")).alias("all")), "whole")
+    n_roots = roots.count()
+    marked = cut(join_hot(roots.withColumnRenamed("id", "rep"), whole, ["root"], "members", n_roots).select("rep", "root", "members", "all"), "marked")
+    # (group, rep, size of the group)
+    families = marked.filter("all").select(F.col("root").alias("g"), "rep", F.col("members").alias("size"))
+    hubs = ends.join(marked.filter("not all").select(F.col("rep").alias("a")), "a").join(degree.filter("d > 1"), "a").select(F.col("a").alias("g"), F.col("b").alias("rep"), F.col("d").alias("size"))
+    members = families.unionByName(hubs).join(sizes, "rep")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    members = cut(members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "g"), blocks).cast("int")), "members")
+    spread = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = members.select("g", "rep", "n", "block", spread.alias("other")).filter("block <= other").select("g", F.col("block").alias("i"), F.col("other").alias("j"), F.col("rep").alias("ra"), F.col("n").alias("na"))
+    y = members.select("g", "rep", "n", "block", spread.alias("other")).filter("other <= block").select("g", F.col("other").alias("i"), F.col("block").alias("j"), F.col("rep").alias("rb"), F.col("n").alias("nb"))
+    met = x.join(y, ["g", "i", "j"]).filter("ra <> rb and (i <> j or ra < rb)").filter(F.least("na", "nb") >= least * F.greatest("na", "nb"))
+    return met.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+
+
+#: Copies of one text that meet its pairs in one part.
+COPIES = 5000
+
+
 def found(docs: DataFrame, least: float = 0.6, run: int = 3, id_col: str = "doc_id", content: str = "content") -> DataFrame:
     """(doc_id_a, doc_id_b): all pairs of documents at or above the threshold that are not in one set of copies.
 
@@ -188,8 +222,16 @@ def found(docs: DataFrame, least: float = 0.6, run: int = 3, id_col: str = "doc_
     near = Near(docs, least, run, id_col, content)
     pairs = cut(near.pairs(), "pairs")
     used = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    members = cut(near.members().join(used, "rep", "left_semi").select("doc_id", "rep"), "members")
-    met = pairs.join(members.select(F.col("doc_id").alias("da"), F.col("rep").alias("a")), "a").join(members.select(F.col("doc_id").alias("db"), F.col("rep").alias("b")), "b")
+    members = near.members().join(used, "rep", "left_semi").withColumn("salts", F.ceil(F.col("copies") / COPIES).cast("int"))
+    members = cut(members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), "salts").cast("int")), "members")
+    salts = members.groupBy("rep").agg(F.max("salts").alias("salts"))
+
+    def written_out(df: DataFrame, end: str, doc: str) -> DataFrame:
+        # a text with very many copies is split into parts, and its pairs meet each of them
+        df = df.join(salts.withColumnRenamed("rep", end), end).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        return df.join(members.select(F.col("doc_id").alias(doc), F.col("rep").alias(end), "salt"), [end, "salt"]).drop("salt")
+
+    met = written_out(written_out(pairs.select("a", "b"), "a", "da"), "b", "db")
     return met.select(F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b"))
 
 
@@ -197,7 +239,8 @@ def grouped(docs: DataFrame, least: float = 0.6, run: int = 3, id_col: str = "do
     """(doc_id, class_id, links): the group of every document that has a near duplicate or an equal token sequence, and its text's number of links."""
     near = Near(docs, least, run, id_col, content)
     pairs = cut(near.pairs(), "pairs")
-    roots = cut(components(pairs), "roots")
+    # pairs with a common neighbour connect nothing that isn't connected already
+    roots = near.roots
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     of = roots.withColumnRenamed("id", "rep").join(links, "rep")
     members = near.members()

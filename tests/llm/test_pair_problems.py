@@ -82,7 +82,8 @@ def test_near_duplicates_of_the_tables(spark, sf):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
-def test_near_duplicates_of_odd_rows(spark):
+def test_near_duplicates_of_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(near, "COPIES", 2)
     base = [f"w{i}" for i in range(40)]
     texts = {1: " ".join(base), 2: " ".join(base[:38]), 3: " ".join(base[2:]), 4: " ".join(base).upper(), 5: "", 6: None, 7: "a b", 8: " ".join(f"x{i}" for i in range(40)), 9: " ".join(base[:38])}
     docs = spark.createDataFrame([(k, v, 1) for k, v in texts.items()] + [(None, texts[1], 1), (1, texts[1], 1)], "doc_id long, content string, n int")
@@ -94,6 +95,24 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near.found(docs.limit(0)).count() == 0
 
 
+def test_pairs_around_hubs_and_families(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 4)
+    r = random.Random(5)
+    hub = [(0, i) for i in range(1, 40)]  # a star: pairs around its hub are all pairs
+    family = [(a, b) for a in range(100, 112) for b in range(a + 1, 112)]
+    chain = [(200 + i, 201 + i) for i in range(30)] + [(200, 250 + i) for i in range(10)]
+    edges = hub + family + chain
+    near_of = collections.defaultdict(set)
+    for a, b in edges:
+        near_of[a].add(b)
+        near_of[b].add(a)
+    size = {x: r.choice([10, 12, 30]) for x in near_of}
+    want = {(a, b) for x in near_of for a in near_of[x] for b in near_of[x] if a < b and min(size[a], size[b]) >= 0.6 * max(size[a], size[b])}
+    star = spark.createDataFrame(edges, "a long, b long")
+    got = {tuple(x) for x in near.connected(star, common.components(star), spark.createDataFrame(list(size.items()), "rep long, n int"), 0.6).collect()}
+    assert want <= got and all(min(size[a], size[b]) >= 0.6 * max(size[a], size[b]) for a, b in got)
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(0)
     for share in (0.3, 0.6, 0.9):
@@ -173,6 +192,34 @@ def test_model_explains_common_terms_away():
     assert p[1] > 0.99 and p[2] == 1.0
 
 
+def _model(docs):
+    """The parsimonious model of each record, one record and term at a time."""
+    counts = {k: collections.Counter(common.py_tokens(t)) for k, t in docs.items()}
+    cf = sum(counts.values(), collections.Counter())
+    whole, out = sum(cf.values()), {}
+    for k, tf in counts.items():
+        p = {t: n / sum(tf.values()) for t, n in tf.items()}
+        for _ in range(distinctive.STEPS):
+            e = {t: n * distinctive.OWN * p[t] / ((1 - distinctive.OWN) * cf[t] / whole + distinctive.OWN * p[t]) for t, n in tf.items()}
+            q = {t: x / sum(e.values()) for t, x in e.items()}
+            done = max(abs(q[t] - p[t]) for t in q) < distinctive.EPS
+            p = q
+            if done:
+                break
+        out |= {(k, t): x for t, x in p.items()}
+    return out
+
+
+@pytest.mark.parametrize("broadcast_terms", [1_000_000, 0])
+def test_scores_are_those_of_brute_force(spark, broadcast_terms, monkeypatch):
+    monkeypatch.setattr(common, "HOT_PART", 20)
+    r = random.Random(7)
+    docs = {f"d{i}": " ".join(r.choices(["the", "of", "index", "vector", f"own{i}", f"kin{i % 4}"], [30, 20, 5, 3, 4, 4], k=r.randint(1, 60))) for i in range(60)}
+    recs = spark.createDataFrame([("t", k, v) for k, v in docs.items()], "table_name string, record_id string, content string")
+    got = {(x["record_id"], x["term"]): x["score"] for x in distinctive.scores(recs, broadcast_terms=broadcast_terms).collect()}
+    assert got == pytest.approx(_model(docs), abs=1e-6)
+
+
 # Rankings.
 
 
