@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumbra.session import cut
@@ -25,6 +26,19 @@ def py_tokens(text: str) -> list[str]:
     return PY_TOKEN.findall(text.lower())
 
 
+@contextmanager
+def setting(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for what runs inside."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 #: A key is hot if it holds more than this part of the rows; so at most 1000 keys are, whatever the size.
 HOT_PART = 1000
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lumbra.llm.common import join_hot
 from lumbra.session import cut
 
-#: A "Key: value" line; the key is at most six words.
-FIELD = r"(?s)^\s*[\p{L}\p{N}][\p{L}\p{N}_-]*(?:[ \t][\p{L}\p{N}_-]+){0,5}\s*[:\uFF1A](?:\s.*)?$"
+#: A "Key: value" line; the key is words without other signs, however many.
+FIELD = r"(?s)^\s*[\p{L}\p{N}][\p{L}\p{N}_ \t-]*[:\uFF1A](?:\s.*)?$"
 
 
 def canonical(content: Column) -> Column:
@@ -25,7 +25,7 @@ def canonical(content: Column) -> Column:
 
     parsed = F.when(folded.rlike(r"(?s)^\s*[\{\[].*[\}\]]\s*$"), F.to_json(F.try_parse_json(folded)))
     lines = F.filter(F.split(folded, r"[\r\n]+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    maybe = content.rlike(r"^\s*[\p{L}\p{N}][^\r\n:\uFF1A]{0,120}[:\uFF1A]")
+    maybe = content.rlike(r"^\s*[\p{L}\p{N}][^\r\n:\uFF1A]*[:\uFF1A]")
     record = F.when(maybe & (F.size(lines) > 1) & F.forall(lines, lambda x: x.rlike(FIELD)), F.array_join(F.array_sort(F.transform(lines, bare)), ""))
     return F.coalesce(record, bare(F.coalesce(parsed, folded)))
 
@@ -53,6 +53,12 @@ def groups(prints: DataFrame) -> DataFrame:
     return prints.filter("h1 is not null").groupBy(*KEY).agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("copies"))
 
 
+def collisions(prints: DataFrame) -> DataFrame:
+    """(h1, h2, contents, copies): fingerprints that several different contents have, as the other hash and the length tell; empty if the 128 bits are enough."""
+    by_check = prints.filter("h1 is not null").groupBy(*KEY).agg(F.count("*").alias("copies"))
+    return by_check.groupBy("h1", "h2").agg(F.count("*").alias("contents"), F.sum("copies").alias("copies")).filter("contents > 1")
+
+
 def collapse(docs: DataFrame, id_col: str = "doc_id", content: str = "content") -> DataFrame:
     """(doc_id, copies): one row for each set of copies, under its smallest id, and how many there are.
 

@@ -10,25 +10,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumbra.llm.common import join_hot
+from lumbra.llm.common import join_hot, setting
 from lumbra.session import cut
 
 #: Rows and columns of one product tile; a tile of similarities takes 16 MB.
 TILE = 2048
 #: Vectors in one block of the grid, at least; blocks are never smaller, so that few vectors don't make many tasks.
 BLOCK = 4096
+#: Pairs that a block holds before those that its bounds have ruled out are dropped.
+KEPT = 1 << 20
 
 
 def latest(vectors: DataFrame, dim: int = 64) -> DataFrame:
     """(id, v): the row of each id with the latest created_at, from vector or else embedding, as a unit vector of doubles.
 
     Ids whose latest row is not dim finite numbers, or all zero, are left out; so are null ids. A null created_at counts as
-    earliest; of rows with equal times the larger vector wins, so that the result doesn't depend on the order of rows.
+    earliest; of rows with equal times the larger vector wins, then the larger text, so that the result doesn't depend on the order of rows.
     """
     text = F.expr("transform(split(regexp_replace(embedding, '[\\\\[\\\\]\\\\s]', ''), ','), x -> try_cast(x as double))")
-    value = F.coalesce(F.col("vector").cast("array<double>"), text)
-    rows = vectors.filter("id is not null").select("id", F.struct(F.col("created_at").alias("t"), value.alias("v")).alias("row"))
-    v = rows.groupBy("id").agg(F.max("row").alias("row")).select("id", F.col("row.v").alias("v"))
+    row = F.struct(F.col("created_at").alias("t"), F.col("vector").cast("array<double>").alias("vector"), "embedding")
+    rows = vectors.filter("id is not null").groupBy("id").agg(F.max(row).alias("row")).select("id", "row.vector", "row.embedding")
+    # only the rows that count are read from their text
+    v = rows.select("id", F.coalesce("vector", text).alias("v"))
     fine = (F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     big = F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
     v = v.filter(F.coalesce(fine, F.lit(False))).withColumn("big", big).filter("big > 0").withColumn("v", F.transform("v", lambda x: x / F.col("big")))
@@ -62,6 +65,7 @@ class _Side:
         self.e1, self.e2 = rows["e1"].to_numpy(np.float64), rows["e2"].to_numpy(np.float64)
         self.best = np.full((n, k), floor, np.float64)
         self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held, self.bound = 0, KEPT
 
     def add(self, r: np.ndarray, other: np.ndarray, lb: np.ndarray, ub: np.ndarray) -> None:
         """The pairs survive whose upper bound reaches the row's k-th best lower bound; both are merged into the rows' heaps."""
@@ -81,6 +85,17 @@ class _Side:
         both = np.sort(np.concatenate([self.best[rows], new], 1), 1)
         self.best[rows] = both[:, -k:]
         self.kept.append((r, other, lb, ub))
+        self.held += len(r)
+        if self.held > self.bound:
+            self.prune()
+
+    def prune(self) -> None:
+        """Drops what the bounds have ruled out since; the next time comes when the pairs have doubled."""
+        r, other, lb, ub = (np.concatenate(x) for x in zip(*self.kept, strict=True))
+        keep = ub >= self.best[r, 0]
+        self.kept = [(r[keep], other[keep], lb[keep], ub[keep])]
+        self.held = int(keep.sum())
+        self.bound = max(KEPT, 2 * self.held)
 
     def raise_to(self, rows: slice, sims: np.ndarray, slack: float) -> None:
         """Each row has k vectors at or above the tile's k-th best product less its error: no bound of the row need be lower."""
@@ -92,9 +107,9 @@ class _Side:
     def survivors(self) -> pd.DataFrame:
         if not self.kept:
             return pd.DataFrame({"a": [], "b": [], "lb": [], "ub": []})
-        r, other, lb, ub = (np.concatenate(x) for x in zip(*self.kept, strict=True))
-        keep = ub >= self.best[r, 0]
-        return pd.DataFrame({"a": self.c[r[keep]], "b": other[keep], "lb": lb[keep], "ub": ub[keep]})
+        self.prune()
+        r, other, lb, ub = self.kept[0]
+        return pd.DataFrame({"a": self.c[r], "b": other, "lb": lb, "ub": ub})
 
 
 def reached(sims: np.ndarray, rows: np.ndarray, columns: np.ndarray, slack: float) -> np.ndarray:
@@ -175,7 +190,9 @@ def neighbours(vectors: DataFrame, k: int = 5, floor: float = -1.0, dim: int = 6
     left = spread.filter("block = i")
     right = spread.filter("block = j")
     pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_cell(k, floor), "a long, b long, lb double, ub double")
-    pairs = cut(pairs, "survivors")
+    # a cell has few bytes and much work: cells are spread over many small tasks, which the planner would join by their bytes
+    with setting(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": str(4 * side * side)}):
+        pairs = cut(pairs, "survivors")
     if side > 1:
         ranked = pairs.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.col("lb").desc())))
         kth = ranked.filter(F.col("n") == k).select("a", F.col("lb").alias("kth"))
@@ -197,6 +214,6 @@ def neighbours(vectors: DataFrame, k: int = 5, floor: float = -1.0, dim: int = 6
 
 def mutual(vectors: DataFrame, k: int = 5, floor: float = 0.93, dim: int = 64) -> DataFrame:
     """(id_a, id_b): pairs that are each among the other's k nearest and reach the floor."""
-    n = cut(neighbours(vectors, k, floor, dim), "neighbours").select("id", "neighbour")
+    n = cut(neighbours(vectors, k, dim=dim), "neighbours").filter(F.col("similarity") >= floor).select("id", "neighbour")
     back = n.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour"))
     return n.filter("id < neighbour").join(back, ["id", "neighbour"]).select(F.col("id").alias("id_a"), F.col("neighbour").alias("id_b"))

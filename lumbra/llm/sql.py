@@ -5,6 +5,22 @@ from __future__ import annotations
 #: RE2 has no class difference: Han characters are set apart by spaces first.
 _WORDS = r"regexp_extract_all(regexp_replace(lower(coalesce(content, '')), '(\p{Han})', ' \1 ', 'g'), '[\p{L}\p{N}]+')"
 
+P3 = r"""
+WITH folded AS (
+  SELECT doc_id, replace(replace(lower(content), 'ß', 'ss'), 'ς', 'σ') AS c FROM documents WHERE content IS NOT NULL),
+parts AS (
+  SELECT doc_id, c, list_filter(regexp_split_to_array(c, '[\r\n]+'), lambda x: regexp_matches(x, '[\p{L}\p{N}]')) AS lines,
+         CASE WHEN regexp_matches(c, '(?s)^\s*\{.*\}\s*$') AND json_valid(c) THEN json_keys(c) END AS fields FROM folded),
+bare AS (
+  SELECT doc_id, CASE
+    WHEN fields IS NOT NULL THEN array_to_string(list_sort(list_transform(fields, lambda k: regexp_replace(k || ':' || json_extract(c, '$."' || k || '"'), '[^\p{L}\p{N}\p{M}]+', '', 'g'))), '')
+    WHEN len(lines) > 1 AND len(list_filter(lines, lambda x: NOT regexp_matches(x, '(?s)^\s*[\p{L}\p{N}][\p{L}\p{N}_ \t-]*[:：](\s.*)?$'))) = 0
+      THEN array_to_string(list_sort(list_transform(lines, lambda x: regexp_replace(x, '[^\p{L}\p{N}\p{M}]+', '', 'g'))), '')
+    ELSE regexp_replace(c, '[^\p{L}\p{N}\p{M}]+', '', 'g') END AS k FROM parts),
+first AS (SELECT k, min(doc_id) AS first_doc_id FROM bare WHERE regexp_matches(k, '[\p{L}\p{N}]') GROUP BY k)
+SELECT DISTINCT first_doc_id, doc_id FROM bare JOIN first USING (k) WHERE doc_id <> first_doc_id
+"""
+
 P4 = """
 WITH latest AS (
   SELECT id, arg_max(coalesce(CAST(vector AS DOUBLE[]), TRY_CAST(embedding AS DOUBLE[])), created_at) AS v FROM vectors GROUP BY id),
@@ -47,4 +63,4 @@ SELECT query_id, id FROM firsts JOIN routes USING (query_id) WHERE firsts = rout
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4, "p6_found": P6, "p7_found": P7}
+    return {"p3_found": P3, "p4_found": P4, "p6_found": P6, "p7_found": P7}

@@ -24,7 +24,7 @@ def _canonical(c):
         except ValueError:
             pass
     lines = [x for x in re.split(r"[\r\n]+", c) if _bare(x)]
-    if len(lines) > 1 and all(re.match(r"^\s*[^\W_][\w \-]{0,40}?\s*[:：](\s|$)", x) for x in lines):
+    if len(lines) > 1 and all(re.match(r"^\s*[^\W_][\w \t\-]*[:：](\s|$)", x) for x in lines):
         return "".join(sorted(map(_bare, lines)))
     return _bare(c)
 
@@ -49,6 +49,15 @@ def test_copies_of_odd_rows(spark):
     assert got[1] == 3 and got[3] == got[4] == got[5] == 1
 
 
+def test_collisions_are_told_and_never_merged(spark):
+    prints = spark.createDataFrame([(1, 7, 7, 1), (2, 7, 7, 1), (3, 7, 7, 2), (4, 8, 8, 1), (5, None, None, None)], "doc_id long, h1 long, h2 long, check long")
+    assert [tuple(r) for r in copies.collisions(prints).collect()] == [(7, 7, 2, 3)]
+    assert sorted((r["first_doc_id"], r["copies"]) for r in copies.groups(prints).collect()) == [(1, 2), (3, 1), (4, 1)]
+    long_key = "a very long key of more than six words and of one hundred and twenty letters or more so that nothing can be called short any longer: 1\nb: 2"
+    docs = spark.createDataFrame([(1, long_key), (2, "\n".join(reversed(long_key.split("\n"))))], "doc_id long, content string")
+    assert [tuple(r) for r in copies.copies(docs).collect()] == [(1, 2)]
+
+
 def test_hot_keys_meet_by_broadcast(spark):
     rows = spark.range(20_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
     groups = rows.groupBy("k").agg(F.count("*").alias("n"))
