@@ -31,7 +31,7 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for source, data in zip(b["source"], b["data"], strict=True):
-            p = parsers.parse(bytes(data), source)
+            p = parsers.parse(bytes(data), source, as_document=True)
             body = None if p.error else "\n\n".join(filter(None, map(parsers.render, p.elements)))
             rows.append((source, p.title, parsers.TYPE_OF.get(parsers.extension(source), "txt"), body, p.metadata, p.error))
         yield pd.DataFrame(rows, columns=["source", "title", "doc_type", "content", "metadata", "error"])

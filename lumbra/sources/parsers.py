@@ -9,6 +9,7 @@ import re
 import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from html import unescape
 from pathlib import PureWindowsPath
 from xml.etree import ElementTree
 
@@ -64,105 +65,211 @@ def text(content: str, source: str) -> Parsed:
     return out
 
 
+_FENCE = r"^[ \t]*```(?P<language>\w*)[ \t\r]*(?:\n|\Z)(?P<code>.*?)(?:^[ \t]*```\w*[ \t\r]*(?:\n|\Z)|\Z)"
+_HEADING = r"^[ \t]*(?P<marks>\#{1,6})[ \t]+(?P<name>[^\n]*\S)[ \t\r]*(?:\n|\Z)"
+_ITEM = r"^[ \t]*(?=[-*+][ ][ \t]*[^\s])(?:-[ ])?(?:\*[ ])?(?:\+[ ])?(?P<item>[^\n]*\S)[ \t\r]*(?:\n|\Z)"
+_RULE = r"^[ \t]*(?P<rule>---|\*\*\*|___)[ \t\r]*(?:\n|\Z)"
+#: One block after the other, so that every character is in exactly one: a fence takes all up to its end or the text's.
+_BLOCK = re.compile(rf"{_FENCE}|{_HEADING}|{_ITEM}|{_RULE}|^(?P<line>[^\n]*)(?:\n|\Z)", re.S | re.M)
+
+
 def markdown(content: str, source: str) -> Parsed:
-    """Headings make nested sections, the first level-1 heading before anything else the title. Fenced code, one-line items and rules are elements; other lines run on as paragraphs."""
-    out = Parsed(title_of(source))
-    path: list[tuple[int, str]] = []
-    para: list[str] = []
-    code: list[str] | None = None
-    language = ""
-    titled = False
-
-    def add(e: Element) -> None:
-        e.section = tuple(t for _, t in path)
-        out.elements.append(e)
-
-    def flush() -> None:
-        joined = " ".join(para).strip()
-        para.clear()
-        if joined:
-            add(Element("paragraph", joined))
-
-    for line in content.splitlines():
-        bare = line.strip()
-        if fence := re.fullmatch(r"```(\w+)?", bare):
-            if code is None:
-                code, language = [], fence.group(1) or ""
-            else:
-                add(Element("code_block", "\n".join(code).strip(), language=language))
-                code = None
-        elif code is not None:
-            code.append(line)
-        elif head := re.fullmatch(r"(#{1,6})\s+(.+)", bare):
-            flush()
-            level, name = len(head.group(1)), head.group(2).strip()
-            if level == 1 and not titled and not path and not out.elements:
-                out.title, titled = name, True
-                continue
-            while path and path[-1][0] >= level:
-                path.pop()
-            path.append((level, name))
-            add(Element("heading", name, level=level))
-        elif item := re.fullmatch(r"[-*+] (.*)", bare):
-            add(Element("list", items=[item.group(1)], ordered=False))
-        elif bare in ("---", "***", "___"):
-            add(Element("separator"))
-        else:
-            para.append(bare)
-    flush()
+    """The elements of each section in order: fenced code, one-line items and rules where they stand, then the section's other lines as one paragraph.
+
+    A section begins at a heading and is named by the headings above it. A level-1 heading before anything else is the title. A fence without an end holds the rest.
+    """
+    blocks = [m for m in _BLOCK.finditer(content) if m.end() > m.start()]
+    out, path = Parsed(title_of(source)), {}
+    heads = [i for i, m in enumerate(blocks) if m["marks"]]
+    if heads and len(blocks[heads[0]]["marks"]) == 1 and not any(m.group().strip() for m in blocks[: heads[0]]):
+        out.title = blocks[heads[0]]["name"]
+        blocks, heads = blocks[heads[0] + 1 :], [i - heads[0] - 1 for i in heads[1:]]
+    for start, end in zip([0, *heads], [*heads, len(blocks)], strict=True):
+        part = blocks[start:end]
+        if part and part[0]["marks"]:
+            level = len(part[0]["marks"])
+            path = {k: v for k, v in path.items() if k < level} | {level: part[0]["name"]}
+        section = tuple(path.values())
+        for m in part:
+            if m["marks"]:
+                out.elements.append(Element("heading", m["name"], level=len(m["marks"]), section=section))
+            elif m["code"] is not None:
+                out.elements.append(Element("code_block", m["code"].strip(), language=m["language"], section=section))
+            elif m["item"] is not None:
+                out.elements.append(Element("list", items=[m["item"]], ordered=False, section=section))
+            elif m["rule"]:
+                out.elements.append(Element("separator", section=section))
+        text = " ".join(m["line"].strip() for m in part if m["line"] is not None).strip()
+        if text:
+            out.elements.append(Element("paragraph", text, section=section))
     return out
 
 
-def _strip(html: str) -> str:
-    return re.sub(r"[ \t]+", " ", re.sub(r"<[^>]*>?|>", " ", html)).strip()
+# Elements that hold a block of a page's text, and those whose contents aren't text.
+HTML_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p div li ul ol table tr td th pre blockquote article section header footer main nav aside dl dt dd form figure figcaption body html head".split())
+HTML_FLOW = frozenset("p div blockquote article section header footer main nav aside figure figcaption form dl dt dd".split())
+HTML_CELLS = frozenset(["li", "td", "th"])
+HTML_HIDDEN = frozenset(["script", "style", "noscript"])
+
+
+#: A comment, a tag, or a declaration; everything between them is text. One scan, whatever is left open.
+_HTML_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([A-Za-z][\w:-]*)([^<>]*)>|<[!?][^<>]*>", re.S)
+_HTML_LANGUAGE = re.compile(r"\bclass\s*=\s*[\"']?[^\"'>]*?\blang(?:uage)?-([\w+#-]+)", re.I)
+
+
+class _Page:
+    """Builds the elements while the tags come: open blocks are a stack, each with its own text, so nested blocks keep theirs and nothing comes twice."""
+
+    @dataclass
+    class Open:
+        tag: str
+        at: int | None = None
+        text: list[str] = field(default_factory=list)
+        items: list[str] = field(default_factory=list)
+        rows: list[list[tuple[str, str]]] = field(default_factory=list)
+        inside: list[str] = field(default_factory=list)
+
+    def __init__(self, content: str) -> None:
+        self.title: str | None = None
+        self.elements: list[Element | None] = []
+        self.open = [self.Open("")]
+        self.verbatim = 0
+        self.language = ""
+        at = 0
+        while m := _HTML_TOKEN.search(content, at):
+            self.data(content[at : m.start()])
+            at, tag = m.end(), (m.group(2) or "").lower()
+            if tag in HTML_HIDDEN or tag == "title":
+                if not m.group(1):
+                    end = re.compile(rf"</{tag}\s*>", re.I).search(content, at)
+                    if tag == "title" and self.title is None:
+                        self.title = unescape(re.sub(r"<[^>]*>", " ", content[at : end.start() if end else len(content)]))
+                    at = end.end() if end else len(content)
+            elif tag:
+                self.end(tag) if m.group(1) else self.start(tag, m.group(3))
+        self.data(content[at:])
+        while len(self.open) > 1:
+            self.close_to(self.open[-1].tag)
+        self.end_text()
+
+    def start(self, tag: str, attributes: str) -> None:
+        if tag == "br":
+            self.open[-1].text.append("\n")
+        elif tag == "hr":
+            self.end_text()
+            self.elements.append(Element("separator"))
+        elif tag in HTML_FLOW and self.open[-1].tag in HTML_CELLS:
+            # paragraphs of an item or cell are lines of its text
+            self.open[-1].text.append("\n")
+            self.open[-1].inside.append(tag)
+        elif tag in HTML_BLOCKS:
+            self.before(tag)
+            self.elements.append(None)
+            self.open.append(self.Open(tag, len(self.elements) - 1))
+            self.verbatim += tag == "pre"
+        if tag in ("pre", "code"):
+            named = _HTML_LANGUAGE.search(attributes)
+            self.language = named.group(1) if named else self.language if tag == "code" else ""
+
+    def before(self, tag: str) -> None:
+        """What ends by itself where a block begins: a paragraph always, items and cells at their next one."""
+        if self.open[-1].tag == "p":
+            self.close_to("p")
+        ends = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(tag, ())
+        while self.open[-1].tag in ends:
+            self.close_to(self.open[-1].tag)
+        if tag not in ("li", "tr", "td", "th"):
+            self.end_text()
+
+    def end(self, tag: str) -> None:
+        if tag in self.open[-1].inside:
+            self.open[-1].inside.remove(tag)
+            self.open[-1].text.append("\n")
+        else:
+            # a stray end tag doesn't close what is around the cell or item that it stands in
+            cell = 0 if tag not in HTML_FLOW else max((i for i, o in enumerate(self.open) if o.tag in HTML_CELLS), default=0)
+            if any(o.tag == tag for o in self.open[cell:]):
+                self.close_to(tag)
+
+    def data(self, text: str) -> None:
+        if text:
+            text = unescape(text)
+            self.open[-1].text.append(text if self.verbatim else re.sub(r"[ \t\r\f]+", " ", text))
+
+    def end_text(self) -> None:
+        """The open block's text so far as an element of its own, as another block follows inside."""
+        o = self.open[-1]
+        if o.tag not in ("li", "td", "th", "pre"):
+            self.elements += [Element("paragraph", t) for t in self.paragraphs(o)]
+            o.text.clear()
+
+    def paragraphs(self, o: Open) -> list[str]:
+        lines = "\n".join(x.strip() for x in "".join(o.text).split("\n"))
+        found = [p.strip() for p in (re.split(r"\n{2,}", lines) if o.tag in ("", "body", "html") else [re.sub(r"\n{2,}", "\n", lines)])]
+        return [" ".join(p.split("\n")) if o.tag in ("", "body", "html") else p for p in found if p]
+
+    def close_to(self, tag: str) -> None:
+        while True:
+            o = self.open.pop()
+            self.verbatim -= o.tag == "pre"
+            self.finish(o)
+            if o.tag == tag:
+                return
+
+    def holder(self, *tags: str) -> Open | None:
+        return next((o for o in reversed(self.open) if o.tag in tags), None)
+
+    def finish(self, o: Open) -> None:
+        text = "\n".join(self.paragraphs(o))
+        if o.tag == "pre":
+            code = "".join(o.text).strip("\n")
+            self.elements[o.at] = Element("code_block", code, language=self.language) if code.strip() else None
+        elif o.tag == "li":
+            around = self.holder("ul", "ol")
+            if around is not None and text:
+                around.items.append(text)
+            elif text:
+                self.elements[o.at] = Element("list", items=[text], ordered=False)
+        elif o.tag in ("ul", "ol"):
+            self.elements[o.at] = Element("list", items=o.items, ordered=o.tag == "ol") if o.items else None
+        elif o.tag in ("td", "th"):
+            around = self.holder("table")
+            if around is not None:
+                around.rows = around.rows or [[]]
+                around.rows[-1].append((o.tag, text))
+        elif o.tag == "tr":
+            around = self.holder("table")
+            if around is not None:
+                around.rows.append([])
+        elif o.tag == "table":
+            self.elements[o.at] = _table(o.rows)
+        elif o.tag[1:].isdigit():
+            self.elements[o.at] = Element("heading", text, level=int(o.tag[1:])) if text else None
+        else:
+            parts = [Element("paragraph", t) for t in self.paragraphs(o)]
+            # a block without others inside stands where it began
+            if parts and len(self.elements) == o.at + 1:
+                self.elements[o.at] = parts.pop(0)
+            self.elements += parts
+
+    def finished(self) -> list[Element]:
+        return [e for e in self.elements if e is not None]
 
 
-def html_table(block: str) -> Element | None:
+def _table(rows: list[list[tuple[str, str]]]) -> Element | None:
     """The first row's header cells, or else the first row, are the headers."""
-    headers: list[str] = []
-    rows: list[list[str]] = []
-    for tr in re.findall(r"<tr[^>]*>([\s\S]*?)</tr>", block, re.I):
-        cells = [(tag.lower(), _strip(c)) for tag, c in re.findall(r"<(th|td)[^>]*>([\s\S]*?)</(?:th|td)>", tr, re.I)]
-        if not cells:
-            continue
-        if not headers and not rows:
-            headers = [c for tag, c in cells if tag == "th"] or [c for _, c in cells]
-        else:
-            rows.append([c for _, c in cells])
-    return Element("table", headers=headers, rows=rows) if headers or rows else None
+    rows = [r for r in rows if r]
+    if not rows:
+        return None
+    heads = [c for tag, c in rows[0] if tag == "th"] or [c for _, c in rows[0]]
+    return Element("table", headers=heads, rows=[[c for _, c in r] for r in rows[1:]])
 
 
 def html(content: str, source: str) -> Parsed:
-    """Elements of block tags in order of their start; a tag ends at the first end tag of its name, so nested blocks come again by themselves.
-
-    Without any block the text is split into paragraphs at empty lines.
-    """
-    out = Parsed(title_of(source))
-    for tag in ("script", "style", "noscript"):
-        content = re.sub(rf"<{tag}\b[^>]*>[\s\S]*?</{tag}>", "", content, flags=re.I)
-    if m := re.search(r"<title>([\s\S]*?)</title>", content, re.I):
-        out.title = _strip(m.group(1))
-    content = re.sub(r"<hr\s*/?>", "\n---\n", re.sub(r"<br\s*/?>", "\n", content, flags=re.I), flags=re.I)
-    for m in re.finditer(r"<(h[1-6]|p|div|li|ul|ol|table|pre|blockquote|article|section)\b", content, re.I):
-        tag = m.group(1).lower()
-        end = re.compile(rf"</{tag}>", re.I).search(content, m.end())
-        block = content[m.start() : end.end() if end else len(content)].strip()
-        if tag == "table":
-            e = html_table(block)
-        elif tag in ("ul", "ol"):
-            items = [t for x in re.findall(r"<li[^>]*>([\s\S]*?)</li>", block, re.I) if (t := _strip(x))]
-            e = Element("list", items=items, ordered=tag == "ol") if items else None
-        else:
-            t = _strip(block)
-            if not t:
-                continue
-            e = Element("heading", t, level=int(tag[1])) if re.fullmatch(r"h[1-6]", tag) else Element("list", items=[t], ordered=False) if tag == "li" else Element("code_block" if tag == "pre" else "paragraph", t)
-        if e:
-            out.elements.append(e)
-    if not out.elements:
-        lines = "\n".join(x.strip() for x in _strip(content).split("\n"))
-        out.elements = [Element("paragraph", " ".join(p.split("\n"))) for p in re.split(r"\n{2,}", lines) if p.strip()]
-    return out
+    """Elements of the page in reading order. Every text is in one element: a block that holds others gives only its own text, and a list or table all of its items or
+    cells. Text outside of blocks is split into paragraphs at empty lines. Scripts and styles aren't text; character references are decoded."""
+    page = _Page(content)
+    return Parsed(" ".join((page.title or "").split()) or title_of(source), page.finished())
 
 
 def csv_table(content: str, source: str) -> Parsed:
@@ -184,6 +291,20 @@ def csv_text(content: str) -> str:
     return "\n".join(f"记录 {i}: " + ", ".join(f"{h}: {v}" for h, v in zip(rows[0], r, strict=True)) for i, r in enumerate(rows[1:], 1))
 
 
+def csv_document(content: str, source: str) -> Parsed:
+    """A CSV file as a text of records, with its numbers of rows and columns and its headers; rows of another length are an error."""
+    rows = list(csv.reader(io.StringIO(content)))
+    heads = rows[0] if rows else []
+    return Parsed(title_of(source), [Element("paragraph", csv_text(content))] if rows else [], {"rows": str(max(0, len(rows) - 1)), "columns": str(len(heads)), "headers": ",".join(heads)})
+
+
+def json_document(content: str, source: str) -> Parsed:
+    """A JSON file as an indented text; its kind is object, array or value."""
+    value = json.loads(content)
+    kind = {dict: "object", list: "array"}.get(type(value), "value")
+    return Parsed(title_of(source), [Element("paragraph", json.dumps(value, indent=2, ensure_ascii=False))], {"json_type": kind})
+
+
 def json_kind(value: object) -> str:
     kinds = ((bool, "boolean"), (dict, "object"), (list, "array"), (str, "string"), ((int, float), "number"))
     return "null" if value is None else next((name for kind, name in kinds if isinstance(value, kind)), "unknown")
@@ -270,6 +391,8 @@ def pdf(data: bytes, source: str) -> Parsed:
     return Parsed(title_of(source), elements, {"page_count": str(len(pages)), **({"warning": "scanned"} if scanned else {})})
 
 
+#: What a file's document is made of, where that isn't its elements.
+DOCUMENTS: dict[str, Callable[..., Parsed]] = {"csv": csv_document, "json": json_document}
 PARSERS: dict[str, Callable[..., Parsed]] = {"txt": text, "md": markdown, "html": html, "csv": csv_table, "json": json_block, "docx": docx, "pdf": pdf}
 
 
@@ -280,11 +403,11 @@ def register(kind: str, parser: Callable[..., Parsed], *extensions: str) -> None
         TYPE_OF[e.lower()] = kind
 
 
-def parse(data: bytes, source: str) -> Parsed:
-    """By extension, text if unknown. What a parser can't read is an error in the result, never an exception."""
+def parse(data: bytes, source: str, as_document: bool = False) -> Parsed:
+    """By extension, text if unknown; as_document reads CSV and JSON as texts instead of tables and code. What a parser can't read is an error in the result, never an exception."""
     kind = TYPE_OF.get(extension(source), "txt")
     try:
-        return PARSERS[kind](data if kind in ("docx", "pdf") else decode(data), source)
+        return (DOCUMENTS.get(kind, PARSERS[kind]) if as_document else PARSERS[kind])(data if kind in ("docx", "pdf") else decode(data), source)
     except Exception as e:  # noqa: BLE001
         return Parsed(title_of(source), error=f"{type(e).__name__}: {e}")
 

@@ -1,4 +1,5 @@
 import io
+import time
 import zipfile
 
 import pytest
@@ -42,10 +43,36 @@ def test_html():
     page = "<html><title> A <b>B</b></title><script>x='</p>'</script><h1>H</h1><ul><li>i</li></ul><p>a<br>b</p><table><tr><th>x</th></tr><tr><td>1</td></tr></table><pre>c</pre></html>"
     p = parsers.html(page, "x.html")
     assert p.title == "A B"
-    assert [(e.type, e.text or e.items or e.rows) for e in p.elements] == [("heading", "H"), ("list", ["i"]), ("list", ["i"]), ("paragraph", "a\nb"), ("table", [["1"]]), ("code_block", "c")]
+    assert [(e.type, e.text or e.items or e.rows) for e in p.elements] == [("heading", "H"), ("list", ["i"]), ("paragraph", "a\nb"), ("table", [["1"]]), ("code_block", "c")]
     assert parsers.html("just text", "t.html").elements[0].text == "just text"
 
 
+def test_html_keeps_nesting():
+    page = "<div>a<p>b<p>c</div>d<ul><li>one <b>two</b><ul><li>in</ul><li>three</ul><pre><code class='language-go'>x &lt; 1\n  y</code></pre><table><tr><td>h<td>k<tr><td>1<td><p>2</p></table><section><h2>S</h2>e<hr>f</section><li>alone"
+    got = [(e.type, e.text or e.items or (e.headers, e.rows)) for e in parsers.html(page, "x.html").elements if e.type != "separator"]
+    assert got == [
+        ("paragraph", "a"), ("paragraph", "b"), ("paragraph", "c"), ("paragraph", "d"), ("list", ["one two", "three"]), ("list", ["in"]), ("code_block", "x < 1\n  y"), ("table", (["h", "k"], [["1", "2"]])),
+        ("heading", "S"), ("paragraph", "e"), ("paragraph", "f"), ("list", ["alone"]),
+    ]
+    began = time.time()
+    for t in ("<a " * 30_000, "<div>" * 3_000, "<p>x" * 30_000, "<!--" * 20_000, "&amp" * 30_000):
+        parsers.html(t, "x.html")
+    assert time.time() - began < 20
+
+
+def test_markdown_fences_without_end():
+    got = [(e.type, e.text) for e in parsers.markdown("a\n```py\nx = 1\n# no heading\n- no item", "x.md").elements]
+    assert got == [("code_block", "x = 1\n# no heading\n- no item"), ("paragraph", "a")]
+    assert [e.type for e in parsers.markdown("#no\n\n - x\n- \n", "x.md").elements] == ["list", "paragraph"]
+
+
+def test_csv_and_json_documents(spark):
+    rows = [("a.csv", b"h,k\n1,2\n3,4"), ("b.csv", b"h,k\n1"), ("c.json", b"[1]"), ("d.json", b"3")]
+    docs = {r["source"]: r for r in files.documents(spark.createDataFrame(rows, "source string, data binary")).collect()}
+    assert docs["a.csv"]["content"] == "记录 1: h: 1, k: 2\n记录 2: h: 3, k: 4" and docs["a.csv"]["metadata"] == {"rows": "2", "columns": "2", "headers": "h,k"}
+    assert docs["b.csv"]["error"] and docs["c.json"]["metadata"]["json_type"] == "array" and docs["d.json"]["content"] == "3"
+
+
 def test_tables_and_json():
     assert parsers.csv_table("a,b\n1,2\n3", "x.csv").elements[0].rows == [["1", "2"], ["3"]]
     assert parsers.csv_text("a,b\n1,2") == "记录 1: a: 1, b: 2"
