@@ -56,10 +56,10 @@ def highlight(text: Column, query: Column) -> Column:
     return F.aggregate(words, text, lambda t, w: F.replace(t, w, F.concat(F.lit("**"), w, F.lit("**"))))
 
 
-def byte_levenshtein(a: Column, b: Column) -> Column:
-    """Edit distance over the UTF-8 bytes."""
+def byte_levenshtein(a: Column, b: Column, most: int | None = None) -> Column:
+    """Edit distance over the UTF-8 bytes; -1 for more than most, which costs less to find out."""
     raw = lambda x: F.decode(F.encode(x, "UTF-8"), "ISO-8859-1")
-    return F.levenshtein(raw(a), raw(b))
+    return F.levenshtein(raw(a), raw(b), most)
 
 
 def clean_fts(query: Column) -> Column:

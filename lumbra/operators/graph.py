@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumbra.functions import text as X
-from lumbra.operators.sizes import small
+from lumbra.operators.sizes import in_parts, small
 from lumbra.schema import stable_id
 from lumbra.session import cut
 
@@ -173,23 +173,18 @@ def llm_extract(docs: DataFrame, generate: Callable[[str], str], id_col: str = "
     return parse_extraction(docs.select(F.col(id_col).alias("doc_id"), make(F.col(content)).alias("answer")))
 
 
+@in_parts
 def search(entities: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, id, exact, rank): entities one of whose names is the query, whatever the case, then those whose name contains it or is contained in it."""
     names = F.concat(F.array(F.lower("name")), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), F.lower))
     e = entities.select("id", F.lower("name").alias("n"), F.filter(names, lambda x: x.isNotNull() & (x != "")).alias("names"))
-    q = F.broadcast(_few(queries.select("query_id", F.lower("query").alias("q")).filter("q <> ''")))
+    q = F.broadcast(queries.select("query_id", F.lower("query").alias("q")).filter("q <> ''"))
     met = e.join(q, F.expr("array_contains(names, q) OR contains(n, q) OR (n <> '' AND contains(q, n))"))
     met = met.select("query_id", "id", F.expr("array_contains(names, q)").alias("exact")).groupBy("query_id", "id").agg(F.max("exact").alias("exact"))
     order = Window.partitionBy("query_id").orderBy(F.col("exact").desc(), "id")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
-def _few(queries: DataFrame, rows: int = 10_000) -> DataFrame:
-    if queries.limit(rows + 1).count() > rows:
-        raise ValueError(f"more than {rows} queries at once; run them in parts")
-    return queries
-
-
 def edges(relations: DataFrame) -> DataFrame:
     """(a, b, relation_id, type): every relation from both ends; one that joins an entity with itself once."""
     out = relations.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("id").alias("relation_id"), "type")

@@ -6,11 +6,11 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumbra.functions import text as X
-from lumbra.operators.sizes import one_row, small
+from lumbra.operators.sizes import in_parts, one_row, small
 from lumbra.session import cut
 
 K1, B = 1.2, 0.75
@@ -19,10 +19,12 @@ Tokenizer = Callable[[Column], Column]
 
 @dataclass(frozen=True)
 class Index:
-    """docs (id, content, tokens, dl): postings are derived from it, so it is kept once and nothing has to be kept in step."""
+    """docs (id, content, tokens, dl): everything else is derived from it, so nothing has to be kept in step. A stored index has its postings, vocabulary and sizes as tables too."""
 
     docs: DataFrame
     tokenizer: Tokenizer
+    #: (term, id, tf, dl) in the order of terms, (term, df, cf), and one row of sizes
+    stored: tuple[DataFrame, DataFrame, DataFrame] | None = None
 
     def words(self) -> DataFrame:
         """(id, dl, term) for each word of each document. An outer explode: for an inner one the planner would filter on the tokens' number and so make them twice."""
@@ -30,14 +32,16 @@ class Index:
 
     def postings(self) -> DataFrame:
         """(term, id, tf, dl); counts are combined before the shuffle."""
-        return self.words().groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+        return self.stored[0] if self.stored else self.words().groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
 
     def vocabulary(self) -> DataFrame:
         """(term, df, cf)"""
-        return self.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+        return self.stored[1] if self.stored else self.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
     def stats(self) -> DataFrame:
         """One row: documents, terms, tokens, average length."""
+        if self.stored:
+            return self.stored[2]
         sums = self.docs.agg(F.count("*").alias("documents"), F.sum("dl").cast("long").alias("tokens"))
         terms = self.words().agg(F.count_distinct("term").alias("terms"))
         whole = sums.join(one_row(terms), F.lit(True))
@@ -54,11 +58,45 @@ class Index:
     def clear(self) -> Index:
         return Index(self.docs.limit(0), self.tokenizer)
 
+    def store(self, folder: str) -> Index:
+        """Written once as tables, tokenised once. Postings are sorted by term over range partitions: a search reads only the parts with its words."""
+        spark = self.docs.sparkSession
+        self.docs.write.mode("overwrite").parquet(f"{folder}/docs")
+        plain = Index(spark.read.parquet(f"{folder}/docs"), self.tokenizer)
+        plain.postings().repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
+        posts = spark.read.parquet(f"{folder}/postings")
+        posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.mode("overwrite").parquet(f"{folder}/vocabulary")
+        terms = spark.read.parquet(f"{folder}/vocabulary").agg(F.count("*").alias("terms"), F.sum("cf").alias("tokens"))
+        sizes = plain.docs.agg(F.count("*").alias("documents")).join(one_row(terms), F.lit(True))
+        sizes = sizes.select("documents", "terms", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("documents"), F.lit(0.0)).alias("avgdl"))
+        sizes.write.mode("overwrite").parquet(f"{folder}/sizes")
+        return load(spark, folder, self.tokenizer)
 
-def index(docs: DataFrame, id_col: str = "id", content: str = "content", tokenizer: Tokenizer = X.han_tokens) -> Index:
-    """An index over id and content. Null contents are empty; of rows with equal ids the last in the order of contents counts."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(content), F.lit("")).alias("content"))
-    rows = rows.withColumn("tokens", tokenizer(F.col("content")))
+
+def load(spark: SparkSession, folder: str, tokenizer: Tokenizer = X.han_tokens) -> Index:
+    """The index that store() has written; queries have to be cut into words by the same tokenizer."""
+    docs, posts, words, sizes = (spark.read.parquet(f"{folder}/{name}") for name in ("docs", "postings", "vocabulary", "sizes"))
+    return Index(docs, tokenizer, (posts, words, sizes))
+
+
+def latest(docs: DataFrame, order: str | None = None) -> DataFrame:
+    """One row for each id: of rows with equal ids the one with the greatest order, then the greatest content. Rows without an id are left out.
+
+    Repeated ids are looked up first, in the id column alone; only their rows move.
+    """
+    docs = docs.filter("id is not null")
+    repeated = cut(docs.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "repeated")
+    if repeated.isEmpty():
+        return docs
+    key = F.struct(*([F.col(order)] if order else []), F.coalesce("content", F.lit("")))
+    last = docs.join(repeated, "id", "left_semi").groupBy("id").agg(F.max_by(F.struct(*docs.columns), key).alias("row")).select("row.*")
+    return docs.join(repeated, "id", "left_anti").unionByName(last)
+
+
+def index(docs: DataFrame, id_col: str = "id", content: str = "content", tokenizer: Tokenizer = X.han_tokens, order: str | None = None) -> Index:
+    """An index over id and content. Null contents are empty; of rows with equal ids the last in the order of the given column counts, then of contents."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(content), F.lit("")).alias("content"), *([F.col(order).alias("_order")] if order else []))
+    rows = latest(rows, "_order" if order else None).select("id", "content").withColumn("tokens", tokenizer(F.col("content")))
     return Index(rows.withColumn("dl", F.size("tokens")), tokenizer)
 
 
@@ -76,31 +114,52 @@ def top(scored: DataFrame, k: int | None, by: str = "score", order: str = "id")
     return ranked if k is None or k <= 0 else ranked.filter(F.col("rank") <= k)
 
 
-def bm25(ix: Index, queries: DataFrame, k: int | None = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, score, rank) by BM25 with idf = ln((N - df + 0.5) / (df + 0.5)), which is negative for frequent terms.
+#: Different words of all queries up to which they are sent to the scan as a list.
+WORDS = 2000
+
+
+def matching(ix: Index, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, id, tf, dl) of the words (term), and one row with n documents and their mean length avgdl.
 
-    Only postings of the queries' terms leave the scan: the terms are few and are broadcast if they are, so the corpus isn't shuffled. These
-    postings are written once and serve the document frequencies and the scores; one more pass over the corpus gives its size and mean length.
+    A stored index is read where the words are. Otherwise the corpus is tokenised once: each document leaves its length and the words that are asked for.
     """
-    q = query_tokens(queries, ix.tokenizer)
-    terms = small(q.select("term").distinct())
-    posts = cut(ix.words().join(terms, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf")), "postings")
-    corpus = ix.docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    few = [r[0] for r in words.select("term").distinct().limit(WORDS + 1).collect()]
+    if ix.stored:
+        posts = ix.stored[0]
+        posts = posts.filter(F.col("term").isin(few)) if len(few) <= WORDS else posts.join(words.select("term").distinct(), "term", "left_semi")
+        return posts, ix.stored[2].select(F.col("documents").alias("n"), "avgdl")
+    if len(few) <= WORDS:
+        hits = F.filter("tokens", lambda t: t.isin(few)) if few else F.array().cast("array<string>")
+        found = cut(ix.docs.select("id", "dl", hits.alias("hits")), "hits")
+        posts = found.select("id", "dl", F.explode("hits").alias("term"))
+        corpus = found
+    else:
+        posts, corpus = ix.words().join(words.select("term").distinct(), "term", "left_semi"), ix.docs
+    posts = posts.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    return cut(posts, "postings"), corpus.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def scored(ix: Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, id, score, have, need): BM25 of every document with a word of the query, how many of its different words it has, and how many there are."""
+    q = cut(query_tokens(queries, ix.tokenizer), "query words")
+    posts, corpus = matching(ix, q)
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.join(one_row(corpus), F.lit(True)).withColumn("idf", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weights = small(q.join(weights, "term").select("query_id", "term", (F.col("idf") * F.col("times")).alias("w"), "avgdl"))
+    need = q.groupBy("query_id").agg(F.count("*").alias("need"))
+    weights = small(q.join(weights, "term").join(need, "query_id").select("query_id", "term", (F.col("idf") * F.col("times")).alias("w"), "avgdl", "need"))
     tf = F.col("tf")
     part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return top(posts.join(weights, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")), k)
+    return posts.join(weights, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.count("*").alias("have"), F.max("need").alias("need"))
+
+
+def bm25(ix: Index, queries: DataFrame, k: int | None = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, id, score, rank) by BM25 with idf = ln((N - df + 0.5) / (df + 0.5)), which is negative for frequent terms."""
+    return top(scored(ix, queries, k1, b).select("query_id", "id", "score"), k)
 
 
 def conjunctive(ix: Index, queries: DataFrame, k: int | None = 10) -> DataFrame:
     """BM25 over the documents that have all of a query's words."""
-    q = query_tokens(queries, ix.tokenizer)
-    need = q.groupBy("query_id").agg(F.count("*").alias("need"))
-    hits = ix.docs.select("id", F.explode(F.array_distinct("tokens")).alias("term")).join(small(q.select("query_id", "term")), "term").groupBy("query_id", "id").agg(F.count("*").alias("have"))
-    full = hits.join(small(need), "query_id").filter("have = need").select("query_id", "id")
-    return top(bm25(ix, queries, None).drop("rank").join(full, ["query_id", "id"]), k)
+    return top(scored(ix, queries).filter("have = need").select("query_id", "id", "score"), k)
 
 
 def boolean(ix: Index, must: list[str] = (), should: list[str] = (), must_not: list[str] = (), k: int | None = 10) -> DataFrame:
@@ -138,44 +197,41 @@ def strict_boolean(ix: Index, every: list[str] = (), some: list[str] = (), none:
     return ix.docs.filter(cond).select("id")
 
 
+@in_parts
 def phrase(ix: Index, queries: DataFrame, k: int | None = 10) -> DataFrame:
     """Documents that contain the phrase as text, whatever its case; the score is the phrase's number of words. Phrases without a word match nothing."""
     q = queries.withColumn("n", F.size(ix.tokenizer(F.col("query")))).filter("n > 0").select("query_id", F.lower("query").alias("p"), "n")
-    met = ix.docs.select("id", F.lower("content").alias("c")).join(F.broadcast(_bounded(q)), F.expr("contains(c, p)"))
+    met = ix.docs.select("id", F.lower("content").alias("c")).join(F.broadcast(q), F.expr("contains(c, p)"))
     return top(met.select("query_id", "id", F.col("n").cast("double").alias("score")), k)
 
 
-def _bounded(queries: DataFrame, rows: int = 10_000) -> DataFrame:
-    """A query set for a join without an equality: it has to be small."""
-    if queries.limit(rows + 1).count() > rows:
-        raise ValueError(f"more than {rows} queries at once; run them in parts")
-    return queries
-
-
+@in_parts
 def adjacent(ix: Index, queries: DataFrame, k: int | None = 10) -> DataFrame:
     """Documents in which the query's words follow each other; the score is how often."""
-    q = _bounded(queries.select("query_id", F.concat(F.lit(" "), F.array_join(ix.tokenizer(F.col("query")), " "), F.lit(" ")).alias("p")).filter("length(p) > 2"))
+    q = (queries.select("query_id", F.concat(F.lit(" "), F.array_join(ix.tokenizer(F.col("query")), " "), F.lit(" ")).alias("p")).filter("length(p) > 2"))
     line = F.concat(F.lit(" "), F.array_join("tokens", "  "), F.lit(" "))
     met = ix.docs.select("id", line.alias("line")).join(F.broadcast(q.withColumn("p", F.regexp_replace(F.trim("p"), " ", "  "))), F.expr("contains(line, concat(' ', p, ' '))"))
     times = (F.length("line") - F.length(F.replace(F.col("line"), F.concat(F.lit(" "), F.col("p"), F.lit(" ")), F.lit("")))) / (F.length("p") + 2)
     return top(met.select("query_id", "id", times.alias("score")), k)
 
 
+@in_parts
 def prefix(ix: Index, queries: DataFrame, k: int | None = 10) -> DataFrame:
     """Documents with a word that begins with the lower-cased query; score 1, one row each."""
-    q = F.broadcast(_bounded(queries.select("query_id", F.lower("query").alias("p")).filter("p <> ''")))
+    q = F.broadcast((queries.select("query_id", F.lower("query").alias("p")).filter("p <> ''")))
     met = ix.docs.select("id", "tokens").join(q, F.expr("exists(tokens, t -> startswith(t, p))"))
     return top(met.select("query_id", "id", F.lit(1.0).alias("score")), k)
 
 
+@in_parts
 def fuzzy(ix: Index, queries: DataFrame, distance: int = 2, k: int | None = 10) -> DataFrame:
     """Adds 1 - d / longer length in bytes for each word of the query and each word of the document within the edit distance (over bytes).
 
     Words are compared on the vocabulary, once each, and only where their lengths allow; then postings join the matching words.
     """
-    q = F.broadcast(_bounded(query_tokens(queries, ix.tokenizer).withColumn("n", F.octet_length("term")).withColumnRenamed("term", "word")))
+    q = F.broadcast((query_tokens(queries, ix.tokenizer).withColumn("n", F.octet_length("term")).withColumnRenamed("term", "word")))
     words = ix.docs.select(F.explode(F.array_distinct("tokens")).alias("term")).distinct().withColumn("m", F.octet_length("term"))
-    near = words.join(q, F.abs(F.col("m") - F.col("n")) <= distance).withColumn("d", X.byte_levenshtein(F.col("term"), F.col("word"))).filter(F.col("d") <= distance)
+    near = words.join(q, F.abs(F.col("m") - F.col("n")) <= distance).withColumn("d", X.byte_levenshtein(F.col("term"), F.col("word"), distance)).filter(F.col("d").between(0, distance))
     near = near.select("query_id", "term", (F.col("times") * (1 - F.col("d") / F.greatest("m", "n"))).alias("w"))
     posts = ix.docs.select("id", F.explode(F.array_distinct("tokens")).alias("term"))
     return top(posts.join(small(near), "term").groupBy("query_id", "id").agg(F.sum("w").alias("score")), k)
@@ -190,10 +246,11 @@ def trigram(docs: DataFrame, queries: DataFrame, id_col: str, content: str, thre
     return top(hits.select("query_id", "id", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("score")).filter(F.col("score") >= threshold), k)
 
 
+@in_parts
 def like(docs: DataFrame, queries: DataFrame, id_col: str, columns: list[str], escape: bool = True, start: bool = False) -> DataFrame:
     """(query_id, id, score 1): one of the columns contains (or begins with) the query, whatever its case; % and _ are plain signs unless escape is off."""
     pattern = F.regexp_replace("query", r"([%_\\])", r"\\$1") if escape else F.col("query")
-    q = F.broadcast(_bounded(queries.filter("query <> ''").select("query_id", F.concat(F.lit("" if start else "%"), pattern, F.lit("%")).alias("p"))))
+    q = F.broadcast((queries.filter("query <> ''").select("query_id", F.concat(F.lit("" if start else "%"), pattern, F.lit("%")).alias("p"))))
     cond = " OR ".join(f"coalesce(`{c}`, '') ILIKE p" for c in columns)
     return docs.join(q, F.expr(cond)).select("query_id", F.col(id_col).alias("id"), F.lit(1.0).alias("score"))
 

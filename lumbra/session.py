@@ -35,9 +35,12 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where the setting is absent, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). Where the setting is absent a local session gets a folder of its own; on a cluster that is an error,
+    as every executor would write to a disk that the others don't see."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), f"lumbra-scratch-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
