@@ -408,7 +408,8 @@ def vector_upsert(spark, sf):
 @query
 def embed_documents(spark, sf):
     docs = _t(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return embed(docs, "text", hashing_embedder(64)).select("doc_id", F.round(V.norm(F.col("vector")), 4).alias("norm"))
+    parts = embed(docs, "text", hashing_embedder(64)).select("doc_id", F.posexplode("vector").alias("pos", "value"))
+    return parts.filter("value <> 0").select("doc_id", "pos", F.round("value", 5).alias("value"))
 
 
 # Fusion and reranking.
@@ -535,13 +536,14 @@ def entity_extraction(spark, sf):
 @query
 def entity_extraction_han(spark, sf):
     words = _values(spark, [("retrieval", "CONCEPT"), ("快照", "TECHNOLOGY")], "word string, type string")
-    return graph.extract_entities(_t(spark, sf, "documents"), "doc_id", "content", words).groupBy("type").agg(F.count("*").alias("n"))
+    return graph.extract_entities(_t(spark, sf, "documents"), "doc_id", "content", words).groupBy("doc_id", "type").agg(F.count("*").alias("n"))
 
 
 @query
 def relation_extraction(spark, sf):
-    docs = _t(spark, sf, "documents")
-    return graph.extract_relations(docs, graph.extract_entities(docs, "doc_id"), "doc_id").groupBy("type").agg(F.count("*").alias("n"))
+    said = F.concat(F.lit("「"), "source", F.lit("」与「"), "lang", F.lit("」 "), "source", F.lit("使用"), "lang")
+    docs = _t(spark, sf, "documents").select("doc_id", said.alias("content"))
+    return graph.extract_relations(docs, graph.extract_entities(docs, "doc_id"), "doc_id")
 
 
 @query
@@ -549,7 +551,7 @@ def llm_extraction(spark, sf):
     docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "content")
     # a model that names every line of the text it is given
     answer = lambda p: json.dumps({"entities": [{"name": x.strip(), "type": "tool"} for x in p.split("\n\n", 1)[-1].splitlines() if x.strip()], "relations": []})
-    return graph.llm_extract(docs, answer).groupBy("kind", "type").agg(F.count("*").alias("n"))
+    return graph.llm_extract(docs, answer).groupBy("doc_id", "kind", "type").agg(F.count("*").alias("n"))
 
 
 @query
@@ -604,7 +606,7 @@ def graph_delete(spark, sf):
 @query
 def graph_build(spark, sf):
     chunks = _t(spark, sf, "chunks").groupBy("id").agg(F.max("content").alias("content"), F.max("document_id").cast("string").alias("document_id"))
-    return graph.build(chunks)[0].groupBy("type").agg(F.count("*").alias("n"))
+    return graph.build(chunks)[0].groupBy(F.col("source_doc_id").alias("document_id"), "type").agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"))
 
 
 # Evaluation, rewriting, access, prompts, store.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lumbra.functions.text import ENTITIES
 from lumbra.operators.fusion import FACTUAL, SEMANTIC
+from lumbra.operators.graph import COMMON
 from lumbra.plans import catalogue as C
 
 SQL: dict[str, str] = {}
@@ -321,3 +322,109 @@ SQL["snapshot_changes"] = (
     "WITH a AS (SELECT doc_id, created_at AS m FROM documents WHERE lang IS DISTINCT FROM 'fr'), b AS (SELECT doc_id, updated_at AS m FROM documents WHERE lang IS DISTINCT FROM 'de') "
     "SELECT CASE WHEN a.doc_id IS NULL THEN 'create' WHEN b.doc_id IS NULL THEN 'delete' ELSE 'modify' END AS event, count(*) AS n FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.m <> b.m GROUP BY ALL"
 )
+
+# Sequential chunkers as folds: a recursive query walks the pieces of all texts in step.
+_T = "t AS (SELECT doc_id, content FROM documents WHERE length(content) > 0)"
+
+
+def _fold(parts: str, cut: str, have: str, start: str, out: str = "have", at: str = "start") -> str:
+    """parts gives doc_id and lists ps of structs (k, t); cut, have and start are the next state from have, start, k and x (the piece)."""
+    return (
+        f"WITH RECURSIVE {_T}, l AS ({parts}), p AS (SELECT doc_id, i, ps[i].k AS k, ps[i].t AS x, len(ps) AS n FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM l)), "
+        "f AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, '' AS have, CAST(0 AS BIGINT) AS start, CAST(NULL AS VARCHAR) AS done, CAST(NULL AS BIGINT) AS from_, len(ps) AS n FROM l UNION ALL "
+        f"SELECT doc_id, i + 1, {have}, CAST({start} AS BIGINT), CASE WHEN cut THEN {out} END, CASE WHEN cut THEN CAST({at} AS BIGINT) END, n FROM (SELECT *, {cut} AS cut FROM (SELECT f.*, p.k, p.x FROM f JOIN p ON p.doc_id = f.doc_id AND p.i = f.i + 1))), "
+        "o AS (SELECT doc_id, i, from_ AS start_pos, done AS chunk FROM f WHERE done IS NOT NULL UNION ALL SELECT doc_id, n + 1, start, have FROM f WHERE i = n AND have <> '') "
+        "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, start_pos, start_pos + length(chunk) AS end_pos, chunk, length(chunk) // 4 AS token_count FROM o"
+    )
+
+
+_structs = lambda lst: f"list_transform({lst}, lambda y: {{'k': 'p', 't': y}})"
+_over = "have <> '' AND length(have) + length(x) > 512"
+SQL["chunk_recursive"] = _fold(
+    f"SELECT doc_id, {_structs('CASE WHEN length(content) <= 512 THEN [content] ELSE string_split(content, chr(10) || chr(10)) END')} AS ps FROM t",
+    _over, "CASE WHEN cut THEN substr(have, greatest(0, length(have) - 50) + 1) ELSE have END || x", "CASE WHEN cut THEN start + greatest(0, length(have) - 50) ELSE start END",
+)
+SQL["chunk_lines"] = _fold(
+    f"SELECT doc_id, {_structs(chr(114) + 'egexp_extract_all(content, ' + chr(39) + '[^' + chr(92) + 'n]*' + chr(92) + 'n|[^' + chr(92) + 'n]+' + chr(39) + ')')} AS ps FROM t",
+    "length(have || x) >= 512", "CASE WHEN cut THEN '' ELSE have || x END", "CASE WHEN cut THEN start + length(have || x) ELSE start END", "have || x",
+)
+_SENTENCE = r"'[^.!?。！？\n]*[.!?。！？\n]|[^.!?。！？\n]+$'"
+SQL["chunk_semantic"] = _fold(
+    f"SELECT doc_id, flatten(list_transform(list_filter(list_transform(string_split(content, chr(10) || chr(10)), lambda y: {trim('y')}), lambda y: y <> ''), lambda z: CASE WHEN length(z) > 512 THEN "
+    f"list_concat([{{'k': 'f', 't': ''}}], list_transform(list_filter(list_transform(regexp_extract_all(z, {_SENTENCE}), lambda v: {trim('v')}), lambda v: v <> ''), lambda v: {{'k': 's', 't': v}})) ELSE [{{'k': 'p', 't': z}}] END)) AS ps FROM t",
+    "have <> '' AND (k = 'f' OR length(have) + length(x) > 512)",
+    "CASE WHEN k = 'f' THEN '' WHEN k = 's' THEN CASE WHEN cut THEN '' ELSE have END || x WHEN cut OR have = '' THEN x ELSE have || chr(10) || chr(10) || x END",
+    "CASE WHEN cut AND k <> 'f' THEN start + length(have) ELSE start END",
+)
+_SEPARATORS = ["\n\n", "\n", "。", "！", "？", ". ", "! ", "? ", " "]
+_marked = "CASE level " + " ".join(f"WHEN {i} THEN replace(part, '{x}', '{x}' || chr(1))" for i, x in enumerate(_SEPARATORS) if i) + " END"
+_deep = (
+    "s AS (SELECT doc_id, CAST([] AS BIGINT[]) AS path, content AS part, 0 AS level FROM t UNION ALL SELECT doc_id, list_append(path, i), bits[i], level + 1 FROM (SELECT *, unnest(range(1, len(bits) + 1)) AS i FROM (SELECT *, "
+    "CASE WHEN level = 0 THEN list_filter(string_split(replace(replace(part, chr(10) || chr(10), chr(10) || chr(10) || chr(1)), chr(1) || chr(10), chr(1) || chr(10) || chr(1)), chr(1)), lambda b: b <> '') "
+    f"WHEN level = 9 THEN list_transform(range(0, length(part), 512), lambda b: substr(part, CAST(b + 1 AS BIGINT), 512)) ELSE list_filter(string_split({_marked}, chr(1)), lambda b: b <> '') END AS bits FROM s WHERE length(part) > 512 AND level < 10)))"
+)
+SQL["chunk_deep"] = _fold("SELECT doc_id, list({'k': 'p', 't': part} ORDER BY path) AS ps FROM s WHERE length(part) <= 512 OR level >= 10 GROUP BY doc_id", _over, "CASE WHEN cut THEN '' ELSE have END || x", "CASE WHEN cut THEN start + length(have) ELSE start END").replace(f"{_T}, ", f"{_T}, {_deep}, ", 1)
+
+_field = lambda c: f"CASE WHEN {c} IS NOT NULL THEN '\"{c}\":' || to_json({c}) END"
+SQL["json_sink"] = f"SELECT '{{' || concat_ws(',', {', '.join(map(_field, ('doc_id', 'lang', 'doc_version', 'title')))}) || '}}' AS json FROM documents"
+SQL["hyde_rewrite"] = f"WITH t AS (SELECT doc_id AS query_id, title AS query FROM documents WHERE title IS NOT NULL) SELECT query_id, 0 AS ord, query FROM t UNION ALL SELECT query_id, 1, 'A text about ' || regexp_extract({trim('query')}, '[^' || chr(10) || ']*$') FROM t"
+SQL["relation_extraction"] = (
+    "SELECT doc_id, source, lang AS target, 'USES' AS type, CAST(0.5 AS DOUBLE) AS confidence FROM documents WHERE octet_length(encode(source)) > 1 AND octet_length(encode(lang)) > 1 AND NOT contains(source, substr(lang, 1, 1))"
+)
+SQL["llm_extraction"] = (
+    r"SELECT doc_id, 'entity' AS kind, 'PRODUCT' AS type, len(ls) AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(content, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), "
+    f"lambda x: {trim('x')} <> '') AS ls FROM documents) WHERE len(ls) > 0"
+)
+_found = lambda rows, key: (
+    f"c0 AS ({rows}), x AS (" + " UNION ALL ".join(
+        rf"SELECT {key}, {rule} AS rule, '{kind}' AS type, {conf} AS confidence, regexp_extract_all(content, '{pattern}', 1) AS names FROM c0"
+        for rule, kind, conf, pattern in ((1, "CONCEPT", 0.7, "「(.+?)」"), (2, "CONCEPT", 0.7, '"(.+?)"'), (3, "PRODUCT", 0.7, "《(.+?)》"), (4, "CONCEPT", 0.7, "【(.+?)】"), (9, "ORGANIZATION", 0.6, r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"))
+    ) + rf" UNION ALL SELECT {key}, 10, 'PERSON', 0.4, list_filter(flatten(list_transform(regexp_extract_all(content, '\p{{Han}}{{2,}}'), lambda r: list_concat(list_transform(range(2, least(4, length(r)) + 1), lambda n: substr(r, 1, CAST(n AS BIGINT))), list_transform(range(2, least(4, length(r)) + 1), lambda n: substr(r, CAST(length(r) - n + 1 AS BIGINT), CAST(n AS BIGINT)))))), lambda w: w NOT IN ({', '.join(repr(w) for w in COMMON)})) FROM c0), "
+    f"y AS (SELECT {key}, rule, type, confidence, unnest(range(1, len(names) + 1)) AS i, names FROM x), z AS (SELECT {key}, rule, type, confidence, i, CASE WHEN rule < 10 THEN {trim('names[i]')} ELSE names[i] END AS name FROM y), "
+    "k AS (SELECT * FROM z WHERE CASE WHEN rule BETWEEN 1 AND 4 THEN octet_length(encode(name)) BETWEEN 2 AND 50 WHEN rule = 9 THEN octet_length(encode(name)) > 2 ELSE true END)"
+)
+SQL["graph_build"] = "WITH " + _found("SELECT id, max(document_id) AS document_id, max(content) AS content FROM chunks GROUP BY id", "id, document_id") + (
+    ", o AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY id, lower(name) ORDER BY rule, i) = 1) SELECT CAST(document_id AS VARCHAR) AS document_id, type, count(*) AS n, count(DISTINCT name) AS names FROM o GROUP BY ALL"
+)
+SQL["entity_extraction_han"] = "WITH " + _found("SELECT doc_id, coalesce(content, '') AS content FROM documents", "doc_id") + (
+    ", w AS (SELECT * FROM (VALUES ('retrieval', 'CONCEPT'), ('快照', 'TECHNOLOGY')) AS v(word, type)), a AS (SELECT doc_id, rule, i, name, type FROM k UNION ALL SELECT doc_id, 0, 0, word, w.type FROM c0, w WHERE contains(content, word)), "
+    "o AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY rule, i) = 1) SELECT doc_id, type, count(*) AS n FROM o GROUP BY ALL"
+)
+
+# Diversity: ten rounds over each query's candidates, the best value first.
+_CANDIDATES = f"{SCORED}, r0 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS ord FROM s), m AS (SELECT r0.query_id, r0.id, r0.score, ord, {space_tokens('content')} AS cw FROM r0 JOIN d ON r0.id = d.id WHERE ord <= 20)"
+
+
+def _mmr(keep: int, trade: float, source: str = "m") -> str:
+    """Similarities of all pairs of a query's candidates, then a recursive choice: each round has the list of those chosen."""
+    return (
+        f", pair AS (SELECT a.query_id, a.id AS one, b.id AS two, len(list_filter(b.cw, lambda w: list_contains(a.cw, w))) AS c, len(list_distinct(a.cw)) AS na, len(b.cw) AS nb FROM {source} a JOIN {source} b ON a.query_id = b.query_id AND a.id <> b.id), "
+        "sim AS (SELECT query_id, one, two, CASE WHEN na + nb - c = 0 THEN 0 ELSE c / (na + nb - c) END AS s FROM pair), "
+        "g AS (SELECT query_id, CAST([] AS BIGINT[]) AS chosen, 0 AS rank, CAST(NULL AS BIGINT) AS id FROM (SELECT DISTINCT query_id FROM m) UNION ALL "
+        f"SELECT query_id, list_append(chosen, nxt), rank + 1, nxt FROM (SELECT g.query_id, g.chosen, g.rank, (SELECT m.id FROM {source} m WHERE m.query_id = g.query_id AND NOT list_contains(g.chosen, m.id) "
+        f"ORDER BY round({trade} * m.score - {1 - trade:.1f} * coalesce((SELECT max(s) FROM sim WHERE sim.query_id = g.query_id AND sim.one = m.id AND list_contains(g.chosen, sim.two)), 0), 12) DESC, m.ord LIMIT 1) AS nxt FROM g WHERE rank < {keep}) WHERE nxt IS NOT NULL) "
+    )
+
+
+SQL["mmr"] = _CANDIDATES.replace("WITH ", "WITH RECURSIVE ", 1) + _mmr(10, 0.7) + "SELECT g.query_id, g.id, round(score, 5) AS score, rank FROM g JOIN m USING (query_id, id)"
+_LATEST = "e AS (SELECT doc_id, title, content, source FROM documents QUALIFY coalesce(content, '') = '' OR row_number() OVER (PARTITION BY sha256(content) ORDER BY created_at NULLS FIRST, doc_id) = 1)"
+_ENGINE = f"d AS (SELECT doc_id AS id, concat_ws(' ', title, content) AS content, {han(chr(99) + 'oncat_ws(' + chr(39) + ' ' + chr(39) + ', title, content)')} AS tokens FROM e), d2 AS (SELECT *, len(tokens) AS dl FROM d)"
+_ASK = (
+    f"WITH {_LATEST}, {_ENGINE}, {POSTINGS.replace('FROM d)', 'FROM d2)')}, {QT}, {BM25.replace('FROM d)', 'FROM d2)')}, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 3), "
+    "g AS (SELECT query_id, a.id, score, rank, d.content, source FROM a JOIN d ON a.id = d.id JOIN e ON doc_id = a.id)"
+)
+SQL["engine_ask"] = f"{_ASK}, {_answer}"
+
+# Hashed words as vectors: position and sign of a word come from its MD5.
+_HASHED = (
+    "h AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM (SELECT id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS w FROM src)), v0 AS (SELECT id, h % 64 AS pos, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM h GROUP BY ALL), "
+    "v AS (SELECT id, pos, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM v0 WHERE x <> 0)"
+)
+SQL["embed_documents"] = f"WITH src AS (SELECT doc_id AS id, coalesce(text, '') AS content FROM documents), {_HASHED} SELECT id AS doc_id, pos, round(x, 5) AS value FROM v"
+SQL["hybrid_search"] = (
+    f"{SCORED}, src AS (SELECT id::VARCHAR AS id, content FROM d UNION ALL SELECT query_id, query FROM q), {_HASHED}, sim AS (SELECT q.query_id, d.id, coalesce(dot, 0) AS score FROM q CROSS JOIN d LEFT JOIN (SELECT a.id AS query_id, b.id AS other, sum(a.x * b.x) AS dot FROM v a JOIN v b ON a.pos = b.pos "
+    "WHERE a.id IN (SELECT query_id FROM q) GROUP BY ALL) z ON z.query_id = q.query_id AND z.other = d.id::VARCHAR), "
+    "u AS (SELECT query_id, id, 'keyword' AS strategy, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS n, score AS raw FROM s UNION ALL SELECT query_id, id, 'vector', row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id), score FROM sim), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY query_id, strategy ORDER BY raw DESC, id) AS place FROM u WHERE n <= 20), f AS (SELECT query_id, id, sum(1 / (60 + place)) AS score FROM o GROUP BY ALL), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM f) SELECT query_id, id, round(score, 5) AS score, rank FROM r WHERE rank <= 10"
+)
