@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
+from urllib import request
 
 import numpy as np
 import pandas as pd
@@ -38,6 +40,21 @@ def hashing(dim: int = 64) -> Embedder:
     return run
 
 
+def service(url: str, model: str, key: str | None = None, timeout: float = 30.0) -> Embedder:
+    """A client of a service with the common embeddings interface: it takes a list of texts and gives a vector for each, with its place in the list."""
+
+    def run(texts: list[str]) -> np.ndarray:
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        with request.urlopen(request.Request(url, json.dumps({"model": model, "input": texts}).encode(), head), timeout=timeout) as answer:  # noqa: S310
+            data = json.load(answer)
+        rows = data["data"] if "data" in data else [{"index": i, "embedding": e} for i, e in enumerate(data["embeddings"])]
+        if len(rows) != len(texts):
+            raise RuntimeError(f"{len(texts)} texts, but {len(rows)} vectors")
+        return np.array([r["embedding"] for r in sorted(rows, key=lambda r: r.get("index", 0))], dtype=float)
+
+    return run
+
+
 def constant(dim: int = 64) -> Embedder:
     """The same vector for every text."""
     return lambda texts: np.full((len(texts), dim), 1 / dim**0.5)

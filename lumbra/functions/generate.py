@@ -7,6 +7,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from urllib import request
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 Generate = Callable[[str], str]
 
 
@@ -38,6 +42,46 @@ def chat(url: str, model: str, key: str | None = None, options: Options = Option
     return run
 
 
+def generated(prompt: Column, generate: Generate, tries: int = 1, good: Callable[[str], bool] = bool) -> Column:
+    """The model's answer to each prompt, in Arrow batches with one model for a task; one that isn't good is asked for again, up to tries times. A null prompt is empty."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            out = []
+            for p in s:
+                answer = ""
+                for _ in range(max(1, tries)):
+                    answer = generate(p or "")
+                    if good(answer or ""):
+                        break
+                out.append(answer)
+            yield pd.Series(out, dtype=object)
+
+    return run(prompt)
+
+
+def streamed(url: str, model: str, key: str | None = None, options: Options = Options(), timeout: float = 30.0) -> Callable[[str], Iterator[str]]:
+    """A client that passes on the answer's pieces as the service sends them: lines of events, or of JSON values."""
+
+    def run(prompt: str) -> Iterator[str]:
+        body = {"model": model, "messages": [{"role": "user", "content": prompt}], "temperature": options.temperature, "max_tokens": options.max_tokens, "stream": True}
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        with request.urlopen(request.Request(url, json.dumps(body).encode(), head), timeout=timeout) as answer:  # noqa: S310
+            for line in answer:
+                text = line.decode().strip().removeprefix("data:").strip()
+                if not text or text == "[DONE]":
+                    continue
+                data = json.loads(text)
+                part = data["choices"][0].get("delta", {}).get("content") if data.get("choices") else data.get("message", {}).get("content") or data.get("response")
+                if part:
+                    yield part
+                if data.get("done"):
+                    return
+
+    return run
+
+
 def pieces(answer: str, size: int = 20) -> Iterator[str]:
     """The answer as a stream of pieces."""
     for i in range(0, len(answer), size):

@@ -170,3 +170,14 @@ def markdown_title(text: Column) -> Column:
 def paragraphs(text: Column) -> Column:
     """Parts between blank lines, trimmed."""
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), trim), lambda p: p != "")
+
+
+def format_time(time: Column) -> Column:
+    """A timestamp as text in UTC with microseconds."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def parse_time(text: Column) -> Column:
+    """The timestamp of a text in one of the common forms; null for anything else."""
+    forms = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd")
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in forms])

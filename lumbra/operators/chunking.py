@@ -56,6 +56,12 @@ def buffered(df: DataFrame, content: str = "content", size: int = SIZE, overlap:
     return rows.drop("_last")
 
 
+def peek(df: DataFrame, n: int, content: str = "content", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """The first n windows of each text as buffered() gives them, without making the others."""
+    head = df.withColumn(content, F.substring(content, 1, n * size)) if n > 0 else df.limit(0)
+    return buffered(head, content, size, overlap).filter(F.col("chunk_index") < n)
+
+
 # Packers run over each text once in Python workers: every piece depends on what the pieces before it left.
 
 Piece = tuple[int, str]

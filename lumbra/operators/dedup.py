@@ -56,6 +56,14 @@ def stats(marked: DataFrame) -> DataFrame:
     return marked.agg(F.count("*").alias("documents"), F.count_distinct("hash").alias("hashes"), F.coalesce(F.sum(dup), F.lit(0)).alias("duplicates"), F.sum("content_size").alias("bytes"), F.coalesce(F.sum(F.when(dup == 1, F.col("content_size"))), F.lit(0)).alias("duplicate_bytes"))
 
 
+def cached(files: DataFrame, cache: DataFrame) -> DataFrame:
+    """(source, modified, hash): the hash of each file (source, modified, data), from the cache (source, modified, hash) where the file hasn't changed since; the others are read and hashed."""
+    known = cache.groupBy("source", "modified").agg(F.min("hash").alias("hash"))
+    kept = files.select("source", "modified").join(known, ["source", "modified"])
+    new = files.join(known, ["source", "modified"], "left_anti").select("source", "modified", F.sha2("data", 256).alias("hash"))
+    return kept.unionByName(new)
+
+
 def files(spark, path: str, pattern: str = "*") -> DataFrame:
     """(path, hash, content_size, is_duplicate, existing_path) of the files under a folder."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)

@@ -29,9 +29,12 @@ def per_query(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS, failed
         near = F.col("rank") <= k
         sums += [F.sum(F.when(near, F.col("hit")).otherwise(0)).alias(f"h{k}"), F.sum(F.when(near, gain).otherwise(0.0)).alias(f"dcg{k}")]
     got = hits.groupBy("query_id").agg(*sums)
-    best = rel.filter("rel > 0").withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rel").desc(), "doc_id")))
-    ideal = best.groupBy("query_id").agg(F.count("*").alias("relevant"), F.sort_array(F.collect_list(F.when(F.col("n") <= max(ks), F.struct("n", "rel")))).alias("gains"))
-    m = queries.join(got, "query_id", "left").join(ideal, "query_id", "left").fillna(0, ["retrieved", "relevant"])
+    some = rel.filter("rel > 0")
+    # only the best few of a query's relevances are kept, so each task drops the others before the shuffle
+    best = some.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rel").desc(), "doc_id"))).filter(F.col("n") <= max(ks))
+    ideal = best.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("n", "rel"))).alias("gains"))
+    number = some.groupBy("query_id").agg(F.count("*").alias("relevant"))
+    m = queries.join(got, "query_id", "left").join(number, "query_id", "left").join(ideal, "query_id", "left").fillna(0, ["retrieved", "relevant"])
     cols = ["query_id", F.col("retrieved").cast("long"), F.col("relevant").cast("long")]
     zero = F.lit(0.0)
     gains = F.coalesce("gains", F.array().cast("array<struct<n:int,rel:double>>"))

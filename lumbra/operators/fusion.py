@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumbra.operators.keyword import top
+from lumbra.operators.skew import numbered
+from lumbra.session import cut
 
 # What marks a query as a question for facts or for meaning.
 FACTUAL = ("什么", "谁", "哪里", "什么时候", "多少", "what", "who", "where", "when", "how many")
@@ -24,7 +26,7 @@ def route(query: Column) -> Column:
 
 def ranks(hits: DataFrame) -> DataFrame:
     """Adds rank within query and strategy, best score first, ties by id."""
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "strategy").orderBy(F.col("score").desc(), "id")))
+    return numbered(hits, ["query_id", "strategy"], [F.col("score").desc(), F.col("id")], "rank")
 
 
 def rrf(hits: DataFrame, k: int = 60, keep: int | None = 10, payload: str = "best") -> DataFrame:
@@ -60,7 +62,24 @@ def hybrid(queries: DataFrame, routes: dict[str, Route], k: int = 10, method: st
     if hits is None:
         raise ValueError("no route")
     fused = rrf(hits, rrf_k, k) if method == "rrf" else weighted(hits, weights or {}, k)
-    return fused.filter(F.col("score") >= threshold) if threshold is not None else fused
+    return above(fused, threshold) if threshold is not None else fused
+
+
+def cascade(queries: DataFrame, routes: list[Route], k: int = 10) -> DataFrame:
+    """The first route's hits; queries that it has no hit for are answered by the next one, and so on."""
+    found, left = None, cut(queries, "queries")
+    for run in routes:
+        hits = cut(run(left, k), "hits")
+        found = hits if found is None else found.unionByName(hits)
+        left = cut(left.join(hits.select("query_id").distinct(), "query_id", "left_anti"), "queries")
+        if left.isEmpty():
+            break
+    return found
+
+
+def above(hits: DataFrame, threshold: float) -> DataFrame:
+    """Hits of at least that score."""
+    return hits.filter(F.col("score") >= threshold)
 
 
 def counts(hits: DataFrame) -> DataFrame:

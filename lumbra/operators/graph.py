@@ -9,17 +9,20 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumbra.functions import text as X
+from lumbra.functions.generate import generated
 from lumbra.operators.sizes import in_parts, small
 from lumbra.schema import stable_id
 from lumbra.session import cut
 
 # Signs around named things, with the type they tell.
 QUOTED = ((r"「(.+?)」", "CONCEPT"), (r'"(.+?)"', "CONCEPT"), (r"《(.+?)》", "PRODUCT"), (r"【(.+?)】", "CONCEPT"))
+# Fixed value: runs of capitalised words.
 CAPITALS = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"
 # Chinese words that are no names.
 COMMON = "这个 那个 什么 怎么 为什么 可以 已经 因为 所以 但是 如果 虽然 就是 不是 一个 我们 他们 自己 没有 知道 技术 方法 系统 问题 进行".split()
@@ -59,11 +62,36 @@ def relation_type(value: Column) -> Column:
     return _typed(value, RELATION_TYPES, RELATION_SYNONYMS, "RELATED_TO")
 
 
+#: Words of a dictionary that one pass over the texts looks for; the automaton of a block takes some tens of megabytes.
+WORDS = 100_000
+
+
+def _dictionaries(dictionary: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    words = dictionary.filter("word is not null and word <> ''").groupBy(F.lower("word").alias("name")).agg(F.min("type").alias("type"))
+    parts = -(-words.count() // WORDS)
+    for i in range(parts):
+        yield [(r[0], r[1]) for r in words.filter(F.pmod(F.xxhash64("name"), F.lit(parts)) == i).collect()]
+
+
+def _named(shared) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for name, kind in shared.value:
+            automaton.add_word(name, (name, kind))
+        automaton.make_automaton()
+        for b in batches:
+            rows = [(d, *x) for d, t in zip(b["doc_id"], b["text"], strict=True) for x in sorted({v for _, v in automaton.iter(t)})]
+            yield pd.DataFrame(rows, columns=["doc_id", "name", "type"])
+
+    return run
+
+
 def extract_entities(docs: DataFrame, id_col: str = "id", content: str = "content", dictionary: DataFrame | None = None, han: bool = True) -> DataFrame:
     """(doc_id, name, type, confidence), one row for each name of a document whatever its case, from the first rule that finds it.
 
     Rules in order: words of a dictionary (word, type) that the text contains, 0.9; quoted names of 2 to 50 bytes, 0.7; runs of
-    capitalised words, ORGANIZATION, 0.6; runs of 2 to 4 Han characters at the edge of Han text, PERSON, 0.4. The dictionary is broadcast if small.
+    capitalised words, ORGANIZATION, 0.6; runs of 2 to 4 Han characters at the edge of Han text, PERSON, 0.4. The dictionary is
+    looked up by an automaton, in blocks of WORDS words with one pass over the texts each.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(content), F.lit("")).alias("text"))
     found = []
@@ -89,8 +117,9 @@ def extract_entities(docs: DataFrame, id_col: str = "id", content: str = "conten
         found.append(F.transform(names, lambda n, i: F.struct(n.alias("name"), F.lit("PERSON").alias("type"), F.lit(0.4).alias("confidence"), F.lit(10).alias("rule"), i.alias("at"))))
     out = rows.select("doc_id", F.explode(F.concat(*found)).alias("x")).select("doc_id", "x.*")
     if dictionary is not None:
-        words = small(dictionary.select(F.lower("word").alias("name"), "type"), 10_000)
-        out = out.unionByName(rows.join(words, F.expr("contains(text, name)")).select("doc_id", "name", "type", F.lit(0.9).alias("confidence"), F.lit(0).alias("rule"), F.lit(0).alias("at")))
+        for block in _dictionaries(dictionary):
+            found = rows.mapInPandas(_named(rows.sparkSession.sparkContext.broadcast(block)), f"doc_id {dict(rows.dtypes)['doc_id']}, name string, type string")
+            out = out.unionByName(found.select("doc_id", "name", "type", F.lit(0.9).alias("confidence"), F.lit(0).alias("rule"), F.lit(0).alias("at")))
     best = F.min(F.struct("rule", "at", "name", "type", "confidence")).alias("x")
     return out.groupBy("doc_id", F.lower("name").alias("key")).agg(best).select("doc_id", "x.name", "x.type", "x.confidence", "x.rule", "x.at")
 
@@ -161,16 +190,20 @@ def parse_extraction(answers: DataFrame) -> DataFrame:
 def llm_extract(docs: DataFrame, generate: Callable[[str], str], id_col: str = "id", content: str = "content", tries: int = 3) -> DataFrame:
     """Extraction by an injected model; an answer without an object is asked for again, up to tries times."""
 
-    def ask(text: str) -> str:
-        answer = ""
-        for _ in range(tries):
-            answer = generate("Extract entities and relations as JSON with the keys entities (name, type) and relations (source, target, type).\n\n" + (text or ""))
-            if re.search(r"\{.*\}", answer, re.S):
-                break
-        return answer
+    ask = F.concat(F.lit("Extract entities and relations as JSON with the keys entities (name, type) and relations (source, target, type).\n\n"), F.coalesce(F.col(content), F.lit("")))
+    answer = generated(ask, generate, tries, lambda a: re.search(r"\{.*\}", a, re.S) is not None)
+    return parse_extraction(docs.select(F.col(id_col).alias("doc_id"), answer.alias("answer")))
+
+
+def upsert(table: DataFrame, new: DataFrame) -> DataFrame:
+    """Entities or relations with the new rows in place of those with the same id; of several new rows of an id the greatest in all columns counts."""
+    last = new.groupBy("id").agg(F.max(F.struct(*[c for c in new.columns if c != "id"])).alias("x")).select("id", "x.*")
+    return table.join(last.select("id"), "id", "left_anti").unionByName(last, allowMissingColumns=True)
+
 
-    make = F.udf(ask, "string")
-    return parse_extraction(docs.select(F.col(id_col).alias("doc_id"), make(F.col(content)).alias("answer")))
+def get(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The entities or relations of these ids."""
+    return table.join(ids.select("id").distinct(), "id", "left_semi")
 
 
 @in_parts
@@ -202,7 +235,7 @@ def subgraph(entities: DataFrame, relations: DataFrame, seeds: DataFrame, depth:
 
     The far ends of the last level's relations aren't part of it. Each level is one join along the edges and is written to the shared folder.
     """
-    e = edges(relations)
+    e = cut(edges(relations), "edges")
     known = entities.select("id")
     frontier = seeds.select(F.col("id").alias("seed_id"), "id").join(known, "id", "left_semi").select("seed_id", "id", F.lit(0).alias("level")).distinct()
     nodes = frontier = cut(frontier, "level")
@@ -220,7 +253,7 @@ def paths(relations: DataFrame, pairs: DataFrame, most: int = 5) -> DataFrame:
     nodes leaves out the target. Equal ends have no path. A step is only taken to entities from which the target can still be reached in the
     steps that are left, which a search from the target finds first.
     """
-    e = edges(relations).filter("a <> b").select("a", "b", "relation_id")
+    e = cut(edges(relations).filter("a <> b").select("a", "b", "relation_id"), "edges")
     want = pairs.select("source", "target").filter("source <> target").distinct()
     reach = far = cut(want.select("source", "target", F.col("target").alias("node"), F.lit(0).alias("left")), "reach")
     for n in range(1, most):

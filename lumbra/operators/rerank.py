@@ -12,8 +12,6 @@ from lumbra.functions import text as X
 from lumbra.operators.keyword import top
 
 SCORE, MATCH = 0.3, 0.7
-#: MMR takes the best so many candidates of a query; retrieval gives it twice the wanted number.
-MOST = 1000
 
 
 def match_score(query: Column, content: Column) -> Column:
@@ -47,11 +45,14 @@ def _similar(a: list[str], b: list[str]) -> float:
 def mmr(candidates: DataFrame, keep: int = 10, trade: float = 0.5, first_wins: bool = False) -> DataFrame:
     """Adds rank: each next item is the one with the largest trade * score - (1 - trade) * similarity to what was chosen; ties by order of score and id.
 
-    A trade outside of (0, 1] is 0.5. With first_wins a round in which no item is above 0 takes the first that is left. Each query's
-    candidates are limited to its MOST best, so a group has a bound.
+    A trade outside of (0, 1] is 0.5. With first_wins a round in which no item is above 0 takes the first that is left. Similarities lie between 0 and 1,
+    so an item whose score is less than the keep-th best by more than (1 - trade) / trade is never chosen, and leaves before the choice.
     """
     trade = trade if 0 < trade <= 1 else 0.5
-    rows = top(candidates.drop("rank"), MOST).select("query_id", "id", "score", "content", F.col("rank").alias("ord"), X.space_tokens(F.col("content")).alias("words"))
+    ranked = top(candidates.drop("rank"), None)
+    least = ranked.filter(F.col("rank") <= keep).groupBy("query_id").agg((F.min("score") - (1 - trade) / trade - 1e-6).alias("_least"))
+    ranked = ranked.join(least, "query_id").filter(F.col("score") >= F.col("_least"))
+    rows = ranked.select("query_id", "id", "score", "content", F.col("rank").alias("ord"), X.space_tokens(F.col("content")).alias("words"))
 
     def choose(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ord").reset_index(drop=True)

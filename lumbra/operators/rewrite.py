@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumbra.functions import text as X
+from lumbra.functions.generate import Generate, generated
 from lumbra.operators.sizes import small
 
-Generate = Callable[[str], str]
-
 
 def synonyms(queries: DataFrame, table: DataFrame) -> DataFrame:
     """(query_id, ord, query): the query, then for each of its words and each synonym the query with all occurrences replaced. Words are exact."""
@@ -25,15 +24,15 @@ def synonyms(queries: DataFrame, table: DataFrame) -> DataFrame:
 
 def hyde(queries: DataFrame, generate: Generate) -> DataFrame:
     """(query_id, ord, query): the query and a made-up document that would answer it."""
-    make = F.udf(lambda q: [q, generate(q)], "array<string>")
-    return queries.select("query_id", F.posexplode(make("query")).alias("ord", "query"))
+    made = queries.select("query_id", "query", generated(F.col("query"), generate).alias("made"))
+    return made.select("query_id", F.posexplode(F.array("query", "made")).alias("ord", "query"))
 
 
 def multi_query(queries: DataFrame, generate: Generate, n: int = 3) -> DataFrame:
     """(query_id, ord, query): the query and up to n others from the lines of an answer; blank lines and echoes are dropped."""
-    make = F.udf(lambda q: generate(q), "string")
-    lines = F.filter(F.transform(F.split(make("query"), "\n"), X.trim), lambda x: (x != "") & (x != X.trim(F.col("query"))))
-    return queries.select("query_id", F.posexplode(F.concat(F.array("query"), F.slice(lines, 1, n))).alias("ord", "query"))
+    made = queries.select("query_id", "query", generated(F.col("query"), generate).alias("made"))
+    lines = F.filter(F.transform(F.split("made", "\n"), X.trim), lambda x: (x != "") & (x != X.trim(F.col("query"))))
+    return made.select("query_id", F.posexplode(F.concat(F.array("query"), F.slice(lines, 1, n))).alias("ord", "query"))
 
 
 def composite(queries: DataFrame, rewriters: list[Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, list[Exception]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -108,7 +109,8 @@ def multi_query(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
 
 
 def upsert(vectors: DataFrame, new: DataFrame, dim: int) -> DataFrame:
-    """New rows replace those with the same id; of several new ones the latest created_at counts."""
+    """New rows replace those with the same id; of several new ones the latest created_at counts. A null id becomes one made from the vector."""
+    new = new.withColumn("id", F.coalesce("id", F.sha2(F.array_join(F.col("vector").cast("array<string>"), ","), 256).cast(dict(new.dtypes)["id"])))
     last = new.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.col("created_at").desc()))).filter("_n = 1").drop("_n")
     return vectors.join(last.select("id"), "id", "left_anti").unionByName(check_dimension(last, dim), allowMissingColumns=True)
 
@@ -133,7 +135,9 @@ class Ivf:
     def __init__(self, vectors: DataFrame, lists: int = 100, seed: int = 7, rounds: int = 15) -> None:
         part = vectors.filter("vector is not null").select("id", F.col("vector").cast("array<double>"))
         sample = part.orderBy(F.xxhash64("id", F.lit(seed))).limit(self.SAMPLE).select("vector").collect()
-        x = np.array([r[0] for r in sample]) if sample else np.zeros((1, 1))
+        # the length that most vectors have; others are in no cell
+        size = Counter(len(r[0]) for r in sample).most_common(1)
+        x = np.array([r[0] for r in sample if len(r[0]) == size[0][0]]) if sample else np.zeros((1, 1))
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         rng = np.random.default_rng(seed)
         lists = max(1, min(lists, len(x)))

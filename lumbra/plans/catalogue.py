@@ -14,7 +14,7 @@ from lumbra.functions import vectors as V
 from lumbra.functions.embed import embed
 from lumbra.functions.embed import hashing as hashing_embedder
 from lumbra.functions.generate import mock
-from lumbra.operators import acl, chunking, dedup, evaluate, fusion, graph, keyword, prompt, rerank, rewrite, segment, store, vector
+from lumbra.operators import acl, chunking, dedup, evaluate, fusion, graph, hnsw, keyword, prompt, rerank, rewrite, segment, store, vector
 from lumbra.plans.engine import Engine
 from lumbra.session import run_dir
 from lumbra.sources import files
@@ -183,6 +183,22 @@ def index_upsert(spark, sf):
     return ix.stats().select("documents", "terms", "tokens")
 
 
+@query
+def index_repeated(spark, sf):
+    """The documents and, under the same ids, their later titles: the later row of an id counts."""
+    docs = _t(spark, sf, "documents")
+    rows = docs.select("doc_id", "content", F.lit(0).alias("ord")).unionByName(docs.filter("lang = 'de'").select("doc_id", F.col("title").alias("content"), F.lit(1).alias("ord")))
+    return keyword.index(rows, "doc_id", "content", order="ord").stats().select("documents", "terms", "tokens")
+
+
+@query
+def index_stored(spark, sf):
+    import uuid
+
+    stored = _index(spark, sf).store(f"{run_dir(spark)}/index-{uuid.uuid4().hex}")
+    return _scored(keyword.bm25(stored, _values(spark, QUERIES), 10))
+
+
 @query
 def han_segmentation(spark, sf):
     words = segment.Dictionary({"词典": 50, "快照": 40, "归档": 40, "分词器": 60, "分词": 20, "索引": 30})
@@ -304,9 +320,56 @@ def text_paragraphs(spark, sf):
 
 def _files(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.lower(F.regexp_replace(F.coalesce("doc_type", F.lit("txt")), r"^\.", ""))
-    kind = F.when(kind.isin("docx", "pdf"), "txt").otherwise(kind)
+    docs = _t(spark, sf, "documents").select(F.concat_ws(".", F.col("doc_id").cast("string"), kind).alias("source"), F.coalesce("content", F.lit("")).alias("content"))
+    plain = docs.filter("not endswith(source, '.docx')").select("source", F.encode("content", "UTF-8").alias("data"))
+    return plain.unionByName(files.to_docx(docs.filter("endswith(source, '.docx')")))
+
+
+@query
+def docx_paragraphs(spark, sf):
+    """Every content as a Word file and back: its lines that aren't empty."""
+    docs = _t(spark, sf, "documents").filter("content is not null").select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("source"), "content")
+    read = files.elements(files.to_docx(docs)).filter("type = 'paragraph'")
+    return read.groupBy("source").agg(F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("characters"))
+
+
+@query
+def csv_records(spark, sf):
+    """Records as CSV files of two lines, read as texts."""
+    docs = _t(spark, sf, "documents").filter("lang is not null")
+    line = F.concat(F.lit("lang,doc_version\n"), "lang", F.lit(","), F.col("doc_version").cast("string"))
+    made = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".csv")).alias("source"), F.encode(line, "UTF-8").alias("data"))
+    return files.documents(made).select("source", "content", F.element_at("metadata", F.lit("rows")).alias("rows"))
+
+
+@query
+def file_blocks(spark, sf):
+    made = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source"), F.encode("content", "UTF-8").alias("data"))
+    return files.blocks(made, 512).select("source", "block", F.octet_length("data").alias("bytes"), F.sha2("data", 256).alias("hash"))
+
+
+@query
+def hash_cache(spark, sf):
+    docs = _t(spark, sf, "documents").filter("content is not null").select(F.col("doc_id").cast("string").alias("source"), F.col("updated_at").alias("modified"), F.encode("content", "UTF-8").alias("data"))
+    known = docs.filter("cast(source as bigint) % 2 = 0").select("source", "modified", F.lit("known").alias("hash"))
+    return dedup.cached(docs, known).select("source", "hash")
+
+
+@query
+def hash_lookup(spark, sf):
     docs = _t(spark, sf, "documents")
-    return docs.select(F.concat_ws(".", F.col("doc_id").cast("string"), kind).alias("source"), F.encode(F.coalesce("content", F.lit("")), "UTF-8").alias("data"))
+    return dedup.lookup(dedup.hash_index(docs, "doc_id"), docs.filter("lang = 'fr'").select(F.sha2("content", 256).alias("hash"))).select("hash", "document_id")
+
+
+@query
+def time_texts(spark, sf):
+    t = X.format_time(F.col("created_at"))
+    return _t(spark, sf, "documents").select("doc_id", t.alias("text"), (X.parse_time(t) == F.col("created_at")).alias("same"), X.parse_time(F.col("title")).isNull().alias("none"))
+
+
+@query
+def chunk_peek(spark, sf):
+    return _chunks(chunking.peek(_t(spark, sf, "documents").select("doc_id", "content"), 2, size=300, overlap=60))
 
 
 @query
@@ -381,6 +444,34 @@ def ivf_knn(spark, sf):
     return _scored(vector.Ivf(_vectors(spark, sf), 50).search(_asked(spark, sf), 10, 30))
 
 
+def _recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: queries, and whether nine tenths of their exact neighbours and more were found."""
+    hit = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return hit.agg(F.count_distinct("query_id").alias("queries"), (F.sum("hit") / F.count("*") >= 0.9).alias("enough"))
+
+
+@query
+def ivf_recall(spark, sf):
+    v, q = _vectors(spark, sf), _asked(spark, sf)
+    return _recall(vector.Ivf(v, 50).search(q, 10, 30), vector.knn(v, q, 10))
+
+
+@query
+def hnsw_recall(spark, sf):
+    v, q = _vectors(spark, sf), _asked(spark, sf)
+    return _recall(hnsw.Hnsw.build(v).search(q, 10, 100), vector.knn(v, q, 10, metric="l2"))
+
+
+@query
+def hnsw_levels(spark, sf):
+    return hnsw.Hnsw.build(_vectors(spark, sf), ef=50).levels().select("level", "nodes")
+
+
+@query
+def knn_everything(spark, sf):
+    return _scored(vector.knn(_vectors(spark, sf), _asked(spark, sf).filter("query_id % 500 = 0"), 0))
+
+
 @query
 def vector_normalise(spark, sf):
     n = V.normalise(F.transform("vector", lambda x: x * 3))
@@ -430,6 +521,19 @@ def weighted_fusion(spark, sf):
     return fusion.weighted(_hits(spark, sf), WEIGHTS, 10).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
 
 
+@query
+def score_threshold(spark, sf):
+    return fusion.above(_hits(spark, sf), 0.5).select("query_id", "strategy", "id")
+
+
+@query
+def route_cascade(spark, sf):
+    """Each query's hits of the first strategy that has any: graph, then keyword, then vector."""
+    hits = _hits(spark, sf)
+    routes = [lambda q, k, s=s: hits.filter(F.col("strategy") == s).join(q.select("query_id"), "query_id").select("query_id", "id", F.lit(s).alias("strategy")) for s in ("graph", "keyword", "vector")]
+    return fusion.cascade(hits.select("query_id").distinct(), routes)
+
+
 @query
 def route_counts(spark, sf):
     return fusion.counts(_hits(spark, sf))
@@ -597,6 +701,13 @@ def graph_answer(spark, sf):
     return graph.answer(e, r, _values(spark, NAMES))
 
 
+@query
+def graph_upsert(spark, sf):
+    e, _ = _graph(spark, sf)
+    new = _seeds(e).select("id", F.lit("renamed").alias("name"), F.lit("CONCEPT").alias("type")).unionByName(spark.createDataFrame([("new-1", "a", "TOOL"), ("new-1", "b", "TOOL")], "id string, name string, type string"))
+    return graph.get(graph.upsert(e, new), _seeds(e).unionByName(spark.createDataFrame([("new-1",)], "id string"))).select("id", "name", "type")
+
+
 @query
 def graph_delete(spark, sf):
     e, r = _graph(spark, sf)
@@ -740,6 +851,16 @@ def engine_ask(spark, sf):
     return engine.ask(engine.index(docs), _values(spark, QUERIES), mode="keyword", k=3)
 
 
+@query
+def batch_indexing(spark, sf):
+    """The documents indexed in three batches; those without a content are errors, and every error is told."""
+    import uuid
+
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "title", "content", "source", "created_at")
+    report, errors = Engine().index_batches(docs, f"{run_dir(spark)}/batches-{uuid.uuid4().hex}", 3)
+    return report.agg(F.sum("total").alias("total"), F.sum("failed").alias("failed")).crossJoin(errors.agg(F.count("*").alias("errors"), F.count_if(F.col("error") == "no content").alias("empty")))
+
+
 @query
 def stream_ingest(spark, sf):
     """The documents as a stream: parts are appended batch by batch, and what is current is counted."""

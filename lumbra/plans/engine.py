@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from lumbra.functions import text as X
 from lumbra.functions.embed import Embedder, embed, hashing
+from lumbra.functions.generate import generated
 from lumbra.operators import chunking, dedup, fusion, graph, keyword, prompt, rerank, store, vector
 from lumbra.plans.config import Config
-from lumbra.schema import stable_id
+from lumbra.schema import stable_id, valid_document
+from lumbra.session import cut
 
 
 @dataclass(frozen=True)
@@ -21,14 +24,15 @@ class Corpus:
     documents: DataFrame
     chunks: DataFrame
     index: keyword.Index
-    vectors: DataFrame
-    entities: DataFrame
-    relations: DataFrame
+    vectors: DataFrame | None
+    entities: DataFrame | None
+    relations: DataFrame | None
     duplicates: DataFrame
 
     def save(self, folder: str) -> None:
         for name in ("documents", "chunks", "vectors", "entities", "relations", "duplicates"):
             getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        self.index.store(f"{folder}/index")
 
 
 @dataclass(frozen=True)
@@ -71,11 +75,14 @@ class Engine:
 
     def load(self, spark: SparkSession, folder: str) -> Corpus:
         t = {n: spark.read.parquet(f"{folder}/{n}") for n in ("documents", "chunks", "vectors", "entities", "relations", "duplicates")}
-        whole = t["documents"].select("id", F.concat_ws(" ", "title", "content").alias("content"))
-        return Corpus(t["documents"], t["chunks"], keyword.index(whole, tokenizer=self.tokenizer), t["vectors"], t["entities"], t["relations"], t["duplicates"])
+        return Corpus(t["documents"], t["chunks"], keyword.load(spark, f"{folder}/index", self.tokenizer), t["vectors"], t["entities"], t["relations"], t["duplicates"])
 
     def search(self, corpus: Corpus, queries: DataFrame, mode: str = "hybrid", k: int | None = None, threshold: float | None = None, rerank_hits: bool = False) -> DataFrame:
-        """(query_id, id, score, content, source, rank). mode: keyword, vector, graph or hybrid; hybrid fuses keyword and vector."""
+        """(query_id, id, score, content, source, rank). mode: keyword, vector, graph, hybrid or auto.
+
+        hybrid fuses keyword and vector. auto takes hybrid first and gives queries without a hit to vector, then to keyword, as far as the corpus has them.
+        vector, graph and hybrid are an error for a corpus without vectors or entities.
+        """
         k = k or self.config.top_k
         body = corpus.index.docs.select("id", "content")
 
@@ -90,7 +97,14 @@ class Engine:
             return keyword.top(hits, n).join(body.withColumn("id", F.col("id").cast("string")), "id")
 
         routes = {"keyword": by_keyword, "vector": by_vector, "graph": by_graph}
-        if mode == "hybrid":
+        needs = {"vector": corpus.vectors, "hybrid": corpus.vectors, "graph": corpus.entities}
+        if mode in needs and needs[mode] is None:
+            raise ValueError(f"this corpus has nothing to search for mode {mode}")
+        if mode == "auto":
+            names = ["hybrid", "vector", "keyword"] if corpus.vectors is not None else ["keyword"]
+            steps = [lambda q, n, name=name: self.search(corpus, q, name, n).drop("source") for name in names]
+            hits = fusion.cascade(queries, steps, k)
+        elif mode == "hybrid":
             hits = fusion.hybrid(queries, {n: routes[n] for n in ("vector", "keyword")}, k, self.config.fusion, rrf_k=self.config.rrf_k)
         elif mode in routes:
             hits = routes[mode](queries, k)
@@ -99,7 +113,7 @@ class Engine:
         if rerank_hits:
             hits = rerank.match(hits, queries, k)
         if threshold is not None:
-            hits = hits.filter(F.col("score") >= threshold)
+            hits = fusion.above(hits, threshold)
         return hits.join(corpus.documents.select("id", "source"), "id", "left")
 
     def ask(self, corpus: Corpus, queries: DataFrame, generate=None, **options) -> DataFrame:
@@ -107,5 +121,27 @@ class Engine:
         hits = self.search(corpus, queries, **options)
         if generate is None:
             return prompt.fallback_answer(queries, hits)
-        make = F.udf(generate, "string")
-        return prompt.prompt(queries, hits).select("query_id", make("prompt").alias("answer"))
+        return prompt.prompt(queries, hits).select("query_id", generated(F.col("prompt"), generate).alias("answer"))
+
+    def index_batches(self, docs: DataFrame, folder: str, batches: int = 4, stop_on_error: bool = False, progress: Callable[[int, int], None] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Indexes docs in that many batches, each written under folder once it is done, and returns (report, errors).
+
+        report (batch, total, succeeded, failed) has a line for each batch that ran; errors (id, error) has every document that has no id or no content. With
+        stop_on_error the batch with the first error is the last. progress is called with the batches done and their number. Each batch is spread over all tasks.
+        """
+        spark = docs.sparkSession
+        docs = cut(docs.withColumn("_batch", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(batches))), "docs")
+        lines, errors = [], None
+        for i in range(batches):
+            part = docs.filter(F.col("_batch") == i).drop("_batch")
+            fine = valid_document()
+            bad = part.filter(~fine).select(F.col("id").cast("string").alias("id"), F.when(F.coalesce(F.col("id").cast("string"), F.lit("")) == "", "no id").otherwise("no content").alias("error"))
+            self.index(part.filter(fine)).save(f"{folder}/batch-{i:06d}")
+            total, failed = part.count(), bad.count()
+            lines.append((i, total, total - failed, failed))
+            errors = bad if errors is None else errors.unionByName(bad)
+            if progress:
+                progress(i + 1, batches)
+            if failed and stop_on_error:
+                break
+        return spark.createDataFrame(lines, "batch int, total long, succeeded long, failed long"), errors

@@ -428,3 +428,30 @@ SQL["hybrid_search"] = (
     "o AS (SELECT *, row_number() OVER (PARTITION BY query_id, strategy ORDER BY raw DESC, id) AS place FROM u WHERE n <= 20), f AS (SELECT query_id, id, sum(1 / (60 + place)) AS score FROM o GROUP BY ALL), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM f) SELECT query_id, id, round(score, 5) AS score, rank FROM r WHERE rank <= 10"
 )
+
+# Approximate search: the queries' number, and that nine tenths of the exact neighbours are found.
+SQL["ivf_recall"] = SQL["hnsw_recall"] = "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0"
+SQL["hnsw_levels"] = "SELECT CAST(floor(-ln((('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8))::BIGINT + 1) / 4294967296.0) / ln(16)) AS INTEGER) AS level, count(*) AS nodes FROM embeddings GROUP BY level"
+SQL["knn_everything"] = (
+    "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 500 = 0) "
+    "SELECT query_id, id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s"
+)
+SQL["index_repeated"] = f"WITH x AS (SELECT doc_id, CASE WHEN lang = 'de' THEN coalesce(title, '') ELSE coalesce(content, '') END AS c FROM documents), d AS (SELECT doc_id, {han('c')} AS tokens FROM x) SELECT count(*) AS documents, (SELECT count(DISTINCT t) FROM (SELECT unnest(tokens) AS t FROM d)) AS terms, CAST(sum(len(tokens)) AS BIGINT) AS tokens FROM d"
+SQL["index_stored"] = SQL["bm25_topk"]
+SQL["docx_paragraphs"] = (
+    r"WITH l AS (SELECT doc_id || '.docx' AS source, unnest(list_filter(list_transform(string_split(regexp_replace(content, '[\x00-\x08\x0b-\x1f\x{fffe}\x{ffff}]', '', 'g'), chr(10)), "
+    f"lambda x: {trim('x')}), lambda x: x <> '')) AS p FROM documents WHERE content IS NOT NULL) SELECT source, count(*) AS paragraphs, CAST(sum(length(p)) AS BIGINT) AS characters FROM l GROUP BY source"
+)
+SQL["csv_records"] = "SELECT doc_id || '.csv' AS source, '记录 1: lang: ' || lang || ', doc_version: ' || doc_version AS content, '1' AS rows FROM documents WHERE lang IS NOT NULL AND doc_version IS NOT NULL"
+SQL["file_blocks"] = (
+    "WITH b AS (SELECT doc_id, encode(content) AS data, octet_length(encode(content)) AS n FROM documents WHERE content <> ''), i AS (SELECT *, unnest(range(0, (n + 511) // 512)) AS block FROM b), "
+    "s AS (SELECT doc_id, block, substr(hex(data), CAST(block * 1024 + 1 AS BIGINT), 1024) AS part FROM i) SELECT CAST(doc_id AS VARCHAR) AS source, block, length(part) // 2 AS bytes, sha256(unhex(part)) AS hash FROM s"
+)
+SQL["hash_cache"] = "SELECT CAST(doc_id AS VARCHAR) AS source, CASE WHEN doc_id % 2 = 0 AND updated_at IS NOT NULL THEN 'known' ELSE sha256(content) END AS hash FROM documents WHERE content IS NOT NULL"
+SQL["hash_lookup"] = f"WITH {_M} SELECT hash, doc_id AS document_id FROM f WHERE size > 0 AND first = doc_id AND hash IN (SELECT sha256(content) FROM documents WHERE lang = 'fr')"
+SQL["time_texts"] = "SELECT doc_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS text, created_at = created_at AS same, true AS none FROM documents"
+SQL["chunk_peek"] = f"SELECT * FROM ({SQL['chunk_buffered']}) WHERE chunk_index < 2"
+SQL["score_threshold"] = f"WITH {_H} SELECT query_id, strategy, id FROM h WHERE score >= 0.5"
+SQL["route_cascade"] = f"WITH {_H}, b AS (SELECT query_id, min(strategy) AS strategy FROM h GROUP BY query_id) SELECT query_id, id, strategy FROM h JOIN b USING (query_id, strategy)"
+SQL["graph_upsert"] = "SELECT DISTINCT id, 'renamed' AS name, 'CONCEPT' AS type FROM entities WHERE CAST(substr(id, 5) AS BIGINT) % 20 = 0 UNION ALL SELECT 'new-1', 'b', 'TOOL'"
+SQL["batch_indexing"] = "SELECT count(*) AS total, CAST(count(*) FILTER (coalesce(content, '') = '') AS BIGINT) AS failed, CAST(count(*) FILTER (coalesce(content, '') = '') AS BIGINT) AS errors, CAST(count(*) FILTER (coalesce(content, '') = '') AS BIGINT) AS empty FROM documents"

@@ -22,6 +22,13 @@ def scan(spark: SparkSession, folder: str, extensions: list[str] | None = None)
     return rows.filter(X.extension(F.col("source")).isin(*(extensions or sorted(parsers.TYPE_OF))))
 
 
+def blocks(files: DataFrame, size: int = 4096) -> DataFrame:
+    """(source, block, data): the files' bytes in blocks of that size, the last one shorter; an empty file has none."""
+    n = F.ceil(F.octet_length("data") / size).cast("int")
+    rows = files.filter(F.octet_length("data") > 0).select("source", "data", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"))
+    return rows.select("source", "block", F.substring(F.col("data"), F.col("block") * size + 1, F.lit(size)).alias("data"))
+
+
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """(source, content) of whole text files."""
     return spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("content"))
@@ -80,6 +87,16 @@ def counts(elements: DataFrame, key: str = "source") -> DataFrame:
     )
 
 
+def _docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"source": b["source"], "data": [parsers.write_docx((t or "").split("\n")) for t in b["content"]]})
+
+
+def to_docx(texts: DataFrame) -> DataFrame:
+    """(source, data): each text (source, content) as a Word file with a paragraph for each line."""
+    return texts.select("source", "content").mapInPandas(_docx, "source string, data binary")
+
+
 def to_json(df: DataFrame) -> DataFrame:
     """Each row as a JSON text."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
