@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumbra.llm import common, copies, distinctive, fused, knn, names, near, queries
+from lumbra.operators import skew
 
 # Copies.
 
@@ -221,7 +222,7 @@ def _model(docs):
 
 @pytest.mark.parametrize("broadcast_terms", [1_000_000, 0])
 def test_scores_are_those_of_brute_force(spark, broadcast_terms, monkeypatch):
-    monkeypatch.setattr(common, "HOT_PART", 20)
+    monkeypatch.setattr(skew, "HOT_PART", 20)
     r = random.Random(7)
     docs = {f"d{i}": " ".join(r.choices(["the", "of", "index", "vector", f"own{i}", f"kin{i % 4}"], [30, 20, 5, 3, 4, 4], k=r.randint(1, 60))) for i in range(60)}
     recs = spark.createDataFrame([("t", k, v) for k, v in docs.items()], "table_name string, record_id string, content string")
