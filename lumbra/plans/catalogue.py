@@ -372,6 +372,40 @@ def chunk_peek(spark, sf):
     return _chunks(chunking.peek(_t(spark, sf, "documents").select("doc_id", "content"), 2, size=300, overlap=60))
 
 
+def _named(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """All contents as files of one kind."""
+    docs = _t(spark, sf, "documents").filter("content is not null")
+    return docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(f".{kind}")).alias("source"), F.encode("content", "UTF-8").alias("data"))
+
+
+@query
+def markdown_elements(spark, sf):
+    found = files.elements(_named(spark, sf, "md"))
+    return found.groupBy("source", "type").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"))
+
+
+@query
+def markdown_sections(spark, sf):
+    found = files.elements(_named(spark, sf, "md")).filter("type = 'heading'")
+    return found.select("source", "level", F.col("text").alias("name"), F.array_join("section_path", " > ").alias("path"))
+
+
+@query
+def text_rendered(spark, sf):
+    return files.render(files.elements(_named(spark, sf, "txt")))
+
+
+@query
+def text_counts(spark, sf):
+    return files.counts(files.elements(_named(spark, sf, "log"))).select("source", "paragraphs", "tables", "images", "words")
+
+
+@query
+def json_files(spark, sf):
+    docs = files.documents(_named(spark, sf, "json"))
+    return docs.select("source", F.element_at("metadata", F.lit("json_type")).alias("kind"), F.col("error").isNotNull().alias("failed"))
+
+
 @query
 def parse_elements(spark, sf):
     return files.elements(_files(spark, sf)).groupBy("type").agg(F.count("*").alias("n"))

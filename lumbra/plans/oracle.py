@@ -455,3 +455,34 @@ SQL["score_threshold"] = f"WITH {_H} SELECT query_id, strategy, id FROM h WHERE
 SQL["route_cascade"] = f"WITH {_H}, b AS (SELECT query_id, min(strategy) AS strategy FROM h GROUP BY query_id) SELECT query_id, id, strategy FROM h JOIN b USING (query_id, strategy)"
 SQL["graph_upsert"] = "SELECT DISTINCT id, 'renamed' AS name, 'CONCEPT' AS type FROM entities WHERE CAST(substr(id, 5) AS BIGINT) % 20 = 0 UNION ALL SELECT 'new-1', 'b', 'TOOL'"
 SQL["batch_indexing"] = "SELECT count(*) AS total, CAST(count(*) FILTER (coalesce(content, '') = '') AS BIGINT) AS failed, CAST(count(*) FILTER (coalesce(content, '') = '') AS BIGINT) AS errors, CAST(count(*) FILTER (coalesce(content, '') = '') AS BIGINT) AS empty FROM documents"
+SQL["rerank_pipeline"] = (
+    SCORED.replace("WITH ", "WITH RECURSIVE ", 1) + f", r0 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS n FROM s), m0 AS (SELECT r0.query_id, r0.id, r0.score, {space_tokens('query')} AS qw, {space_tokens('content')} AS cw FROM r0 JOIN q USING (query_id) JOIN d ON r0.id = d.id WHERE n <= 20), "
+    "x0 AS (SELECT query_id, id, cw, 0.3 * score + 0.7 * len(list_filter(qw, lambda w: list_contains(cw, w))) / len(qw) AS score FROM m0), m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS ord FROM x0 QUALIFY ord <= 15)"
+    + _mmr(5, 0.5) + "SELECT g.query_id, g.id, round(score, 5) AS score, rank FROM g JOIN m USING (query_id, id)"
+)
+
+# Markdown by lines: fences alternate, headings begin sections, and a section's other lines are one paragraph.
+_LINES = (
+    "l AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(content, chr(10)) AS ls FROM documents WHERE content IS NOT NULL))), "
+    r"f AS (SELECT *, regexp_full_match(line, '[ \t]*```\w*[ \t\r]*') AS fence FROM l), c AS (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f), "
+    r"t AS (SELECT *, CASE WHEN fence OR k % 2 = 1 THEN 'code_block' WHEN regexp_full_match(line, '[ \t]*#{1,6}[ \t]+[^\n]*\S[ \t\r]*') THEN 'heading' WHEN regexp_matches(line, '^[ \t]*[-*+] [ \t]*\S') THEN 'list' WHEN regexp_full_match(line, '[ \t]*(---|\*\*\*|___)[ \t\r]*') THEN 'separator' ELSE 'line' END AS kind FROM c), "
+    + f"b AS (SELECT doc_id, min(i) FILTER (kind = 'heading') AS h, min(i) FILTER ({trim('line')} <> '') AS any_ FROM t GROUP BY doc_id), "
+    + r"n AS (SELECT t.*, kind = 'heading' AND i = h AND h = any_ AND regexp_matches(line, '^[ \t]*#[ \t]') AS title, sum((kind = 'heading')::INT) OVER (PARTITION BY t.doc_id ORDER BY i) AS section FROM t JOIN b ON t.doc_id = b.doc_id), "
+    + r"hs AS (SELECT doc_id, i, section, length(regexp_extract(line, '#+')) AS level, regexp_replace(regexp_replace(line, '^[ \t]*#+[ \t]+', ''), '[ \t\r]+$', '') AS name FROM n WHERE kind = 'heading' AND NOT title)"
+)
+SQL["markdown_elements"] = (
+    f"WITH {_LINES}, e AS (SELECT doc_id, 'heading' AS type, length(name) AS n FROM hs UNION ALL SELECT doc_id, kind, 0 FROM n WHERE kind IN ('list', 'separator') "
+    f"UNION ALL SELECT doc_id, 'code_block', length({trim('string_agg(CASE WHEN fence THEN chr(10) ELSE line END, chr(10) ORDER BY i)')}) FROM n WHERE kind = 'code_block' GROUP BY doc_id, (k + 1) // 2 "
+    f"UNION ALL SELECT doc_id, 'paragraph', length(p) FROM (SELECT doc_id, {trim('string_agg(' + trim('line') + ', chr(32) ORDER BY i)')} AS p FROM n WHERE kind = 'line' GROUP BY doc_id, section) WHERE p <> '') "
+    "SELECT doc_id || '.md' AS source, type, count(*) AS n, CAST(sum(n) AS BIGINT) AS characters FROM e GROUP BY ALL"
+)
+# A heading's path are the last headings before it of each lower level that no heading of a level as low has followed.
+SQL["markdown_sections"] = (
+    f"WITH {_LINES}, up AS (SELECT a.doc_id, a.i, a.level, a.name, b.i AS j, b.name AS above FROM hs a JOIN hs b ON a.doc_id = b.doc_id AND b.i <= a.i AND (b.i = a.i OR b.level < a.level) "
+    "WHERE NOT EXISTS (SELECT 1 FROM hs x WHERE x.doc_id = a.doc_id AND x.i > b.i AND x.i <= a.i AND x.level <= b.level AND b.i < a.i)) "
+    "SELECT doc_id || '.md' AS source, level, name, string_agg(above, ' > ' ORDER BY j) AS path FROM up GROUP BY doc_id, i, level, name"
+)
+_PARTS = rf"(SELECT doc_id, list_filter(list_transform(regexp_split_to_array(content, '\n{WS}*\n'), lambda x: {trim('x')}), lambda x: x <> '') AS ps FROM documents WHERE content IS NOT NULL)"
+SQL["text_rendered"] = f"SELECT doc_id || '.txt' AS source, array_to_string(ps, chr(10) || chr(10)) AS content FROM {_PARTS} WHERE len(ps) > 0"
+SQL["text_counts"] = f"SELECT doc_id || '.log' AS source, len(ps) AS paragraphs, 0 AS tables, 0 AS images, CAST(list_sum(list_transform(ps, lambda p: len({words('p')}))) AS BIGINT) AS words FROM {_PARTS} WHERE len(ps) > 0"
+SQL["json_files"] = "SELECT doc_id || '.json' AS source, CASE WHEN json_valid(content) THEN CASE json_type(content) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'value' END END AS kind, NOT json_valid(content) AS failed FROM documents WHERE content IS NOT NULL"
