@@ -434,11 +434,16 @@ def linked(entities: DataFrame, known: Words = KNOWN) -> DataFrame:
     by_top = join_hot(met.select("f", "bucket"), tops, ["bucket"], "size", met.count()).select("f", "c")
     by_any = met.select("f", F.col("any").bitwiseXOR(F.xxhash64("bucket")).alias("c"))
     pairs = by_top.unionByName(by_any).filter("f <> c").select(F.least("f", "c").alias("a"), F.greatest("f", "c").alias("b"))
-    # two centres don't meet all of a bucket's pairs
-    pairs = pairs.unionByName(meetings(forms, known)).distinct()
-    x = forms.select(F.col("f").alias("a"), F.col("words").alias("wa"), F.col("kind").alias("ka"), F.col("weak").alias("xa"))
-    y = forms.select(F.col("f").alias("b"), F.col("words").alias("wb"), F.col("kind").alias("kb"), F.col("weak").alias("xb"))
-    good = pairs.join(x, "a").join(y, "b").filter("ka = kb").withColumn("s", _alike(known)("wa", "wb", "ka")).filter(F.col("s") >= LEAST)
+    # two centres don't meet all of a bucket's pairs; those that agree in words are among the candidates in any case
+    pairs = pairs.withColumn("sure", F.lit(False)).unionByName(meetings(forms, known).withColumn("sure", F.lit(True))).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    common = sorted({*known.full, *known.business})
+    tell = F.filter("words", lambda w: (F.length(w) > 1) & ~w.isin(common))
+    x = forms.select(F.col("f").alias("a"), F.col("words").alias("wa"), F.col("kind").alias("ka"), F.col("weak").alias("xa"), tell.alias("ta"))
+    y = forms.select(F.col("f").alias("b"), F.col("words").alias("wb"), F.col("kind").alias("kb"), F.col("weak").alias("xb"), tell.alias("tb"))
+    # of the bucket's pairs those without a telling word that is equal or nearly so needn't be compared
+    slip = F.expr("exists(ta, p -> exists(tb, q -> levenshtein(p, q, 4) between 0 and 4))")
+    met = pairs.join(x, "a").join(y, "b").filter("ka = kb").filter(F.col("sure") | (F.col("ka") != "latin") | F.arrays_overlap("ta", "tb") | slip)
+    good = met.withColumn("s", _alike(known)("wa", "wb", "ka")).filter(F.col("s") >= LEAST)
     good = cut(good.select("a", "b", "s", "xa", "xb"), "good")
     both = good.unionByName(good.select(F.col("b").alias("a"), F.col("a").alias("b"), "s", F.col("xb").alias("xa"), F.col("xa").alias("xb")))
     clear = cut(stars(forms.filter("not weak"), both.filter("not xa and not xb").select("a", "b", "s")), "clear")
