@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumbra.functions.text import han_tokens
@@ -23,6 +23,12 @@ class Dictionary:
         self.total = sum(words.values()) or 1
         self.longest = max(map(len, words), default=1)
 
+    @classmethod
+    def from_table(cls, words: DataFrame) -> Dictionary:
+        """From rows (word, count, class); of repeated words the counts are added. The table has to fit on the driver, as a dictionary does."""
+        rows = words.filter("word is not null").groupBy(F.lower("word").alias("word")).agg(F.sum("count").alias("count"), F.max("class").alias("class")).collect()
+        return cls({r["word"]: int(r["count"] or 1) for r in rows}, {r["word"]: r["class"] for r in rows if r["class"]})
+
     def add(self, word: str, count: int = 1, kind: str = "n") -> Dictionary:
         return Dictionary({**self.words, word: count}, {**self.classes, word: kind})
 
@@ -74,3 +80,14 @@ def tokenizer(dictionary: Dictionary | None = None, mode: str = "exact"):
         return run(text)
 
     return tokens
+
+
+def tags(dictionary: Dictionary, text: Column) -> Column:
+    """An array of (word, class) of the text's best split; x is the class of a word that the dictionary doesn't have."""
+
+    @F.pandas_udf("array<struct<word: string, class: string>>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield pd.Series([[{"word": w, "class": c} for w, c in dictionary.tagged(t or "")] for t in s], dtype=object)
+
+    return run(text)

@@ -206,6 +206,14 @@ def han_segmentation(spark, sf):
     return docs.select(F.explode("t").alias("term")).filter(F.length("term") > 1).groupBy("term").agg(F.count("*").alias("n"))
 
 
+@query
+def han_tags(spark, sf):
+    """Classes of the words of a text whose words stand apart, so that their split is known."""
+    words = segment.Dictionary.from_table(_values(spark, [("词典", 50, "n"), ("快照", 40, "n"), ("更新", 30, "v")], "word string, count int, class string"))
+    docs = _t(spark, sf, "documents").select("doc_id", F.concat_ws(" ", F.lit("词典 更新"), F.when(F.col("lang") == "zh", "快照").otherwise("其"), "lang").alias("t"))
+    return docs.select("doc_id", F.posexplode(segment.tags(words, F.col("t"))).alias("n", "x")).select("doc_id", "n", "x.word", "x.class")
+
+
 # Chunking and text functions.
 
 
@@ -321,8 +329,18 @@ def text_paragraphs(spark, sf):
 def _files(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.lower(F.regexp_replace(F.coalesce("doc_type", F.lit("txt")), r"^\.", ""))
     docs = _t(spark, sf, "documents").select(F.concat_ws(".", F.col("doc_id").cast("string"), kind).alias("source"), F.coalesce("content", F.lit("")).alias("content"))
-    plain = docs.filter("not endswith(source, '.docx')").select("source", F.encode("content", "UTF-8").alias("data"))
-    return plain.unionByName(files.to_docx(docs.filter("endswith(source, '.docx')")))
+    made = F.regexp_extract("source", r"\.(docx|pdf)$", 1)
+    plain = docs.filter(made == "").select("source", F.encode("content", "UTF-8").alias("data"))
+    return plain.unionByName(files.to_docx(docs.filter(made == "docx"))).unionByName(files.to_pdf(docs.filter(made == "pdf")))
+
+
+@query
+def pdf_pages(spark, sf):
+    """Titles as PDF files of two pages and back: elements of each page."""
+    docs = _t(spark, sf, "documents").filter("title is not null")
+    body = F.concat("title", F.lit("\n\nIt ends here.\f"), F.coalesce("lang", F.lit("none")))
+    made = files.to_pdf(docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source"), body.alias("content")))
+    return files.elements(made).select("source", "page", "type", "text")
 
 
 @query

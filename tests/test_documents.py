@@ -10,7 +10,7 @@ from lumbra.functions import text as X
 from lumbra.operators import acl, dedup, prompt, rewrite, segment, store
 from lumbra.plans.config import Config, expand
 from lumbra.plans.engine import Engine
-from lumbra.sources import files, parsers
+from lumbra.sources import files, parsers, pdf
 from lumbra.streaming import ingest
 
 ABC = "66c7f0f462eeedd9d1f2d46bdc10e4e24167c4875cf2f7a2297da02b8f4ba8e0"
@@ -106,6 +106,20 @@ def test_pages():
     assert parsers.parse(b"%PDF", "x.pdf").error
 
 
+def test_pdf_pages_round_trip(spark):
+    texts = ["Title ü 中\n\nA sentence (with) \\signs.", "", "page three \U0001f600"]
+    assert pdf.pages(pdf.write(texts)) == texts
+    old = b"%PDF-1.4\n1 0 obj << /Type /Page /Contents [2 0 R 3 0 R] >> endobj\n2 0 obj << >> stream\nBT (Hel\\(lo\\)) Tj [(wo) -300 (rld\\351)] TJ ET\nendstream endobj\n3 0 obj << >> stream\nBT <41 42> Tj T* (x) ' ET\nendstream endobj"
+    assert pdf.pages(old) == ["Hel(lo)wo rld\u00e9\nAB\n\nx"]
+    for bad in (b"no", b"%PDF-1.4 trailer << /Encrypt 9 0 R >>"):
+        with pytest.raises(ValueError):
+            pdf.pages(bad)
+    assert pdf.pages(b"%PDF-1.4") == [] and parsers.parse(pdf.write([""]), "x.pdf").error.startswith("ValueError: no text")
+    rows = spark.createDataFrame([("a.pdf", "Head\fbody ends."), ("b.pdf", None)], "source string, content string")
+    got = {r["source"]: r for r in files.documents(files.to_pdf(rows)).collect()}
+    assert got["a.pdf"]["content"] == "Head\n\nbody ends." and got["a.pdf"]["metadata"] == {"page_count": "2"} and got["b.pdf"]["error"]
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "a.md").write_text("# A\ntext\n\n- x")
     (tmp_path / "b.txt").write_text("one\n\ntwo")
