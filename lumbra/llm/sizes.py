@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A file of byte-pair ranks that every executor can read; a parameter of everything that counts tokens.
+#: A file of byte-pair ranks that every executor can read; a parameter of everything that counts tokens. The session's setting of this name comes before the default.
+SETTING = "spark.lumbra.tokenizer.ranks"
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the tokenizer's publisher splits a text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -41,6 +42,7 @@ def _sizer(path: str, keep: list[str]):
 
 def sized(docs: DataFrame, keep: list[str], text: str = "text", path: str = RANKS) -> DataFrame:
     """The kept columns with tokens, the size of the text; the text itself goes no further."""
+    path = docs.sparkSession.conf.get(SETTING, RANKS) if path == RANKS else path
     rows = docs.select(*keep, F.col(text).alias("text"))
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(_sizer(path, keep), ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["tokens long"]))
