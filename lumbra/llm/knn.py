@@ -161,7 +161,7 @@ def _dot(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def neighbours(vectors: DataFrame, k: int = 5, floor: float = -1.0, dim: int = 64, parallel: int | None = None) -> DataFrame:
-    """(id, neighbour, rank, similarity): the k vectors that point most nearly the same way as each one, ties by id; none below floor.
+    """(id, neighbour, rank, similarity): the k vectors that point most nearly the same way as each one, ties (to twelve decimals) by id; none below floor.
 
     Equal vectors are one class of the join, so no group of copies is paired out: of each class only its k + 1 smallest ids can
     be anyone's neighbour. Classes fall into about sqrt(2 * parallel) blocks (or more, at most 65536 vectors each); every pair of
@@ -200,7 +200,7 @@ def neighbours(vectors: DataFrame, k: int = 5, floor: float = -1.0, dim: int = 6
     value = classes.select("c", "v")
     once = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
     exact = once.join(value.select(F.col("c").alias("x"), F.col("v").alias("vx")), "x").join(value.select(F.col("c").alias("y"), F.col("v").alias("vy")), "y")
-    exact = cut(exact.select("x", "y", _dot("vx", "vy").alias("similarity")).filter(F.col("similarity") >= floor), "exact")
+    exact = cut(exact.select("x", "y", F.round(_dot("vx", "vy"), 12).alias("similarity")).filter(F.col("similarity") >= floor), "exact")
     both = exact.select(F.col("x").alias("c"), F.col("y").alias("d"), "similarity").unionByName(exact.select(F.col("y").alias("c"), F.col("x").alias("d"), "similarity"))
     near = both.join(classes.select(F.col("c").alias("d"), "ids"), "d").select("c", "similarity", F.explode("ids").alias("neighbour"))
     own = classes.filter(F.size("ids") > 1).select("c", F.lit(1.0).alias("similarity"), F.explode("ids").alias("neighbour")).filter(F.lit(1.0) >= floor)

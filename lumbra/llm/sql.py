@@ -21,6 +21,11 @@ first AS (SELECT k, min(doc_id) AS first_doc_id FROM bare WHERE regexp_matches(k
 SELECT DISTINCT first_doc_id, doc_id FROM bare JOIN first USING (k) WHERE doc_id <> first_doc_id
 """
 
+P3_COLLAPSE = (
+    P3.split("first AS (", 1)[0].rstrip().rstrip(",")
+    + r" SELECT min(doc_id) AS doc_id, count(*) AS copies FROM bare WHERE regexp_matches(k, '[\p{L}\p{N}]') GROUP BY k UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM bare WHERE regexp_matches(k, '[\p{L}\p{N}]'))"
+)
+
 P4 = """
 WITH latest AS (
   SELECT id, arg_max(coalesce(CAST(vector AS DOUBLE[]), TRY_CAST(embedding AS DOUBLE[])), created_at) AS v FROM vectors GROUP BY id),
@@ -34,6 +39,8 @@ top AS (SELECT id, neighbour FROM near WHERE n <= 5 AND s >= 0.93)
 SELECT x.id AS id_a, x.neighbour AS id_b FROM top x JOIN top y ON x.id = y.neighbour AND x.neighbour = y.id WHERE x.id < x.neighbour
 """
 
+P4_NEIGHBOURS = P4.split("top AS (", 1)[0].rstrip().rstrip(",").replace("ORDER BY list_cosine_similarity(a.v, b.v) DESC", "ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC") + " SELECT id, neighbour, n AS rank, round(s, 6) AS similarity FROM near WHERE n <= 5"
+
 P6 = f"""
 WITH r AS (
   SELECT 'chunks' AS table_name, id AS record_id, any_value(content) AS content FROM chunks WHERE id IS NOT NULL GROUP BY id
@@ -63,4 +70,4 @@ SELECT query_id, id FROM firsts JOIN routes USING (query_id) WHERE firsts = rout
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3, "p4_found": P4, "p6_found": P6, "p7_found": P7}
+    return {"p3_found": P3, "p3_collapse": P3_COLLAPSE, "p4_neighbours": P4_NEIGHBOURS, "p4_found": P4, "p6_found": P6, "p7_found": P7}
