@@ -329,9 +329,7 @@ def text_paragraphs(spark, sf):
 def _files(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.lower(F.regexp_replace(F.coalesce("doc_type", F.lit("txt")), r"^\.", ""))
     docs = _t(spark, sf, "documents").select(F.concat_ws(".", F.col("doc_id").cast("string"), kind).alias("source"), F.coalesce("content", F.lit("")).alias("content"))
-    made = F.regexp_extract("source", r"\.(docx|pdf)$", 1)
-    plain = docs.filter(made == "").select("source", F.encode("content", "UTF-8").alias("data"))
-    return plain.unionByName(files.to_docx(docs.filter(made == "docx"))).unionByName(files.to_pdf(docs.filter(made == "pdf")))
+    return files.write(docs)
 
 
 @query

@@ -108,6 +108,20 @@ def to_pdf(texts: DataFrame) -> DataFrame:
     return texts.select("source", "content").mapInPandas(_pdf, "source string, data binary")
 
 
+_WRITERS = {"docx": lambda t: parsers.write_docx(t.split("\n")), "pdf": lambda t: pdf_pages.write(t.split("\f"))}
+
+
+def _written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        kinds = [parsers.TYPE_OF.get(parsers.extension(s), "txt") for s in b["source"]]
+        yield pd.DataFrame({"source": b["source"], "data": [_WRITERS.get(k, str.encode)(t or "") for k, t in zip(kinds, b["content"], strict=True)]})
+
+
+def write(texts: DataFrame) -> DataFrame:
+    """(source, data): each text (source, content) as a file of the type that its name tells; all but Word files and PDFs are the text itself."""
+    return texts.select("source", "content").mapInPandas(_written, "source string, data binary")
+
+
 def to_json(df: DataFrame) -> DataFrame:
     """Each row as a JSON text."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))

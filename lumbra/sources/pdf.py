@@ -55,9 +55,16 @@ def _refs(head: bytes, key: bytes) -> list[int]:
     return [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", m.group(1))] if m else []
 
 
+class _Table(dict):
+    """Codes without a text have none."""
+
+    def __missing__(self, code: int) -> str:
+        return ""
+
+
 def _codes(body: bytes) -> tuple[int, dict[int, str]]:
     """(bytes a code, code to text) of a font's map to Unicode."""
-    table: dict[int, str] = {}
+    table: dict[int, str] = _Table()
     width = 1
     text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
     for part in re.findall(rb"beginbfchar(.*?)endbfchar", body, re.S):
@@ -70,9 +77,9 @@ def _codes(body: bytes) -> tuple[int, dict[int, str]]:
             lo, hi = int(a, 16), min(int(b, 16), int(a, 16) + 0xFFFF)
             if c:
                 start = text(c)
-                table |= {lo + i: start[:-1] + chr(ord(start[-1]) + i) for i in range(hi - lo + 1)} if start else {}
+                table.update({lo + i: start[:-1] + chr(ord(start[-1]) + i) for i in range(hi - lo + 1)} if start else {})
             else:
-                table |= {lo + i: text(x) for i, x in enumerate(re.findall(rb"<([0-9A-Fa-f]+)>", several))}
+                table.update({lo + i: text(x) for i, x in enumerate(re.findall(rb"<([0-9A-Fa-f]+)>", several))})
     return width, table
 
 
@@ -85,6 +92,10 @@ def _string(token: bytes, font: tuple[int, dict[int, str]] | None) -> str:
     if font is None:
         return raw.decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
     width, table = font
+    if width == 1:
+        return raw.decode("latin-1").translate(table)
+    if width == 2 and not any(0xD8 <= b <= 0xDF for b in raw[::2]):
+        return raw[: len(raw) // 2 * 2].decode("utf-16-be").translate(table)
     return "".join(table.get(int.from_bytes(raw[i : i + width], "big"), "") for i in range(0, len(raw), width))
 
 
@@ -155,18 +166,18 @@ def pages(data: bytes) -> list[str]:
 def write(texts: list[str]) -> bytes:
     """A PDF with one page for each text, its lines one below the other; any character, by a map to Unicode."""
     letters = sorted({c for t in texts for c in t if c not in "\r\n"})
-    code = {c: i + 1 for i, c in enumerate(letters)}
-    entries = [f"<{i:04x}> <{c.encode('utf-16-be').hex()}>" for c, i in code.items()]
+    code = {c: f"{i:04x}" for i, c in enumerate(letters, 1)}
+    entries = [f"<{i}> <{c.encode('utf-16-be').hex()}>" for c, i in code.items()]
     table = "".join(f"{len(part)} beginbfchar\n" + "\n".join(part) + "\nendbfchar\n" for part in (entries[i : i + 100] for i in range(0, len(entries), 100)))
     body: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Count {len(texts)} /Kids [{' '.join(f'{5 + 2 * i} 0 R' for i in range(len(texts)))}] >>".encode(), b"<< /Type /Font /Subtype /Type0 /BaseFont /Plain /Encoding /Identity-H /ToUnicode 4 0 R >>"]
 
     def stream(data: bytes) -> bytes:
-        packed = zlib.compress(data)
+        packed = zlib.compress(data, 1)
         return f"<< /Length {len(packed)} /Filter /FlateDecode >>\nstream\n".encode() + packed + b"\nendstream"
 
     body.append(stream(table.encode()))
     for i, t in enumerate(texts):
-        lines = [f"<{''.join(f'{code[c]:04x}' for c in line.strip(chr(13)))}> Tj" for line in t.split("\n")]
+        lines = [f"<{''.join(map(code.__getitem__, line.strip(chr(13))))}> Tj" for line in t.replace("\r", "").split("\n")]
         body.append(f"<< /Type /Page /Parent 2 0 R /Contents {6 + 2 * i} 0 R /Resources << /Font << /F1 3 0 R >> >> >>".encode())
         body.append(stream(("BT /F1 10 Tf " + " 0 -12 Td ".join(lines) + " ET").encode()))
     out, places = bytearray(b"%PDF-1.5\n"), []

@@ -170,6 +170,12 @@ def test_word_files_round_trip(spark):
     assert parsers.docx(parsers.write_docx(["x"]), "y.docx").elements[0].text == "x"
 
 
+def test_files_of_all_types_are_written_and_read(spark):
+    t = spark.createDataFrame([("a.docx", "one\ntwo"), ("b.pdf", "Three\ffour."), ("c.txt", "five"), ("d.json", "[6]"), ("e.md", None)], "source string, content string")
+    got = {r["source"]: r["content"] for r in files.documents(files.write(t)).collect()}
+    assert got == {"a.docx": "one\n\ntwo", "b.pdf": "Three\n\nfour.", "c.txt": "five", "d.json": "[\n  6\n]", "e.md": ""}
+
+
 class _Service(BaseHTTPRequestHandler):
     def do_POST(self):
         body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
