@@ -25,8 +25,8 @@ def route(query: Column) -> Column:
 
 
 def ranks(hits: DataFrame) -> DataFrame:
-    """Adds rank within query and strategy, best score first, ties by id."""
-    return numbered(hits, ["query_id", "strategy"], [F.col("score").desc(), F.col("id")], "rank")
+    """Adds rank within query and strategy, best score first to nine decimals, ties by id."""
+    return numbered(hits, ["query_id", "strategy"], [F.round("score", 9).desc(), F.col("id")], "rank")
 
 
 def rrf(hits: DataFrame, k: int = 60, keep: int | None = 10, payload: str = "best") -> DataFrame:

@@ -48,14 +48,17 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return local.join(offsets, cond).select(*[local[c] for c in df.columns], (local[out] + offsets["_before"]).alias(out))
 
 
-#: Rows up to which a table is numbered by sorting each group in a task.
-SORTED = 1_000_000
+#: Rows, or bytes as the planner estimates them, up to which a table is numbered by sorting each group in a task.
+SORTED, ESTIMATE = 1_000_000, 128 << 20
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
     """df with each row's place in its group, from 1; order has to be total within the group. Of a large table no group is sorted in one task: places are prefix sums."""
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= ESTIMATE:
+        return df.withColumn(out, place)
     df = cut(df, "rows")
     if df.count() <= SORTED:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+        return df.withColumn(out, place)
     total = running_total(df.withColumn("_one", F.lit(1)), group, order, "_one", out)
     return total.drop("_one").withColumn(out, F.col(out).cast("int"))

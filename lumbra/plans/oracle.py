@@ -425,7 +425,7 @@ SQL["hybrid_search"] = (
     f"{SCORED}, src AS (SELECT id::VARCHAR AS id, content FROM d UNION ALL SELECT query_id, query FROM q), {_HASHED}, sim AS (SELECT q.query_id, d.id, coalesce(dot, 0) AS score FROM q CROSS JOIN d LEFT JOIN (SELECT a.id AS query_id, b.id AS other, sum(a.x * b.x) AS dot FROM v a JOIN v b ON a.pos = b.pos "
     "WHERE a.id IN (SELECT query_id FROM q) GROUP BY ALL) z ON z.query_id = q.query_id AND z.other = d.id::VARCHAR), "
     "u AS (SELECT query_id, id, 'keyword' AS strategy, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS n, score AS raw FROM s UNION ALL SELECT query_id, id, 'vector', row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id), score FROM sim), "
-    "o AS (SELECT *, row_number() OVER (PARTITION BY query_id, strategy ORDER BY raw DESC, id) AS place FROM u WHERE n <= 20), f AS (SELECT query_id, id, sum(1 / (60 + place)) AS score FROM o GROUP BY ALL), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY query_id, strategy ORDER BY round(raw, 9) DESC, id) AS place FROM u WHERE n <= 20), f AS (SELECT query_id, id, sum(1 / (60 + place)) AS score FROM o GROUP BY ALL), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM f) SELECT query_id, id, round(score, 5) AS score, rank FROM r WHERE rank <= 10"
 )
 

@@ -100,6 +100,8 @@ def test_ranks_by_prefix_sums_are_those_of_a_window(spark, monkeypatch):
     df = spark.createDataFrame([(f"q{i % 3}", i, float(i % 5)) for i in range(200)], "query_id string, id int, score double")
     order = [F.col("score").desc(), F.col("id")]
     want = sorted(map(tuple, skew.numbered(df, ["query_id"], order, "rank").collect()))
+    monkeypatch.setattr(skew, "ESTIMATE", 0)
+    assert sorted(map(tuple, skew.numbered(df, ["query_id"], order, "rank").collect())) == want
     monkeypatch.setattr(skew, "SORTED", 10)
     assert sorted(map(tuple, skew.numbered(df, ["query_id"], order, "rank").collect())) == want
 
