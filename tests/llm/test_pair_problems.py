@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +181,45 @@ def test_blocks_give_what_one_block_gives(spark, monkeypatch):
     assert sorted(map(tuple, knn.neighbours(df, 4, dim=8, parallel=8).select("id", "neighbour", "rank").collect())) == one
 
 
+def test_texts_of_vectors_are_read_once(spark):
+    rows = [("a", None, "[3, 4]", 1), ("b", [1.0, None], None, 1), ("c", None, "[2e-310,0]", 1), ("d", [-6.0, 8.0], "[1,0]", 1), ("e", [1.0, 2.0, 3.0], None, 1)]
+    v = knn.latest(spark.createDataFrame(rows, "id string, vector array<float>, embedding string, created_at int"), 2)
+    assert {r["id"]: r["v"] for r in v.collect()} == {"a": [0.75 / 1.25, 1 / 1.25], "c": [1.0, 0.0], "d": [-0.75 / 1.25, 1 / 1.25]}
+    assert v._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+
+
+def test_vectors_of_a_block_move_together(spark, monkeypatch):
+    """Rows that go to the cells of the grid hold many vectors each, and few of a cell's pairs are refined."""
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame([(f"{i:04d}", x.tolist(), None, 0) for i, x in enumerate(r.normal(size=(1500, 16)))], "id string, vector array<float>, embedding string, created_at int")
+    written, cut = {}, knn.cut
+    monkeypatch.setattr(knn, "BLOCK", 200)
+    monkeypatch.setattr(knn, "cut", lambda df, what="t": written.setdefault(what, cut(df, what)))
+    knn.neighbours(df, 5, dim=16, parallel=8)
+    parts = written["classes"].rdd.getNumPartitions()
+    assert written["coded"].count() <= 4 * max(parts, 4) < 1500
+
+
+def test_cell_refines_few_pairs(monkeypatch):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(5000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    coded = pd.concat(knn._coded(16, 2)(iter([pd.DataFrame({"c": range(5000), "v": [v.tobytes() for v in x]})])))
+    refined, full = [], knn._Side.full
+    monkeypatch.setattr(knn._Side, "full", lambda side, rows: refined.append(len(rows)) or full(side, rows))
+    for i, j in ((0, 0), (0, 1)):
+        del refined[:]
+        got = knn._cell(5, -1.0, 16)((i, j), coded[coded["block"] == i], coded[coded["block"] == j])
+        pairs = set(zip(got["a"].astype(int), got["b"].astype(int), strict=True))
+        for a, b in ((i, j), (j, i)):
+            s = x[a::2] @ x[b::2].T
+            if a == b:
+                np.fill_diagonal(s, -9)
+            best = np.argsort(-s, 1)[:, :5]
+            assert {(2 * m + a, 2 * n + b) for m, row in enumerate(best.tolist()) for n in row} <= pairs
+        assert sum(refined) / 2 < 0.02 * 2500 * 2500 * (1 + (i != j))
+
+
 # Distinctive terms.
 
 
