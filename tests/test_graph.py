@@ -1,6 +1,7 @@
 import pytest
 
 from lumbra.operators import graph
+from lumbra.session import cut
 
 E = "id string, name string, type string, aliases array<string>, source_doc_id string, confidence double"
 R = "id string, source_id string, target_id string, type string, source_doc_id string, confidence double"
@@ -44,6 +45,25 @@ def test_paths(spark, g):
     assert {tuple(r["nodes"]) for r in graph.paths(g[1], pairs, 1).collect()} == {("a",)}
 
 
+def test_paths_search_once_from_each_target(spark, monkeypatch):
+    rows = {}
+
+    def counted(df, what="t"):
+        out = cut(df, what)
+        rows[what] = rows.get(what, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    # 50 entities around a hub, each asking for the hub
+    names = [f"n{i:02}" for i in range(50)]
+    r = spark.createDataFrame([(f"r-{n}", n, "hub", "USES", None, 0.9) for n in names] + [("x", "n00", "n01", "USES", None, 0.9)], R)
+    pairs = spark.createDataFrame([(n, "hub") for n in names], "source string, target string")
+    got = {(x["source"], *x["edges"]) for x in graph.paths(r, pairs, 3).collect()}
+    assert got == {(n, f"r-{n}") for n in names} | {("n00", "x", "r-n01"), ("n01", "x", "r-n00")}
+    # the hub, and every entity once
+    assert rows["reach"] == 51
+
+
 def test_delete_cascades(g):
     e, r = graph.delete_document(*g, "doc-d")
     assert e.count() == 4 and {x["id"] for x in r.collect()} == {"1", "2", "7"}
