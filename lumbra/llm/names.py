@@ -6,6 +6,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -273,8 +274,8 @@ class Words:
     def word_pairs(self, kind: str, words: list[str]) -> list[tuple[int, str, str]]:
         """(side, w, t): alike forms meet where a word near w and one near t on side 1 are w and t on side 0.
 
-        Side 0 has each word with each other one, its first letters (^) and the acronym of the firm's words (~); side 1 only words that may be the
-        one to agree, each with what has to have a counterpart. Chinese names meet in equal t: sorted, with one character left open, or as a beginning.
+        Side 0 has each word with each other one, its first letters (^) and the acronyms of two to four of the firm's words (~); side 1 only words that may
+        be the one to agree, each with what has to have a counterpart. Chinese names meet in equal t: sorted, with one character left open, or as a beginning.
         """
         out: set[tuple[int, str, str]] = set()
         if kind == "han":
@@ -288,17 +289,22 @@ class Words:
             carries = {w for w in words if self.telling(w)}
             # without a word that tells, names are alike only if all their words are equal or forms of one name
             carries = carries or {w for w in words if w in self.full}
+            # beside short words, which may be acronyms, any other word may be the one to agree
+            beside = carries if any(len(w) > 4 for w in carries) else {w for w in words if len(w) > 1}
+            acronyms = {"~" + "".join(sorted(x[0] for x in some)) for n in (2, 3, 4) for some in combinations(firm, n)}
             for i, w in enumerate(words):
                 for j, c in enumerate(words):
                     if i == j or len(w) == 1:
                         continue
                     out |= {(0, w, c)} | {(0, w, f"^{n[0]}") for n in (c, *self.full.get(c, ()))}
                     if w in carries:
-                        out |= {(1, w, c)} | ({(1, w, f"^{c}")} if len(c) == 1 else {(1, w, "~" + "".join(sorted(c)))} if len(c) <= 4 else set())
+                        out |= {(1, w, c)} | ({(1, w, f"^{c}")} if len(c) == 1 else set())
                         if 3 <= len(c) <= 5 and not any(v in "aeiouy" for v in c[1:]):
                             out.add((1, w, f"^{c[0]}"))
-                if len(firm) > 1 and len(w) > 1:
-                    out.add((0, w, "~" + "".join(sorted(x[0] for x in firm))))
+                    if w in beside and 2 <= len(c) <= 4:
+                        out.add((1, w, "~" + "".join(sorted(c))))
+                if len(w) > 1:
+                    out |= {(0, w, a) for a in acronyms}
         return sorted(out)
 
 
@@ -310,6 +316,8 @@ def meetings(forms: DataFrame, known: Words = KNOWN) -> DataFrame:
     """(a, b): all pairs of forms that can be alike, a < b: they agree in a telling word and in another one, each but for a slip, a short form or an initial.
 
     Which words are near each other is settled once for each word, so the work follows the number of names that meet, however common one of their words is.
+    Each word of a name needs a counterpart in an alike one, so of a name's telling words only the rarest is asked for, counting the names with a word near
+    it: a firm whose 'data' is misspelled doesn't meet all others with 'data services'. Words that only abbreviate another one are asked for beside each.
     """
 
     def worded_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -340,10 +348,15 @@ def meetings(forms: DataFrame, known: Words = KNOWN) -> DataFrame:
         n = lists.withColumnRenamed("w", c).join(rows.groupBy(c).agg(F.count("*").alias("n")), c)
         return join_hot(rows, n, [c], "n", rows.count()).select(*rows.columns, F.explode("near").alias(out))
 
+    fixed = F.col("t").rlike("^[\\^~]") | (F.length("t") == 1)
     told = worded.filter("side = 1")
+    # the names that have a word near this one, and of each name the telling word for which they are fewest
+    held = worded.filter("side = 0 and w <> ''").select("f", "w").distinct().groupBy(F.col("w").alias("x")).agg(F.count("*").alias("names"))
+    weight = lists.select("w", F.explode("near").alias("x")).join(held, "x").groupBy("w").agg(F.sum("names").alias("names"))
+    rare = told.filter("w <> ''").filter(~fixed).select("f", "w").distinct().join(weight, "w").groupBy("f").agg(F.min(F.struct("names", "w"))["w"].alias("rare"))
+    told = cut(told.join(rare, "f", "left").filter(fixed | (F.col("w") == "") | (F.col("w") == F.col("rare"))).select("f", "w", "t"), "told")
     asked = cut(told.filter("w <> ''").select("w", "t").distinct(), "asked")
     first = cut(spread(asked, "w", "w2"), "first")
-    fixed = F.col("t").rlike("^[\\^~]") | (F.length("t") == 1)
     both = spread(first.filter(~fixed), "t", "t2").unionByName(first.filter(fixed).withColumn("t2", F.col("t")))
     both = both.unionByName(told.filter("w = ''").select("w", "t").distinct().select("w", "t", F.lit("").alias("w2"), F.col("t").alias("t2")))
     there = cut(worded.filter("side = 0").select(F.col("f").alias("g"), F.xxhash64("w", "t").alias("key")), "there")
@@ -373,15 +386,6 @@ def _forms(known: Words):
     return run
 
 
-def _bucketed(known: Words):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(f, k) for f, kind, w in zip(b["f"], b["kind"], b["words"], strict=True) for k in set(known.keys(kind, list(w)))]
-            yield pd.DataFrame(rows, columns=["f", "bucket"])
-
-    return run
-
-
 def _alike(known: Words):
     @F.pandas_udf(T.DoubleType())
     def run(x: pd.Series, y: pd.Series, kind: pd.Series) -> pd.Series:
@@ -414,8 +418,8 @@ def stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def linked(entities: DataFrame, known: Words = KNOWN) -> DataFrame:
     """(id, entity): the smallest id of the entity that each id denotes, for entities with two or more ids that are persons or organisations.
 
-    A form is one way to write a name; equal forms are one node. Forms meet in MinHash buckets by stars (centre: most mentioned, and a random one)
-    and, as stars leave out pairs of large buckets, in two words each of which is equal but for a slip; they are verified by Monge-Elkan similarity and clustered by star clustering, most mentioned forms first. A form of which only initials of the given
+    A form is one way to write a name; equal forms are one node. Forms meet in two words each of which is equal but for a slip, which all alike ones
+    do; they are verified by Monge-Elkan similarity and clustered by star clustering, most mentioned forms first. A form of which only initials of the given
     name are known joins the one cluster it fits, or the one entity that lists it as an alias; if several fit it stays alone. Ids whose
     names or aliases are in one cluster are one entity. Entities whose declared types mostly say something else than person or organisation
     are left out. Null names and aliases are skipped; repeated rows count once; ties go to the smaller form.
@@ -425,24 +429,9 @@ def linked(entities: DataFrame, known: Words = KNOWN) -> DataFrame:
     # the shortest list of words stands for a form, so that a middle initial isn't lost or won by chance
     forms = said.groupBy("f").agg(F.count_distinct("id").alias("mentions"), F.min(F.struct("kind", F.size("words").alias("n"), "words")).alias("w"), F.min("weak").alias("weak"))
     forms = cut(forms.select("f", "mentions", "w.kind", "w.words", "weak", F.struct((-F.col("mentions")).alias("m"), "f").alias("rank")), "forms")
-    buckets = cut(forms.select("f", "kind", "words").mapInPandas(_bucketed(known), "f long, bucket long").join(forms.select("f", "mentions"), "f"), "buckets")
-    # the most mentioned form and a random one: mentions above, hash bits below
-    order = F.least("mentions", F.lit(2**20)).cast("long") * F.lit(2**40) + F.shiftrightunsigned(F.xxhash64("f"), 25)
-    centres = buckets.groupBy("bucket").agg(F.max(order).alias("top"), F.min(F.col("f").bitwiseXOR(F.xxhash64("bucket"))).alias("any"), F.count("*").alias("size")).filter("size > 1")
-    met = cut(join_hot(buckets.withColumn("order", order), centres, ["bucket"], "size", buckets.count()), "met")
-    tops = met.filter("order = top").select("bucket", F.col("f").alias("c"), "size")
-    by_top = join_hot(met.select("f", "bucket"), tops, ["bucket"], "size", met.count()).select("f", "c")
-    by_any = met.select("f", F.col("any").bitwiseXOR(F.xxhash64("bucket")).alias("c"))
-    pairs = by_top.unionByName(by_any).filter("f <> c").select(F.least("f", "c").alias("a"), F.greatest("f", "c").alias("b"))
-    # two centres don't meet all of a bucket's pairs; those that agree in words are among the candidates in any case
-    pairs = pairs.withColumn("sure", F.lit(False)).unionByName(meetings(forms, known).withColumn("sure", F.lit(True))).groupBy("a", "b").agg(F.max("sure").alias("sure"))
-    common = sorted({*known.full, *known.business})
-    tell = F.filter("words", lambda w: (F.length(w) > 1) & ~w.isin(common))
-    x = forms.select(F.col("f").alias("a"), F.col("words").alias("wa"), F.col("kind").alias("ka"), F.col("weak").alias("xa"), tell.alias("ta"))
-    y = forms.select(F.col("f").alias("b"), F.col("words").alias("wb"), F.col("kind").alias("kb"), F.col("weak").alias("xb"), tell.alias("tb"))
-    # of the bucket's pairs those without a telling word that is equal or nearly so needn't be compared
-    slip = F.expr("exists(ta, p -> exists(tb, q -> levenshtein(p, q, 4) between 0 and 4))")
-    met = pairs.join(x, "a").join(y, "b").filter("ka = kb").filter(F.col("sure") | (F.col("ka") != "latin") | F.arrays_overlap("ta", "tb") | slip)
+    x = forms.select(F.col("f").alias("a"), F.col("words").alias("wa"), F.col("kind").alias("ka"), F.col("weak").alias("xa"))
+    y = forms.select(F.col("f").alias("b"), F.col("words").alias("wb"), F.col("kind").alias("kb"), F.col("weak").alias("xb"))
+    met = meetings(forms, known).join(x, "a").join(y, "b").filter("ka = kb")
     good = met.withColumn("s", _alike(known)("wa", "wb", "ka")).filter(F.col("s") >= LEAST)
     good = cut(good.select("a", "b", "s", "xa", "xb"), "good")
     both = good.unionByName(good.select(F.col("b").alias("a"), F.col("a").alias("b"), "s", F.col("xb").alias("xa"), F.col("xa").alias("xb")))

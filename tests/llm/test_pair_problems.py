@@ -1,4 +1,5 @@
 import collections
+import itertools
 import json
 import math
 import random
@@ -408,3 +409,17 @@ def test_meetings_hold_all_alike_forms(spark, sf):
     same = lambda x, y: x[0] == y[0] and x[1] != y[1] and names.alike(list(x[1]), list(y[1]), x[0]) >= 0.75
     want = {(i, j) for i, x in enumerate(forms) for j, y in enumerate(forms) if i < j and same(x, y) and sorted(x[1]) != sorted(y[1])}
     assert want and want <= met
+
+
+def test_misspelled_common_words_do_not_meet_all_firms(spark):
+    leads = [f"{a}{b}{c}" for a in ("bra", "clo", "dri", "fen") for b in ("ga", "hu", "jo", "ki", "lem") for c in ("mor", "nix", "pul")]
+    names_ = [f"{x.title()} Data Services" for x in leads] + [f"{x.title()} {m} Services" for x, m in zip(leads[::3], itertools.cycle(["Dtaa", "Daat", "Ddata", "Dat4"]))]
+    # acronyms of some or all of the firm's words, a consonant short form, an initial, and a slip in the lead word
+    names_ += ["Acmex DS Group", "Acmex Data Services Group", "Kolbrand DG", "Kolbrand Data Group", "Bartold Btld Group", "Bartold Group", "Karl Martinn", "K. Martin", "Bragamur Data Services", "Zorwin Mrtn", "Zorwin Martinson"]
+    forms = sorted({(k, tuple(w)) for k, w in map(names.parse, names_)})
+    df = spark.createDataFrame([(i, k, list(w)) for i, (k, w) in enumerate(forms)], "f long, kind string, words array<string>")
+    met = {tuple(r) for r in names.meetings(df).collect()}
+    alike = {(i, j) for i, x in enumerate(forms) for j, y in enumerate(forms) if i < j and x[0] == y[0] and names.alike(list(x[1]), list(y[1]), x[0]) >= 0.75}
+    assert len(alike) > 20 and alike <= met
+    # 20 misspelled names beside 60 others
+    assert len(met) < 4 * len(forms)
